@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, urls
-from .common import table
+from . import chat, decontaminate, packing, quality, tokens, urls
+from .common import Workspace, table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +95,41 @@ select conv_id, max(n)::bigint n_turns, sha256(string_agg("role" || chr(10) || "
 from g group by conv_id
 """
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), Workspace(spark, "packing"), tokens.default_path())
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark items."""
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return decontaminate.hits(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+OP6_SQL = r"""
+with w as (select doc_id, regexp_extract_all(regexp_replace(lower_az, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') ws
+    from (select doc_id, translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') lower_az from documents)),
+b as (select item_id, regexp_extract_all(regexp_replace(lower_az, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') ws
+    from (select item_id, translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') lower_az from benchmark where item_id is not null)),
+p as (select distinct item_id, least(len(ws), 13) n, ws[i : i + least(len(ws), 13) - 1] ph
+    from (select *, unnest(range(1, greatest(1, len(ws) - 12) + 1)) i from b where len(ws) > 0)),
+x as (select doc_id, n, i, ws[i : i + n - 1] ph from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i from w, (select distinct n from p) where len(ws) >= n)),
+h as (select x.doc_id, x.n, x.i, p.item_id from x join p on x.n = p.n and x.ph = p.ph),
+c as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(i, i + n)) k from h) group by doc_id),
+t as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) s from (select distinct doc_id, item_id::varchar s from h) group by doc_id)
+select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(s, '')) items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from w left join c using (doc_id) left join t using (doc_id)
+"""
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_chat_formatting": OP7_SQL}
