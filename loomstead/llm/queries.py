@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, tokens, urls
+from . import chat, decontaminate, packing, quality, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -125,11 +125,21 @@ select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coal
 from w left join c using (doc_id) left join t using (doc_id)
 """
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, toxicity.is_held_out(F.col("doc_id")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_chat_formatting": OP7_SQL}
