@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, tokens, toxicity, urls
+from . import chat, decontaminate, packing, pages, quality, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -16,10 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a page is fetched page_id mod 365 days after the start of 2024, and the list
     takes its keys and dates from the hosts' MD5.
     """
-    pages = table(spark, sf_dir, "pages").select(
+    seen = table(spark, sf_dir, "pages").select(
         "page_id", "url", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(page_id % 365 as int))").alias("fetched_at")
     )
-    hosts = pages.select(urls.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = seen.select(urls.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
     hosts = hosts.withColumn("m", F.md5(F.col("host").cast("binary")))
     day = "timestamp'2024-01-01 00:00:00' + make_dt_interval({})"
     d0, d1 = "ascii(substr(m, 2, 1)) - 40", "ascii(substr(m, 3, 1))"
@@ -33,7 +33,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         for action, when in moves:
             part = hosts.where(which).selectExpr(f"'{kind}' as kind", f"{key} as key", f"{category} as category", f"'{action}' as action", f"{day.format(when)} as listed_at")
             entries = part if entries is None else entries.unionByName(part)
-    return urls.filter_captures(pages, urls.validity(entries))
+    return urls.filter_captures(seen, urls.validity(entries))
 
 
 OP1_SQL = r"""
@@ -125,6 +125,11 @@ select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coal
 from w left join c using (doc_id) left join t using (doc_id)
 """
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages")).drop("path")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -140,6 +145,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_chat_formatting": OP7_SQL}
