@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pages, quality, tokens, toxicity, urls
+from . import chat, decontaminate, jaccard, packing, pages, quality, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -139,6 +139,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), Workspace(spark, "jaccard"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_packing": op3_packing,
@@ -147,5 +152,6 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_chat_formatting": OP7_SQL}
