@@ -262,10 +262,16 @@ def find_contamination(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
-    """Per row: doc_id, n_words, ranges (of words), spans (of code points; what to remove), items."""
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    out = out.selectExpr("doc_id", "text", "cast(array() as array<struct<start:int,end:int>>) as ranges", "cast(array() as array<long>) as items")
+    """Per row: doc_id, n_words, ranges (of words), spans (of code points; what to remove), items.
+
+    With ``carry`` the whole input row comes along as the struct ``row``.
+    """
+    rest = ["row"] if carry else []
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    out = out.selectExpr("doc_id", "text", "cast(array() as array<struct<start:int,end:int>>) as ranges", "cast(array() as array<long>) as items", *rest)
+    extra = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
     parts = list(blocks(benchmark, window, block_words, item_id, item_text))
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     structs = lambda x: [[{"start": a, "end": b} for a, b in r] for r in x]
@@ -277,6 +283,7 @@ def find_contamination(
             texts: list[str] = []
             words: list[list[bytes]] = []
             before: list[tuple] = []
+            rows: list[pa.Array] = []
             n = 0
 
             def shard() -> pa.RecordBatch:
@@ -288,23 +295,27 @@ def find_contamination(
                     columns |= {"spans": pa.array([_spans(t, r) if r else [] for t, r in zip(texts, ranges, strict=True)], pair)}
                 else:
                     columns |= {"text": pa.array(texts, pa.string()), "ranges": pa.array(structs(ranges), pair)}
-                return pa.RecordBatch.from_pydict(columns | {"items": pa.array(items, pa.list_(pa.int64()))})
+                columns["items"] = pa.array(items, pa.list_(pa.int64()))
+                return pa.RecordBatch.from_pydict(columns | ({"row": pa.concat_arrays(rows)} if carry else {}))
 
             for batch in batches:
-                for i, t, r, it in zip(*[c.to_pylist() if j != 1 else c for j, c in enumerate(batch.columns)], strict=True):
+                columns = [batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()]
+                for at, (i, t, r, it) in enumerate(zip(*columns, strict=True)):
                     t = t.as_py()
                     ids.append(i)
                     texts.append(t)
                     words.append(words_of(t))
                     before.append(([(x["start"], x["end"]) for x in r], it))
+                    if carry:
+                        rows.append(batch.column(4).slice(at, 1))
                     n += len(words[-1])
                     if n >= shard_words:
                         yield shard()
-                        ids, texts, words, before, n = [], [], [], [], 0
+                        ids, texts, words, before, rows, n = [], [], [], [], [], 0
             if ids:
                 yield shard()
 
-        out = out.mapInArrow(search, SCHEMA if last else "doc_id long, text string, ranges array<struct<start:int,end:int>>, items array<long>")
+        out = out.mapInArrow(search, (SCHEMA if last else "doc_id long, text string, ranges array<struct<start:int,end:int>>, items array<long>") + extra)
     return out
 
 
@@ -319,6 +330,11 @@ def hits(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, that aren't contaminated."""
+    return hits(find_contamination(docs, benchmark, carry=True)).where("not contaminated").select("row.*")
+
+
 def remove_spans(text: Column, spans: Column) -> Column:
     """The text without the spans."""
     return F.aggregate(

@@ -319,3 +319,14 @@ def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id",
     parts = components(work.save(links, "links"), work)
     out = table.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, work: Workspace, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as they are, of each component's smallest id; of rows that share that id one; all rows without an id."""
+    parts = work.save(jaccard_components(docs, work, doc_id=doc_id), "parts")
+    kept = parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "_id")
+    found = docs.join(kept, F.col(doc_id).cast("long") == F.col("_id"))
+    once = found.where("rows = 1").select(*docs.columns)
+    again = found.where("rows > 1")
+    again = again.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(*docs.columns))).where("_n = 1").select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))

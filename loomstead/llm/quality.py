@@ -52,14 +52,21 @@ def measure(
     text: str = "text",
     stratum: str = "lang",
     window_hash: str = WINDOW_HASH,
+    carry: bool = False,
 ) -> DataFrame:
-    """doc_id, stratum and the counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals."""
+    """doc_id, stratum and the counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals.
+
+    With ``carry`` the whole input row comes along as the struct ``row``.
+    """
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    rest = ["row"] if carry else []
     count = lambda other: F.char_length(F.regexp_replace("text", other, "")).cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         text_of(text).alias("text"),
+        *row,
     ).select(
         "doc_id",
         "stratum",
@@ -68,6 +75,7 @@ def measure(
         count(r"[^#*$%&|<>]+").alias("n_symbols"),
         count("[^A-Z]+").alias("n_capitals"),
         lines.alias("lines"),
+        *rest,
     )
     d = d.withColumns(
         {
@@ -102,7 +110,7 @@ def measure(
         f"aggregate(sort_array(if(met, {slow}, places)), named_struct('end', 0, 'n', 0L),"
         " (s, p) -> named_struct('end', p + 3, 'n', s.n + 3 - greatest(0, s.end - p)), s -> s.n)"
     )
-    return d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_capitals")
+    return d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_capitals", *rest)
 
 
 def fixed_rules() -> Column:
@@ -167,6 +175,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, work: Workspace, stratum:
     return judge(features, calibrate(features, labels, risk=risk, delta=delta))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """The rows of ``docs``, as they are, that the rules keep.
+
+    The measures are taken twice, once for the labelled rows' calibration and
+    once beside the texts: cheaper than moving the texts to their verdicts.
+    """
+    tests = work.save(calibrate(measure(docs), labels), "tests")
+    return judge(measure(docs, carry=True), tests).where("kept").select("row.*")
+
+
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality verdict of every document."""
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "quality"))
