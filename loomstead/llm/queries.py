@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, packing, pages, quality, tokens, toxicity, urls
+from . import chat, decontaminate, jaccard, katz, order, packing, pages, quality, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -64,6 +64,11 @@ from p left join s on s.page_id = p.page_id and s.url = p.url
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The back-off model's log10 probability of every document."""
+    return katz.score_documents(table(spark, sf_dir, "documents"), Workspace(spark, "katz"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality verdict of every document."""
     return quality.op5_query(spark, sf_dir)
@@ -96,6 +101,11 @@ select conv_id, max(n)::bigint n_turns, sha256(string_agg("role" || chr(10) || "
 from g group by conv_id
 """
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences in training order, read back from their shards."""
+    return order.ordered(table(spark, sf_dir, "documents"), Workspace(spark, "order"), tokens.default_path())
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), Workspace(spark, "packing"), tokens.default_path())
@@ -147,7 +157,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_training_order": op2_training_order,
     "op3_packing": op3_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
