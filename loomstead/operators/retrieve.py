@@ -80,11 +80,15 @@ def mmr(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5,
     return near.groupBy("query").applyInPandas(choose, "query long, key long, rank int")
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(doc_id, score): BM25 of the documents that hold one of the terms; scores rounded to 6 digits."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
     d = docs.select(F.col(doc_id).alias("doc_id"), words.alias("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    tf = [F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     d = d.select("doc_id", F.size("w").alias("n"), *tf)
     total = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.join(F.broadcast(total))  # one row
