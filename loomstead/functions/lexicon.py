@@ -64,5 +64,5 @@ def in_context(answer: Column, context: Column) -> Column:
 
 def gate(cell: Column, context: Column, separator: str = ",") -> Column:
     """The tokens of a cell for which the context has evidence."""
-    tokens = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda t: F.trim(t)), lambda t: t != "")
     return F.filter(tokens, lambda t: in_context(t, context))

@@ -40,13 +40,13 @@ def stem(path: Column) -> Column:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt", nested: bool = False) -> DataFrame:
     """(doc_id, text): a whole file for each row."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", nested)
-    return reader.text(path).select(stem(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", nested)
+    return reader.text(path, wholetext=True).select(stem(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_texts_by_preference(spark: SparkSession, path: str, extensions: Sequence[str] = (".txt", ".md", ".pdf.txt")) -> DataFrame:
     """(doc_id, text): of files that differ in their extension alone, the one whose extension comes first."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
     rank, doc = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, e in sorted(enumerate(extensions), key=lambda x: len(x[1])):  # longer extensions decide first
         hit = F.endswith("name", F.lit(e))
@@ -68,7 +68,7 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame, fields: Se
     Lists become strings joined by commas.
     """
     schema = StructType([StructField(f, StringType()) for f in fields])
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     parsed = raw.select(stem(F.input_file_name()).alias("File"), F.from_json("value", schema).alias("r"))
     listed = F.from_json  # a list arrives as its JSON text
     parsed = parsed.select("File", *[F.when(F.startswith(F.col(f"r.`{f}`"), F.lit("[")), F.array_join(listed(F.col(f"r.`{f}`"), "array<string>"), ", ")).otherwise(F.col(f"r.`{f}`")).alias(f) for f in fields])
