@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, missing, stats, tokens
-from ..operators import derive, evaluate, fuse, profile, retrieve, windows
+from ..operators import derive, evaluate, extract, fuse, profile, retrieve, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -527,3 +527,9 @@ def first_answer(spark, sf_dir):
     """The first answer of each conversation."""
     c = table(spark, sf_dir, "conversations")
     return fuse.first_answer(c.withColumn("text", F.when(F.col("role") == "assistant", F.col("text"))), "conv_id", "text", "turn")
+
+
+@query(None)
+def extract_records(spark, sf_dir):
+    """A sixteen-column record of every document."""
+    return extract.extract(table(spark, sf_dir, "documents"))
