@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,6 +49,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and read it again: its lineage ends here."""
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -54,9 +58,20 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the result and delete all that led to it."""
+        out = self.save(df, name)
+        for other in self.names - {name}:
+            self.drop(other)
+        self.names = {name}
+        return out
+
     def release(self) -> None:
         """Let Spark remove the shuffle files of finished steps now, not at some later collection."""
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(3):  # the driver's Python, its JVM, and Spark's cleaner each let go of what the one before held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def text_of(name: str) -> Column:

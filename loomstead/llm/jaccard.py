@@ -140,33 +140,52 @@ def describe(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     return own.mapInArrow(run, "doc_id long, n_shingles long, key binary, sigs array<long>")
 
 
-def _place(bits: int) -> Column:
-    """An id's place in a bitmap, from 1."""
-    return F.pmod(F.xxhash64("id"), F.lit(1 << bits)) + 1
-
-
-def id_filter(ids: DataFrame, bits: int = 25) -> np.ndarray:
-    """A bitmap of hashed ids, of 2**bits bits at most: rows whose bit is unset aren't among them."""
-    h = ids.select(_place(bits).alias("h"))
-    parts = h.groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits at most from a column ``place`` of numbers from 0."""
+    parts = places.selectExpr("place + 1 as p").groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
     out = np.zeros((1 << bits) // 8 + 4096, np.uint8)
     for r in parts.toLocalIterator():
-        at = r["b"] * 4096
-        out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)[: len(out) - at]
+        at = (r["b"] - 1) * 4096  # buckets are counted from 1, bits from 0
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places are set."""
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap for n entries: eight for each, between 2**20 and 2**28 (32 MB). A full bitmap lets more through, and loses nothing."""
+    return min(28, max(20, (8 * n).bit_length()))
+
+
+def having(described: DataFrame, met: DataFrame) -> DataFrame:
+    """(id, sig) of the signatures that two sets have, and of few others: the rest is left out before it is moved."""
+    bits = bits_for(met.count())
+    known, mask = bitmap(met.select(F.col("sig").bitwiseAND((1 << bits) - 1).alias("place")), bits), (1 << bits) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sigs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            hit = is_set(known, sigs & mask)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(sigs[hit])], ["id", "sig"])
+
+    return described.where("size(sigs) > 0").select("doc_id", "sigs").mapInArrow(run, "id long, sig long")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
     """id and set of the documents in ``ids``. Rows that share an id give a set each."""
-    bits = 25
-    bitmap = id_filter(ids, bits)
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).where("id is not null")
-    own = own.withColumn("h", _place(bits))
+    bits = bits_for(ids.count())
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("place")
+    known = bitmap(ids.select(place), bits)
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).where("id is not null").select("*", place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False) - 1 + 32768  # buckets are counted from 1, bits from 0
-            hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(is_set(known, batch.column(2).to_numpy(zero_copy_only=False)))
             if len(hit):
                 some = batch.take(pa.array(hit))
                 sets = [shingles(t.as_py()).view(np.int64) for t in some.column(1)]
@@ -293,9 +312,9 @@ def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id",
     signed = table.where("size(sigs) > 0").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     met = work.save(signed.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot"), "met")
     work.release()
-    members = work.save(signed.join(met, "sig").select("pivot", "id").distinct(), "members")
+    members = work.save(having(table, met).join(met, "sig").select("pivot", "id").distinct(), "members")
     work.drop("met")
-    ids = members.select("id").distinct()
+    ids = work.save(members.select("id").distinct(), "ids")
     sets = work.save(sets_of(docs, ids, doc_id, text), "sets")
     # rows that share an id may bring several sets, each of which meets the others
     work.release()
@@ -318,12 +337,12 @@ def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id",
         links = links.unionByName(x)
     parts = components(work.save(links, "links"), work)
     out = table.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return work.finish(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result")
 
 
 def keep_one_of_each(docs: DataFrame, work: Workspace, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, as they are, of each component's smallest id; of rows that share that id one; all rows without an id."""
-    parts = work.save(jaccard_components(docs, work, doc_id=doc_id), "parts")
+    parts = jaccard_components(docs, work, doc_id=doc_id)
     kept = parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "_id")
     found = docs.join(kept, F.col(doc_id).cast("long") == F.col("_id"))
     once = found.where("rows = 1").select(*docs.columns)
