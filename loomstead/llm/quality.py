@@ -56,7 +56,10 @@ def measure(
 ) -> DataFrame:
     """doc_id, stratum and the counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals.
 
-    With ``carry`` the whole input row comes along as the struct ``row``.
+    With ``carry`` the whole input row comes along as the struct ``row``. The
+    column ``place`` is a number that Spark may not compute twice; conditions on
+    the counts name it too, so that the optimiser doesn't move them, with all
+    that the counts are made of, below the steps that make them.
     """
     row = [F.struct(*docs.columns).alias("row")] if carry else []
     rest = ["row"] if carry else []
@@ -110,7 +113,7 @@ def measure(
         f"aggregate(sort_array(if(met, {slow}, places)), named_struct('end', 0, 'n', 0L),"
         " (s, p) -> named_struct('end', p + 3, 'n', s.n + 3 - greatest(0, s.end - p)), s -> s.n)"
     )
-    return d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_capitals", *rest)
+    return d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_capitals", F.monotonically_increasing_id().alias("place"), *rest)
 
 
 def fixed_rules() -> Column:
@@ -140,7 +143,7 @@ def calibrate(features: DataFrame, labels: DataFrame, rules=RULES, risk: float =
         .where("quality = 1")
         .select("doc_id")
     )
-    held = features.where(~fixed_rules()).join(good, "doc_id", "left_semi")
+    held = features.where(~fixed_rules() & (F.col("place") >= 0)).join(good, "doc_id", "left_semi")
     tests = [(rule, cut, f"{m} > {cut}D") for rule, m, cuts in rules for cut in cuts]
     counted = held.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(what)).alias(f"k{i}") for i, (_, _, what) in enumerate(tests)]
@@ -182,7 +185,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     once beside the texts: cheaper than moving the texts to their verdicts.
     """
     tests = work.save(calibrate(measure(docs), labels), "tests")
-    return judge(measure(docs, carry=True), tests).where("kept").select("row.*")
+    return judge(measure(docs, carry=True), tests).where("kept and place >= 0").select("row.*")
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
