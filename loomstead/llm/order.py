@@ -23,6 +23,7 @@ gives no shard; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,15 +187,20 @@ def materialise(
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, width: int = 2, per_shard: int = PER_SHARD) -> DataFrame:
     """slot, shard, byte_offset and ids_crc32 of everything in the shards."""
-    stride = length * width + 1
+    size, stride = length * width, length * width + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = memoryview(content.as_buffer())
+                at = list(range(0, len(raw), stride))
+                slots = [shard * per_shard + i for i in range(len(at))]
+                crc = [zlib.crc32(raw[i : i + size]) for i in at]
+                columns = [pa.array(slots, pa.int64()), pa.array([shard] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "byte_offset", "ids_crc32"])
+
     files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long").alias("shard"), "content")
-    rows = F.expr(
-        f"transform(sequence(0, cast(length(content) / {stride} as int) - 1), i -> named_struct('i', i, 'crc', crc32(substring(content, i * {stride} + 1, {length * width}))))"
-    )
-    each = files.select("shard", F.explode(rows).alias("r"))
-    return each.select(
-        (F.col("shard") * per_shard + F.col("r.i")).alias("slot"), "shard", (F.col("r.i").cast("long") * stride).alias("byte_offset"), F.col("r.crc").alias("ids_crc32")
-    )
+    return files.mapInArrow(run, "slot long, shard long, byte_offset long, ids_crc32 long")
 
 
 def ordered(docs: DataFrame, work: Workspace, tokenizer: str, length: int = LENGTH, per_shard: int = PER_SHARD, **more) -> DataFrame:
