@@ -99,6 +99,34 @@ class Model:
         return total, alpha
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Non-negative whole numbers in the fewest bytes, planes of bytes together, compressed."""
+    import zstandard
+
+    a = np.ascontiguousarray(a).reshape(-1)
+    most = int(a.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand(b: bytes) -> np.ndarray:
+    """The inverse of ``squeeze``."""
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(b[0], -1).T).reshape(-1).view(f"<u{b[0]}").astype(np.uint64)
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    """Keys in order, by their differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def expand_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(expand(b), dtype=np.uint64)
+
+
 def _digest():
     from xxhash import xxh3_64_intdigest
 
@@ -118,7 +146,7 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
 
         def block() -> pa.RecordBatch:
             keys, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            row = [[number], [ids], [[len(h) for h in hashes]], [[trains(i) for i in ids]], [words.astype(np.uint32).tobytes()], [keys.tobytes()]]
+            row = [[number], [ids], [[len(h) for h in hashes]], [[trains(i) for i in ids]], [squeeze(words)], [squeeze_sorted(keys)]]
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
@@ -144,7 +172,7 @@ class Tokens:
     def __init__(self, row: dict):
         self.ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
         self.trained = np.array(row["trained"], bool)
-        self.words, self.keys = np.frombuffer(row["words"], np.uint32).astype(np.int64), np.frombuffer(row["keys"], np.uint64)
+        self.words, self.keys = expand(row["words"]).astype(np.int64), expand_sorted(row["keys"])
         self.in_training = np.repeat(self.trained, self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.words)
@@ -168,7 +196,7 @@ def ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int)
     keys, sums = keys[order], sums[order]
     bucket = (keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
     cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
-    return [(kind, int(bucket[a]), block, keys[a:b].tobytes(), sums[a:b].astype(np.int64).tobytes()) for a, b in zip(cut, cut[1:], strict=False) if b > a]
+    return [(kind, int(bucket[a]), block, squeeze_sorted(keys[a:b]), squeeze(sums[a:b].T)) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
 def understand(rows: list[dict], keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +206,8 @@ def understand(rows: list[dict], keys: np.ndarray, width: int) -> tuple[np.ndarr
     sums = np.empty((len(keys), width), np.int64)
     first = np.empty(len(keys), bool)
     if rows:
-        sums[order] = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in rows]).reshape(-1, width)
-        first[order] = np.concatenate([np.frombuffer(r["first"], bool) for r in rows])
+        sums[order] = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(width, -1).T for r in rows])
+        first[order] = np.concatenate([expand(r["first"]).astype(bool) for r in rows])
     return sums, first
 
 
@@ -196,8 +224,9 @@ def exchange(asked: DataFrame, width: dict[int, int]) -> DataFrame:
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         kind, w = key[0].as_py(), width[key[0].as_py()]
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-        own = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in rows]).reshape(-1, w)
+        each = [expand_sorted(r["keys"]) for r in rows]
+        keys = np.concatenate(each)
+        own = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(w, -1).T for r in rows])
         found, at, number = np.unique(keys, return_index=True, return_inverse=True)
         sums = np.stack([np.bincount(number, weights=own[:, c], minlength=len(found)) for c in range(w)], axis=1).astype(np.int64)
         first = np.zeros(len(keys), bool)
@@ -206,10 +235,10 @@ def exchange(asked: DataFrame, width: dict[int, int]) -> DataFrame:
         told = [*np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[: CUT + 2].tolist(), int(c.sum()), int((c > 0).sum())]
         out = [(kind, key[1].as_py(), -1, np.array(told, np.int64).tobytes(), b"")]
         upto = 0
-        for r in rows:
-            n = len(r["keys"]) // 8
-            out.append((kind, key[1].as_py(), r["block"], sums[number[upto : upto + n]].tobytes(), first[upto : upto + n].tobytes()))
-            upto += n
+        for r, k in zip(rows, each, strict=True):
+            part = slice(upto, upto + len(k))
+            out.append((kind, key[1].as_py(), r["block"], squeeze(sums[number[part]].T), squeeze(first[part])))
+            upto += len(k)
         return _table(out, ANSWER)
 
     return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
@@ -245,8 +274,8 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame, work: Workspace, block_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The model's log10 probability of every text, and that of the add-one base."""
     blocks = work.save(block_of(docs, block_tokens, doc_id, text), "blocks")
-    n = blocks.select(F.sum(F.octet_length("words") / 4)).first()[0] or 0
-    buckets = 1 << max(2, int(n / bucket_keys)).bit_length()
+    n = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    buckets = 1 << max(2, n // bucket_keys).bit_length()
 
     def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,4 +320,4 @@ def score_documents(docs: DataFrame, work: Workspace, block_tokens: int = 1_500_
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(x, y) for c, x, y in zip(SCORED.split(", "), out, types, strict=True)})
 
-    return with_answers(blocks, counts.unionByName(contexts), evaluate, SCORED)
+    return work.finish(with_answers(blocks, counts.unionByName(contexts), evaluate, SCORED), "scores")
