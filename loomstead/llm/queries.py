@@ -155,6 +155,39 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), Workspace(spark, "jaccard"))
 
 
+RULE_SQL = {"symbols": "n_symbols", "duplicate_lines": "n_dup_lines", "repeats": "n_repeat_words", "long_words": "word_chars", "capitals": "n_capitals"}
+TESTS_SQL = ", ".join(f"('{rule}', {cut}::double)" for rule, _, cuts in quality.RULES for cut in cuts)
+MEASURE_SQL = "case rule " + " ".join(f"when '{r}' then {c} / " + ("word_chars" if r == "capitals" else "n_words") + "::double" for r, c in RULE_SQL.items()) + " end"
+OP5_SQL = rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(lang, '') stratum, coalesce("text", '') t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+g as (select rid, i, ws[i : i + 2] g from (select rid, ws, unnest(range(1, len(ws) - 1)) i from w)),
+c as (select rid, i from g qualify count(*) over (partition by rid, g) > 1),
+r as (select rid, count(distinct k) n from (select rid, unnest([i, i + 1, i + 2]) k from c) group by rid),
+f as (select w.rid, doc_id, stratum, len(ws)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols,
+    (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g'))::bigint n_capitals from w left join r using (rid)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from f),
+h as (select * from b where not base_failed and doc_id in (select doc_id from labels where quality is not null group by doc_id having max(quality) = 1)),
+k as (select stratum, rule, cutoff, count(*) n, count_if({MEASURE_SQL} > cutoff)::bigint k from h, (values {TESTS_SQL}) x(rule, cutoff) group by all),
+p as (select stratum, rule, cutoff, case when any_value(k) > any_value(n) * {quality.RISK / len(quality.RULES)}::double then 1 else sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln({quality.RISK / len(quality.RULES)}::double) + (n - i) * ln(1 - {quality.RISK / len(quality.RULES)}::double))) end p from (select *, unnest(range(0, k + 1)) i from k) group by all),
+o as (select stratum, rule, min(cutoff) cutoff from p where p <= {quality.DELTA}::double / (select count(*) from k) group by all),
+x as (select rid from b join o using (stratum) where n_words > 0 and {MEASURE_SQL} > cutoff)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rid not in (select rid from x) kept from b
+"""
+
+OP10_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+e as (select distinct doc_id, case when len(ws) < 3 then ws else ws[i : i + 2] end s from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from e group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) i from e a join e b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+u as (select a, b from l union select b, a from l),
+r as (select a, b from u union select r.a, u.b from r join u on r.b = u.a),
+c as (select a doc_id, least(a, min(b)) component_id from r group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(component_id, w.doc_id) component_id from w left join n using (doc_id) left join c using (doc_id)
+"""
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_training_order": op2_training_order,
@@ -168,4 +201,10 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_decontamination": OP6_SQL, "op7_chat_formatting": OP7_SQL}
+ORACLE_SQL = {
+    "op1_url_filters": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op7_chat_formatting": OP7_SQL,
+    "op10_jaccard_join": OP10_SQL,
+}
