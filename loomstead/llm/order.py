@@ -32,7 +32,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 from .common import Workspace, text_of
 from .tokens import Encoder
 
