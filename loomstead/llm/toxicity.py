@@ -7,15 +7,15 @@ at the ends taken off). ``fit`` learns from labelled rows:
 * every feature's log-odds among toxic and clean rows say how much it can tell
   (features that too few toxic rows have, tell nothing), and scale its input;
 * logistic regression by Newton-like accelerated gradient steps weighs them;
-* for each labelled sentence that names a group, every naming is swapped for
-  another group's, and each sentence of a bounded sample gets a neutral mention;
-  the squared change of the score is added to the loss, times ``fairness``. A
+* for each labelled sentence that names a group, wherever it stands in its text,
+  every naming is swapped for another group's, and the first three other
+  sentences of each text get a neutral mention; the squared change of the score is added to the loss, times ``fairness``. A
   mention of a group alone then moves the score little, in either direction.
 
 Labels are read for learning from at most ``max_rows`` rows, those with the
-smallest hash of the id, so memory on the driver is bounded (each row sends at
-most ``max_features`` of its features, of which all texts of usual length have
-fewer; scoring reads every word of every text). Scoring is one pass over the
+smallest hash of the id. Spark counts every feature of these rows by class; a
+row then sends the features that can tell something and no others, and of its
+swaps the changes in those features with how often each occurs. Scoring is one pass over the
 documents, without a shuffle, with the weights of at most 2**bits features.
 
 Defined cases: a null text is empty; an empty text gets the model's intercept;
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import id_crc, text_of
 
 BITS = 20
+#: Toxic rows that must have a feature for it to tell something.
+LEAST = 3
 #: Terms that name groups of people, in the corpus' languages. A neutral mention must not count as toxic.
 IDENTITY_TERMS = (
     "women", "men", "girls", "boys", "muslims", "christians", "jews", "hindus", "atheists", "immigrants", "refugees", "black", "white", "asian", "gay", "lesbian",
@@ -47,6 +50,7 @@ IDENTITY_TERMS = (
 )
 _SENTENCE = re.compile(r"[.!?\n]+")
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_EDGE_TEXT = _EDGE.decode()
 
 
 def word_features(word: bytes, bits: int = BITS) -> tuple[int, ...]:
@@ -101,8 +105,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], bits: int = BITS, least: int = 3, l2: float = 0.006, fairness: float = 4.0, steps: int = 300) -> Model:
-    """Fit on the features of texts. pairs: the features of a sentence and of its counterfactual."""
+def telling(a: np.ndarray, b: np.ndarray, toxic: int, n: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The features that can tell something, and all log-odds; a, b: how many toxic and clean rows have each feature."""
+    odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (n - toxic + 1))
+    # what chance alone could give is taken off
+    odds = np.maximum(0, np.abs(odds) - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) * np.sign(odds)
+    return np.flatnonzero((odds > 1.0) & (a >= least)), odds
+
+
+def train(
+    rows: list[np.ndarray],
+    y: np.ndarray,
+    pairs: list[tuple[np.ndarray, np.ndarray]],
+    bits: int = BITS,
+    least: int = LEAST,
+    l2: float = 0.006,
+    fairness: float = 4.0,
+    steps: int = 300,
+    times: np.ndarray | None = None,
+) -> Model:
+    """Fit on the features of texts. pairs: the features of a sentence and of its counterfactual; times: how often each pair occurs."""
     n, toxic = len(rows), int(y.sum())
     if n == 0 or toxic in (0, n):
         return Model(bits=bits, constant=toxic / n if n else 0.0)
@@ -111,10 +133,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
     flat, row = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), lengths)
     bad = np.repeat(y == 1, lengths)
     a, b = np.bincount(flat[bad], minlength=size), np.bincount(flat[~bad], minlength=size)
-    odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (n - toxic + 1))
-    # what chance alone could give is taken off
-    odds = np.maximum(0, np.abs(odds) - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) * np.sign(odds)
-    kept = np.flatnonzero((odds > 1.0) & (a >= least))
+    kept, odds = telling(a, b, toxic, n, least)
     number = np.full(size, -1, np.int32)
     number[kept] = np.arange(len(kept))
     scale = odds[kept]
@@ -132,6 +151,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
             dv.append(sign * scale[f])
     dc, dr, dv = (np.concatenate(x) if x else np.zeros(0) for x in (dc, dr, dv))
     dc, dr = dc.astype(np.int64), dr.astype(np.int64)
+    times = np.ones(len(pairs)) if times is None else times
+    n_pairs = times.sum()
     w, c = np.zeros(len(kept)), np.log(toxic / (n - toxic))
     weight = np.where(y == 1, 0.5 * n / toxic, 0.5 * n / (n - toxic)) ** 0.5
     weight /= weight.mean()
@@ -140,7 +161,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
     bound = 0.25 * np.bincount(cols, weights=weight[row] * np.abs(value) * per_row[row], minlength=len(kept)) / n + l2
     if len(pairs):
         per_pair = np.bincount(dr, weights=np.abs(dv), minlength=len(pairs))
-        bound += fairness * np.bincount(dc, weights=np.abs(dv) * per_pair[dr], minlength=len(kept)) / len(pairs)
+        bound += fairness * np.bincount(dc, weights=np.abs(dv) * (times * per_pair)[dr], minlength=len(kept)) / n_pairs
     vw, vc, t = w, c, 1.0
     for _ in range(steps):
         z = vc + np.bincount(row, weights=vw[cols] * value, minlength=n)
@@ -148,7 +169,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
         g = np.bincount(cols, weights=e[row] * value, minlength=len(kept)) / n + l2 * vw
         if len(pairs):
             d = np.bincount(dr, weights=vw[dc] * dv, minlength=len(pairs))
-            g += fairness * np.bincount(dc, weights=d[dr] * dv, minlength=len(kept)) / len(pairs)
+            g += fairness * np.bincount(dc, weights=(times * d)[dr] * dv, minlength=len(kept)) / n_pairs
         nw = np.maximum(0, vw - g / (2 * bound))
         nc = vc - e.mean() / 0.5
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -158,15 +179,19 @@ def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, n
 
 
 def counterfactuals(text: str, features: Features, terms: tuple[str, ...], most: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sentences of a text: with a group's name, and with another's; or without, and with a neutral mention."""
-    out, known = [], {t: i for i, t in enumerate(terms)}
+    """Pairs of sentences of a text: each that names a group, and with another's name; the first ``most`` others, and with a neutral mention."""
+    out, known, added = [], {t: i for i, t in enumerate(terms)}, 0
     for sentence in _SENTENCE.split(text):
         words = sentence.lower().split()
-        if not words or len(out) >= most:
-            continue
-        swapped = [terms[(known[w] + 1 + len(out)) % len(terms)] if w in known else w for w in words]
-        if swapped == words:
+        bare = [w.strip(_EDGE_TEXT) for w in words]
+        if not known.keys().isdisjoint(bare):
+            step = 1 + len(out) % max(1, len(terms) - 1)  # never round to the term itself
+            swapped = [terms[(known[b] + step) % len(terms)] if b in known else w for w, b in zip(words, bare, strict=True)]
+        elif words and added < most:
+            added += 1
             swapped = [*words, terms[zlib.crc32(sentence.encode("utf-8", "replace")) % len(terms)]]
+        else:
+            continue
         out.append((features.of(" ".join(words)), features.of(" ".join(swapped))))
     return out
 
@@ -176,7 +201,6 @@ def fit(
     labels: DataFrame,
     held_out: Column | None = None,
     max_rows: int = 8_000,
-    max_features: int = 20_000,
     terms: tuple[str, ...] = IDENTITY_TERMS,
     bits: int = BITS,
     fairness: float = 4.0,
@@ -191,30 +215,51 @@ def fit(
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(marks), "doc_id")  # max_rows rows at most
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, seen, rows = Features(bits), np.zeros((2, 1 << bits), np.int64), [0, 0]
+        for batch in batches:
+            for t, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                clean = int(not toxic)
+                seen[clean, features.of(t.as_py())] += 1
+                rows[clean] += 1
+        f = np.flatnonzero(seen.any(axis=0))
+        columns = [np.append(f, -1), np.append(seen[0, f], rows[0]), np.append(seen[1, f], rows[1])]  # -1: all rows
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["f", "a", "b"])
+
+    counted = own.mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    f, a, b = (c.to_numpy() for c in counted.where(f"f = -1 or a >= {LEAST}").select("f", "a", "b").toArrow().columns)
+    toxic, n = (int(a[f == -1].sum()), int((a + b)[f == -1].sum()))
+    if toxic in (0, n):
+        return Model(bits=bits, constant=toxic / n if n else 0.0)
+    kept = np.sort(f[f >= 0][telling(a[f >= 0], b[f >= 0], toxic, n)[0]]).astype(np.int32)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
+        among = lambda x: np.intersect1d(x, kept, assume_unique=True).tobytes()
         for batch in batches:
             rows = []
             for t in batch.column(1):
                 t = t.as_py()
-                pairs = counterfactuals(t, features, terms)
-                rows.append((features.of(t)[:max_features].tobytes(), [p.tobytes() for x in pairs for p in x]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.binary())), batch.column(2), batch.column(0)], ["x", "pairs", "y", "doc_id"]
-            )
-
-    got = own.mapInArrow(extract, "x binary, pairs array<binary>, y int, doc_id long").toArrow()
-    rows, y, pairs, order = [], [], [], []
-    for x, twos, label_, i in zip(*(got.column(c) for c in range(4)), strict=True):
-        x = x.as_py()
+                pairs = Counter((among(np.setdiff1d(p, q)), among(np.setdiff1d(q, p))) for p, q in counterfactuals(t, features, terms))
+                rows.append((among(features.of(t)), [x for p in pairs for x in p], list(pairs.values())))
+            x, twos, times = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [pa.array(x, pa.binary()), pa.array(twos, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), batch.column(2), batch.column(0)]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "pairs", "times", "y", "doc_id"])
+
+    got = own.mapInArrow(extract, "x binary, pairs array<binary>, times array<long>, y int, doc_id long").toArrow()
+    rows, y, order, pairs = [], [], [], Counter()
+    for x, twos, times, label_, i in zip(*(got.column(c) for c in range(5)), strict=True):
+        x, twos = x.as_py(), twos.as_py()
         rows.append(np.frombuffer(x, np.int32))
         y.append(label_.as_py())
-        p = [np.frombuffer(t, np.int32) for t in twos.as_py()]
-        pairs.append(list(zip(p[::2], p[1::2], strict=True)))
+        for p, q, t in zip(twos[::2], twos[1::2], times.as_py(), strict=True):
+            pairs[p, q] += t
         order.append((i.as_py(), zlib.crc32(x)))
     del got
     by = sorted(range(len(rows)), key=order.__getitem__)  # the same model however the rows arrive
-    return train([rows[i] for i in by], np.array([y[i] for i in by], float), [p for i in by for p in pairs[i]], bits, fairness=fairness)
+    changes = sorted(pairs)
+    both = [(np.frombuffer(p, np.int32), np.frombuffer(q, np.int32)) for p, q in changes]
+    return train([rows[i] for i in by], np.array([y[i] for i in by], float), both, bits, fairness=fairness, times=np.array([pairs[c] for c in changes], float))
 
 
 class Weights:

@@ -46,3 +46,22 @@ def test_odd_inputs(spark):
     out = tox.score(docs, tox.fit(docs, both)).collect()
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
     assert tox.score(docs.limit(0), tox.fit(docs, both)).count() == 0
+
+
+def test_every_naming_is_swapped():
+    f = tox.Features()
+    plain = "One two. Three four. Five six. Seven eight. "
+    pairs = tox.counterfactuals(plain + "All (women), they said. Nine ten. " + "And men! " * 70, f, tox.IDENTITY_TERMS)
+    named = [(p, q) for p, q in pairs if len(np.setdiff1d(p, q))]
+    assert len(pairs) == 3 + 71 and len(named) == 71
+    assert set(f.of("women")) <= set(named[0][0]) and not set(f.of("women")) <= set(named[0][1])
+
+
+def test_long_texts_keep_all_features(spark):
+    f = tox.Features()
+    word = next(w for w in (f"{i:02d}" for i in range(100)) if f.of(w).min() > 0.9 * (1 << tox.BITS))  # last in the order of features
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"{x:08x}" for x in rng.integers(0, 1 << 32, 8000)) + f" {word if i % 2 else 'fine'}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert tox.fit(docs, labels).dense()[f.of(word)].sum() > 1
