@@ -9,7 +9,9 @@ its path of tags and classes, with digits generalised.
 
 The pages of a host vote on paths in Spark, and every page is extracted again
 from the path that its host prefers among those it has; a page that has none of
-them, or no host, keeps its own proposal. A short article beside a long box of
+them, or no host, keeps its own proposal. Every path counts, however few pages
+vote for it: pages that have the same paths are one candidate list, whose paths
+meet the host's votes by key, so no list of a host's paths exists. A short article beside a long box of
 unknown kind is found that way, since the other pages of its host outvote it.
 
 Blocks are joined in page order by two line feeds; character references are
@@ -23,16 +25,17 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Workspace, text_of
 from .urls import host_of
 
 #: HTML's own names.
@@ -83,6 +86,19 @@ class Page:
             at = best
         return at
 
+    def marks(self) -> list[bytes]:
+        """Each container's path as a hash."""
+        return [hashlib.md5(p.encode()).digest() for p in self.paths]
+
+    def candidates(self) -> list[bytes]:
+        """The marks of the containers with text, in order."""
+        full = [False] * len(self.parents)
+        for c, _, _ in self.blocks:
+            full[c] = True
+        for c in reversed(range(1, len(full))):
+            full[self.parents[c]] |= full[c]
+        return sorted({m for m, f in zip(self.marks(), full, strict=True) if f})
+
     def text(self, chosen: set[int]) -> str:
         """The blocks inside the chosen containers."""
         inside = [False] * len(self.parents)
@@ -183,43 +199,68 @@ def read(html: str) -> Page:
     return page
 
 
-def vote(pages: DataFrame) -> DataFrame:
-    """host and paths (best first): how the pages of each host voted. Paths with under a twentieth of a host's votes are left out."""
+def preferred(pages: DataFrame, work: Workspace) -> DataFrame:
+    """host, key (of a list of candidates), path and mark: which of the candidates most pages of the host vote for, the first path on ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = []
+            rows = []
             for h in batch.column(1):
                 page = read(h.as_py())
-                paths.append(page.paths[page.propose()] if page.blocks else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+                own = page.candidates()
+                rows.append((_key(own), page.paths[page.propose()] if page.blocks else None, own))
+            key, path, own = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [batch.column(0), pa.array(key, pa.binary()), pa.array(path, pa.string()), pa.array(own, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "path", "candidates"])
+
+    votes = pages.where("host is not null").select("host", "html").mapInArrow(run, "host string, key binary, path string, candidates array<binary>").where("path is not null")
+    votes = work.save(votes.groupBy("host", "key", "path").agg(F.count(F.lit(1)).alias("n"), F.first("candidates").alias("candidates")), "votes")
+    counted = votes.groupBy("host", "path").agg(F.sum("n").alias("n")).withColumn("mark", F.unhex(F.md5(F.col("path").cast("binary"))))
+    lists = votes.groupBy("host", "key").agg(F.first("candidates").alias("candidates"))
+    each = lists.select("host", "key", F.explode("candidates").alias("mark")).join(counted, ["host", "mark"])
+    best = each.groupBy("host", "key").agg(F.min(F.struct((-F.col("n")).alias("n"), "path", "mark")).alias("best"))
+    return work.finish(best.select("host", "key", "best.path", "best.mark"), "preferred")
+
+
+def _key(candidates: list[bytes]) -> bytes:
+    return hashlib.md5(b"".join(candidates)).digest()
+
 
-    votes = pages.where("host is not null").select("host", "html").mapInArrow(run, "host string, path string").where("path is not null")
-    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("host"))).where("share >= 0.05")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    return counted.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
+PARSED = "page_id long, url string, host string, key binary, own int, own_path string, marks binary, parents array<int>, at array<int>, texts array<string>"
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars and path (the one used) of every page."""
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), text_of(html).alias("html"))
-    joined = own.join(vote(own), "host", "left").select("page_id", "url", "html", "paths")
+    best = preferred(own, Workspace(pages.sparkSession, "pages"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = zip(*(c.split() for c in PARSED.split(", ")[3:]), strict=True)
+        arrow = {"binary": pa.binary(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+        for batch in batches:
+            rows = []
+            for h in batch.column(3):
+                page = read(h.as_py())
+                i = page.propose()
+                rows.append((_key(page.candidates()), i, page.paths[i], b"".join(page.marks()), page.parents, [c for c, _, _ in page.blocks], [t for _, t, _ in page.blocks]))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            columns = [*batch.columns[:3], *(pa.array(c, arrow[t]) for c, t in zip(columns, types, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", *names])
+
+    parsed = own.select("page_id", "url", "host", "html").mapInArrow(parse, PARSED)
+    joined = parsed.join(best, ["host", "key"], "left").select("page_id", "url", "own", "own_path", "marks", "parents", "at", "texts", "path", "mark")
     names = ["page_id", "url", "text", "n_chars", "path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, used = [], []
-            for h, paths in zip(batch.column(2), batch.column(3), strict=True):
-                page = read(h.as_py())
-                text, path = "", None
-                for p in [*(paths.as_py() or []), page.paths[page.propose()]]:
-                    chosen = {i for i, x in enumerate(page.paths) if x == p}
-                    if chosen and (text := page.text(chosen)):
-                        path = p
-                        break
+            for own, own_path, marks, parents, at, parts, path, mark in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                page = Page(parents, [], [(c, t, 0) for c, t in zip(at, parts, strict=True)])
+                if mark is None:  # the own proposal, and all containers of its path
+                    path, mark = own_path, marks[16 * own : 16 * own + 16]
+                text = page.text({i for i in range(len(parents)) if marks[16 * i : 16 * i + 16] == mark})
                 texts.append(text)
-                used.append(path)
+                used.append(path if text else None)
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(used, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
 

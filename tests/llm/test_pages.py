@@ -44,3 +44,23 @@ def test_host_consensus_and_odd_rows(spark):
     assert all(r.text == want[r.page_id] for r in out if r.page_id in want)
     assert sorted(r.text for r in out if r.page_id not in want) == ["", "", "a", "b b"]
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_rare_templates_vote(spark):
+    rng = random.Random(1)
+    words = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) for _ in range(n))
+    rows, want = [], []
+
+    def page(host, template, n):
+        want.append(words(n))
+        rows.append((len(rows), f"http://{host}/a", f"<body><div class={template}><p>{want[-1]}</p></div><div class=zz><p>{words(30)}</p></div></body>"))
+
+    for t in "abcdefghijklmnopqrstuvwxy":  # no template has a twentieth of the first host's pages, and one page is short
+        for n in (200 if t > "a" else 3, 200, 200, 200):
+            page("many.org", f"topic-{t}", n)
+    for n in [200] * 120 + [3]:
+        page("one.org", "usual", n)
+    for n in (3, 200, 200):
+        page("one.org", "rare", n)
+    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in sorted(out, key=lambda r: r.page_id)] == want
