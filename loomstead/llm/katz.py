@@ -1,13 +1,16 @@
-"""Katz back-off language model: Good-Turing discounted counts of words and word pairs.
-
-P(w | v) is the discounted share of the pair (v, w) among v's pairs if the pair
-was seen in training, and otherwise alpha(v) P(w); P(w) is the discounted share
-of the word, and all words never seen share the mass that the discounts leave.
-alpha(v) makes every P(. | v) sum to one exactly: it is what v's seen pairs leave,
-over what their words leave of P. A context whose counts leave nothing counts
-one more; a context never seen has alpha one. Counts up to ``CUT`` are
-discounted, by Good-Turing from the numbers of words or pairs seen 1, 2, ...
-times; where those numbers give no discount between zero and one, none is made.
+"""Katz back-off language model: Good-Turing discounted counts of words and of word sequences up to ``order`` words.
+
+P(w | h) of a context h is the discounted share of the sequence (h, w) among h's
+sequences if it was seen in training, and otherwise alpha(h) P(w | h'), where h'
+is h without its first word; in the end P(w) is the discounted share of the
+word, and all words never seen share the mass that the discounts leave.
+alpha(h) makes every P(. | h) sum to one exactly: it is what h's seen sequences
+leave, over what their words leave of P(. | h'). A context whose counts leave
+nothing counts one more; a context never seen has alpha one. The first words of
+a text have the start and the words before them as their context, however short.
+Counts up to ``CUT`` are discounted, by Good-Turing from the numbers of
+sequences of a length seen 1, 2, ... times; where those numbers give no discount
+between zero and one, none is made.
 
 Nothing of a corpus' size is held in one place. Documents are gathered in blocks
 of about ``block_tokens`` tokens, written once as numbers into the block's own
@@ -15,15 +18,16 @@ list of words. What a block needs of the whole corpus it asks for by key: an
 exchange deals the keys of all blocks into buckets by hash, sums the values that
 the blocks bring for each key, and writes the sums as a table by bucket and
 block, in the order in which they were asked. A block brings each of its
-distinct words and pairs once, however frequent they are. There are three
-exchanges: counts of words, counts of pairs, and, for each context, sums over
-its seen pairs (each pair being told by one block only). Sums are of integers,
-so the result doesn't depend on the order of rows. The tokens are then scored
-block by block, from the pair down to the word.
+distinct words and sequences once, however frequent they are. For each length
+there is an exchange of counts, and one of sums over the seen sequences of each
+context (each sequence being told by one block only): of their counts, and of
+the counts of the same without the first word, which are seen too. Sums are of
+integers, so the result doesn't depend on the order of rows. The tokens are then
+scored block by block, from the word up to the longest sequence.
 
 Words are runs of anything but ASCII white space, A-Z in lower case; each text
 ends with an end token and is preceded by a start that is only a context. Words
-and pairs are told apart by 64-bit hashes.
+and sequences are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is the end token alone; null and repeated
 ids are kept row by row; without training rows all words are unknown and share
@@ -34,6 +38,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,31 +76,33 @@ def discounts(seen: list[int]) -> np.ndarray:
 class Model:
     """What all blocks share: totals and discounts."""
 
-    def __init__(self, words: list[int], pairs: list[int]):
+    def __init__(self, seen: list[list[int]]):
+        """seen: for words, pairs and so on."""
         # totals: seen 0 .. CUT + 1 times (0 unused), then the sum of counts, then how many were seen at all
+        words = seen[0]
         self.tokens, self.types = words[CUT + 2], words[CUT + 3]
-        self.d1, self.d2 = discounts(words), discounts(pairs)
+        self.d = [np.zeros(0), *map(discounts, seen)]  # by length
         low = sum(r * words[r] for r in range(1, CUT + 1))
-        mass = sum(self.d1[r] * r * words[r] for r in range(1, CUT + 1)) + (self.tokens - low)
+        mass = sum(self.d[1][r] * r * words[r] for r in range(1, CUT + 1)) + (self.tokens - low)
         self.total = self.tokens if mass < self.tokens - 1e-9 else self.tokens + 1
         self.unknown = 1 - mass / self.total
 
-    def weigh(self, d: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Discounted counts."""
-        return c * np.where(c <= CUT, d[np.minimum(c, CUT)], 1.0)
+    def weigh(self, n: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of sequences of n words."""
+        return c * np.where(c <= CUT, self.d[n][np.minimum(c, CUT)], 1.0)
 
     def word(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words with these counts."""
-        return np.where(c > 0, self.weigh(self.d1, c) / self.total, self.unknown)
+        return np.where(c > 0, self.weigh(1, c) / self.total, self.unknown)
 
-    def context(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The denominator and alpha of contexts, from the sums over their pairs."""
+    def context(self, n: int, sums: np.ndarray, shorter: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The denominator and alpha of contexts of n - 1 words, from the sums over their sequences; shorter: the denominators without the first word."""
         r = np.arange(1, CUT + 1)
         count = sums[:, :CUT] @ r + sums[:, CUT]
-        kept = sums[:, :CUT] @ (r * self.d2[1:]) + sums[:, CUT]
-        of_words = (sums[:, CUT + 1 : 2 * CUT + 1] @ (r * self.d1[1:]) + sums[:, 2 * CUT + 1]) / self.total
+        kept = sums[:, :CUT] @ (r * self.d[n][1:]) + sums[:, CUT]
+        below = (sums[:, CUT + 1 : 2 * CUT + 1] @ (r * self.d[n - 1][1:]) + sums[:, 2 * CUT + 1]) / np.maximum(shorter, 1)
         total = count + (kept > count - 1e-9)
-        alpha = np.where(count > 0, (1 - kept / np.maximum(total, 1)) / np.maximum(1 - of_words, 1e-300), 1.0)
+        alpha = np.where(count > 0, (1 - kept / np.maximum(total, 1)) / np.maximum(1 - below, 1e-300), 1.0)
         return total, alpha
 
 
@@ -167,27 +174,45 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
 
 
 class Tokens:
-    """A block's tokens, words and pairs."""
+    """A block's tokens, words and sequences.
+
+    For each length n from 2: ``at[n]`` is each token's number among the distinct
+    sequences (-1 near a text's start), ``left[n]`` and ``rest[n]`` are the numbers
+    of a sequence's context and of the sequence without its first word.
+    """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
         self.trained = np.array(row["trained"], bool)
-        self.words, self.keys = expand(row["words"]).astype(np.int64), expand_sorted(row["keys"])
+        self.words, words = expand(row["words"]).astype(np.int64), expand_sorted(row["keys"])
         self.in_training = np.repeat(self.trained, self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
         before = np.empty_like(self.words)
         before[1:] = self.words[:-1]
-        before[self.starts] = len(self.keys)  # the start of a text
-        code, self.pair = np.unique(before * (len(self.keys) + 1) + self.words, return_inverse=True)
-        self.left, self.right = code // (len(self.keys) + 1), code % (len(self.keys) + 1)
-        self.contexts = np.append(self.keys, np.uint64(_digest()(b"", 9)))
-        x = self.contexts[self.left] * _A
-        x = ((x ^ (x >> np.uint64(31))) + self.keys[self.right]) * _B
-        self.pair_keys = x ^ (x >> np.uint64(29))
-
-    def count(self, of: np.ndarray, n: int) -> np.ndarray:
-        """Occurrences in training."""
-        return np.bincount(of[self.in_training], minlength=n).astype(np.int64)
+        before[self.starts] = len(words)  # the start of a text
+        self.at, self.keys = {1: self.words}, {1: words}
+        self.contexts = {2: np.append(words, np.uint64(_digest()(b"", 9)))}
+        self.left: dict[int, np.ndarray] = {}
+        self.rest: dict[int, np.ndarray] = {}
+        for n in range(2, order + 1):
+            there = before >= 0
+            code, number = np.unique(before[there] * (len(words) + 1) + self.words[there], return_inverse=True)
+            self.at[n] = np.full(len(self.words), -1, np.int32)
+            self.at[n][there] = number
+            left, right = code // (len(words) + 1), code % (len(words) + 1)
+            self.left[n], self.rest[n] = left.astype(np.int32), np.empty(len(code), np.int32)
+            self.rest[n][number] = self.at[n - 1][there]
+            x = self.contexts[n][left] * _A
+            x = ((x ^ (x >> np.uint64(31))) + words[right]) * _B
+            self.keys[n] = self.contexts[n + 1] = x ^ (x >> np.uint64(29))
+            before = np.full(len(self.words), -1, np.int64)
+            before[1:] = self.at[n][:-1]
+            before[self.starts] = -1
+
+    def count(self, n: int) -> np.ndarray:
+        """Occurrences of the sequences of n words in training."""
+        at = self.at[n][self.in_training]
+        return np.bincount(at[at >= 0], minlength=len(self.keys[n])).astype(np.int64)
 
 
 def ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int) -> list[tuple]:
@@ -244,14 +269,14 @@ def exchange(asked: DataFrame, width: dict[int, int]) -> DataFrame:
     return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Tokens, int, dict[int, list[dict]]], pa.Table], schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Tokens, int, dict[int, list[dict]]], pa.Table], schema: str, order: int) -> DataFrame:
     """Apply ``run`` to each block and the answers to it, by kind."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_kind: dict[int, list[dict]] = {1: [], 2: [], 3: []}
+        by_kind: dict[int, list[dict]] = defaultdict(list)
         for r in right.to_pylist():
             by_kind[r["kind"]].append(r)
-        parts = [run(Tokens(row), row["block"], by_kind) for row in left.to_pylist()]  # one
+        parts = [run(Tokens(row, order), row["block"], by_kind) for row in left.to_pylist()]  # one
         return pa.concat_tables(parts)
 
     return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(meet, schema)
@@ -271,53 +296,81 @@ def totals(answers: DataFrame, kind: int) -> list[int]:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, work: Workspace, block_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The model's log10 probability of every text, and that of the add-one base."""
+def score_documents(
+    docs: DataFrame, work: Workspace, block_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", order: int = 2
+) -> DataFrame:
+    """The model's log10 probability of every text, and that of the add-one base; order: the words of the longest sequences, two at least."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
     blocks = work.save(block_of(docs, block_tokens, doc_id, text), "blocks")
     n = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     buckets = 1 << max(2, n // bucket_keys).bit_length()
-
-    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                t = Tokens(row)
-                rows = ask(1, row["block"], t.keys, t.count(t.words, len(t.keys)), buckets)
-                rows += ask(2, row["block"], t.pair_keys, t.count(t.pair, len(t.pair_keys)), buckets)
-                yield from _table(rows, ASKED).to_batches()
-
-    counts = work.save(exchange(blocks.mapInArrow(ask_counts, ASKED), {1: 1, 2: 1}), "counts")
-    work.release()
-    model = Model(totals(counts, 1), totals(counts, 2))
     width = 2 * CUT + 2
 
-    def ask_contexts(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
-        c1 = understand(answers[1], t.keys, 1)[0][:, 0]
-        c2, first = understand(answers[2], t.pair_keys, 1)
-        own = first & (c2[:, 0] > 0)
-        left, c2, cw = t.left[own], c2[own, 0], c1[t.right[own]]
-        sums = np.zeros((len(t.contexts), width), np.int64)
-        for r in range(1, CUT + 1):
-            sums[:, r - 1] = np.bincount(left[c2 == r], minlength=len(sums))
-            sums[:, CUT + r] = np.bincount(left[cw == r], minlength=len(sums))
-        for column, c in ((CUT, c2), (2 * CUT + 1, cw)):
-            sums[:, column] = np.bincount(left[c > CUT], weights=c[c > CUT], minlength=len(sums))
-        return _table(ask(3, block, t.contexts, sums, buckets), ASKED)
-
-    contexts = work.save(exchange(with_answers(blocks, counts, ask_contexts, ASKED), {3: width}), "contexts")
-    work.release()
+    def count(lengths: tuple[int, ...]) -> DataFrame:
+        def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    t = Tokens(row, lengths[-1])
+                    rows = [r for k in lengths for r in ask(k, row["block"], t.keys[k], t.count(k), buckets)]
+                    yield from _table(rows, ASKED).to_batches()
+
+        out = work.save(exchange(blocks.mapInArrow(asks, ASKED), dict.fromkeys(lengths, 1)), f"counts{lengths[-1]}")
+        work.release()
+        return out
+
+    counts = {2: count((1, 2))} | {k: count((k,)) for k in range(3, order + 1)}
+    model = Model([totals(counts[max(2, k)], k) for k in range(1, order + 1)])
+
+    def told(t: Tokens, answers: dict[int, list[dict]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        c, first = understand(answers[k], t.keys[k], 1)
+        return c[:, 0], first
+
+    def contexts_of(k: int) -> DataFrame:
+        """The sums for the contexts of sequences of k words, as kind -k."""
+
+        def asks(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
+            below = told(t, answers, k - 1)[0]
+            c, first = told(t, answers, k)
+            own = first & (c > 0)
+            left, c, below = t.left[k][own], c[own], below[t.rest[k][own]]
+            sums = np.zeros((len(t.contexts[k]), width), np.int64)
+            for r in range(1, CUT + 1):
+                sums[:, r - 1] = np.bincount(left[c == r], minlength=len(sums))
+                sums[:, CUT + r] = np.bincount(left[below == r], minlength=len(sums))
+            for column, x in ((CUT, c), (2 * CUT + 1, below)):
+                sums[:, column] = np.bincount(left[x > CUT], weights=x[x > CUT], minlength=len(sums))
+            # longer contexts are many, and each has a row of sums: smaller buckets
+            return _table(ask(-k, block, t.contexts[k], sums, buckets if k == 2 else buckets * 4), ASKED)
+
+        known = counts[k] if k == 2 else counts[k - 1].where(F.col("kind") == k - 1).unionByName(counts[k])
+        out = work.save(exchange(with_answers(blocks, known, asks, ASKED, k), {-k: width}), f"contexts{k}")
+        work.release()
+        return out
+
+    answered = counts[2]
+    for k in range(2, order + 1):
+        answered = answered.unionByName(contexts_of(k))
+        if k > 2:
+            answered = answered.unionByName(counts[k])
 
     def evaluate(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
-        c1 = understand(answers[1], t.keys, 1)[0][:, 0]
-        c2 = understand(answers[2], t.pair_keys, 1)[0][:, 0]
-        total, alpha = model.context(understand(answers[3], t.contexts, width)[0].astype(float))
-        with np.errstate(divide="ignore"):
-            seen = np.log10(model.weigh(model.d2, c2)) - np.log10(np.maximum(total, 1))[t.left]
-            unseen = np.log10(alpha)[t.left] + np.log10(model.word(c1))[t.right]
-        pair = np.where(c2 > 0, seen, unseen)
+        c1 = told(t, answers, 1)[0]
         base = np.log10((c1 + 1) / (model.tokens + model.types + 1))
+        best, shorter = np.log10(model.word(c1)), model.total
+        scored = np.empty(len(t.words))
+        for k in range(2, order + 1):
+            c = told(t, answers, k)[0]
+            total, alpha = model.context(k, understand(answers[-k], t.contexts[k], width)[0], shorter)
+            with np.errstate(divide="ignore"):
+                seen = np.log10(model.weigh(k, c)) - np.log10(np.maximum(total, 1))[t.left[k]]
+                unseen = np.log10(alpha)[t.left[k]] + best[t.rest[k]]
+            best, shorter = np.where(c > 0, seen, unseen), total[t.rest[k]]
+            there = t.at[k] >= 0
+            scored[there] = best[t.at[k][there]]
         sums = lambda x: np.add.reduceat(x, t.starts)
-        out = [t.ids, ~t.trained, t.lengths, sums((c1 > 0).astype(np.int64)[t.words]), np.full(len(t.ids), model.tokens), sums(base[t.words]), sums(pair[t.pair])]
+        out = [t.ids, ~t.trained, t.lengths, sums((c1 > 0).astype(np.int64)[t.words]), np.full(len(t.ids), model.tokens), sums(base[t.words]), sums(scored)]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(x, y) for c, x, y in zip(SCORED.split(", "), out, types, strict=True)})
 
-    return work.finish(with_answers(blocks, counts.unionByName(contexts), evaluate, SCORED), "scores")
+    return work.finish(with_answers(blocks, answered, evaluate, SCORED, order), "scores")

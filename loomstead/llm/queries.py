@@ -66,7 +66,7 @@ from p left join s on s.page_id = p.page_id and s.url = p.url
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The back-off model's log10 probability of every document."""
-    return katz.score_documents(table(spark, sf_dir, "documents"), Workspace(spark, "katz"))
+    return katz.score_documents(table(spark, sf_dir, "documents"), Workspace(spark, "katz"), order=3)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
