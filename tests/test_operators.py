@@ -70,6 +70,25 @@ def test_record_rules(spark):
     assert (d.klass, d.model) == ("VLM", "BLIP-2")
 
 
+def test_record_rules_by_family(spark):
+    cols = "vlm vision language fusion objectives train eval_ model family rag klass title".split()
+    rows = [
+        ("", "", "", "", "", "", "", "Transformer", "LLaVA", "", "", "report retrieval"),
+        ("", "", "", "", "n/a", "", "", "", "Flamingo", "", "", "retrieval of reports"),
+        ("", "CLIP", "", "", "", "", "", "lstm + Transformer", "", "", "", "no learned retrieval, a retriever"),
+        ("yes", "", "", "", "", "", "", "MiniGPT-4, GPT-2", "", "", "", None),
+        ("", "", "", "", "", "", "", "CXR-IRGen", "", "", "", ""),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    lexicon = [(r"\bllava\b", "LLaVA"), (r"\bflamingo\b", "Flamingo"), (r"\bminigpt-4\b", "MiniGPT-4"), (r"\bclip\b", "CLIP")]
+    a, b, c, d, e = derive.clean_record(df, lexicon, ["llava", "flamingo", "minigpt-4"]).collect()
+    assert (a.model, a.objectives, a.rag, a.klass) == ("LLaVA, Transformer", "contrastive", "Yes", "VLM")
+    assert (b.model, b.objectives, b.rag) == ("Flamingo", "ITM", "")
+    assert (c.model, c.objectives, c.rag) == ("CLIP, lstm, Transformer", "", "No")
+    assert (d.model, d.objectives, d.family) == ("MiniGPT-4, GPT-2", "contrastive", "MiniGPT-4")
+    assert (e.klass, e.objectives) == ("", "contrastive, ITM")  # not a VLM by its cells
+
+
 def test_retrieval(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8)).round(3)
