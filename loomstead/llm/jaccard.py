@@ -14,27 +14,39 @@ regions come from parts of the sets:
    The number of parts follows from a size class; sets near the upper end of
    their class are also split as in the next.
 2. First regions. All sets that agree in a part belong to the region of the
-   smallest id among them, its pivot. A set that agrees with no other has no
-   link. Distances to the pivot give the links to it.
-3. Windows. Within a region, documents within the threshold of the pivot are
-   connected already. Of them only those stay that the triangle inequality
-   doesn't part from every document outside: d(x, p) >= d(y, p) - r for some y.
-4. Recursion. A region of more than ``leaf`` documents takes new pivots; each
-   document goes to the cell of the nearest, and by the triangle inequality also
-   to each other cell whose pivot is at most 2 r farther, so linked documents
-   meet in a cell. Where windows would copy more than they part, the region is
-   cut into blocks and each pair of blocks becomes a leaf.
-5. Leaves of at most ``leaf`` documents are joined exactly in memory.
-6. Links become components by alternating large-star and small-star steps.
+   smallest id among them. A set that agrees with no other has no link.
+
+All links between different sets come from the regions, by ``join_regions``:
+
+3. Leaves, regions of at most ``leaf`` documents (and ``leaf_shingles`` shingles),
+   are joined exactly in memory.
+4. A larger region takes pivots: some of its documents, and its smallest. All
+   distances to the pivots are taken, which gives the links to them. Documents
+   within the threshold of a pivot, or of one that is linked with it, are
+   connected. Of them only those stay that the triangle inequality doesn't part
+   from every document outside: d(x, p) >= d(y, p) - r for some y.
+5. Voronoi cells. Each document that stays goes to the cell of its nearest pivot,
+   and by the triangle inequality also to each other cell whose pivot is at most
+   2 r farther, so linked documents meet in a cell. Cells are regions again.
+6. Where cells would not part a region (documents that are all as far from each
+   other), its documents meet by shared shingles instead: of two linked sets the
+   first |x| - ceil(t |x|) + 1 shingles in any fixed order have one in common. The
+   order puts what no pivot has first, so these regions are small. What all
+   documents of such a region share is left out in its next turn; two sets that
+   link by that alone both link with the smallest document, a pivot.
+   Each turn makes a region a quarter smaller or its shared shingles one more,
+   so the recursion ends.
+7. Links become components by alternating large-star and small-star steps.
 
 Copies of one set count once: sets are told apart by a 128-bit hash, shingles by
 64-bit hashes. No pair is emitted but links (to pivots, and in leaves a spanning
-forest); no group is collected.
+forest); no group is collected. A document's set moves once for each of its
+regions; texts never move.
 
 Defined cases: null text is empty; documents without words have n_shingles 0 and
 link with nothing; rows that share an id are one document, each row with its own
 n_shingles; rows without an id link with nothing and have no component; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +60,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
 
-SHINGLE, THRESHOLD, LEAF = 3, 90, 256
+SHINGLE, THRESHOLD, LEAF, LEAF_SHINGLES, PIVOTS = 3, 90, 256, 4_000_000, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -117,27 +129,26 @@ def signatures(s: np.ndarray, percent: int = THRESHOLD) -> np.ndarray:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set) and signatures. Of equal sets in a partition the first alone gives signatures."""
+    """doc_id, n_shingles, key (of the set), lead and signatures. Of equal sets in a partition the first alone leads and gives signatures."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            n, keys, sigs = [], [], []
+            n, keys, leads, sigs = [], [], [], []
             for doc, t in zip(batch.column(0), batch.column(1), strict=True):
                 s = shingles(t.as_py())
                 n.append(len(s))
                 keys.append(key := xxh3_128_digest(s.tobytes()) if len(s) else None)
-                new = doc.is_valid and key is not None and key not in seen
+                leads.append(new := doc.is_valid and key is not None and key not in seen)
                 if new:
                     seen.add(key)
                 sigs.append(signatures(s, percent).view(np.int64) if new else ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "sigs"]
-            )
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(leads, pa.bool_()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "lead", "sigs"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_shingles long, key binary, sigs array<long>")
+    return own.mapInArrow(run, "doc_id long, n_shingles long, key binary, lead boolean, sigs array<long>")
 
 
 def bitmap(places: DataFrame, bits: int) -> np.ndarray:
@@ -156,28 +167,29 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def bits_for(n: int) -> int:
-    """Bits of a bitmap for n entries: eight for each, between 2**20 and 2**28 (32 MB). A full bitmap lets more through, and loses nothing."""
-    return min(28, max(20, (8 * n).bit_length()))
+    """Bits of a bitmap for n entries: sixteen for each, between 2**20 and 2**28 (32 MB). A full bitmap lets more through, and loses nothing."""
+    return min(28, max(20, (16 * n).bit_length()))
 
 
 def having(described: DataFrame, met: DataFrame) -> DataFrame:
-    """(id, sig) of the signatures that two sets have, and of few others: the rest is left out before it is moved."""
+    """(id, size, sig) of the signatures that two sets have, and of few others: the rest is left out before it is moved."""
     bits = bits_for(met.count())
     known, mask = bitmap(met.select(F.col("sig").bitwiseAND((1 << bits) - 1).alias("place")), bits), (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             sigs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             hit = is_set(known, sigs & mask)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(sigs[hit])], ["id", "sig"])
+            row = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(sigs[hit])], ["id", "size", "sig"])
 
-    return described.where("size(sigs) > 0").select("doc_id", "sigs").mapInArrow(run, "id long, sig long")
+    return described.where("lead and size(sigs) > 0").select("doc_id", "n_shingles", "sigs").mapInArrow(run, "id long, size long, sig long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id and set of the documents in ``ids``. Rows that share an id give a set each."""
+    """id and set (sorted 64-bit hashes) of the documents in ``ids``, and of few others. Rows that share an id give a set each."""
     bits = bits_for(ids.count())
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("place")
     known = bitmap(ids.select(place), bits)
@@ -188,10 +200,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFram
             hit = np.flatnonzero(is_set(known, batch.column(2).to_numpy(zero_copy_only=False)))
             if len(hit):
                 some = batch.take(pa.array(hit))
-                sets = [shingles(t.as_py()).view(np.int64) for t in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+                sets = [shingles(t.as_py()).tobytes() for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return own.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
+    return own.mapInArrow(run, "id long, set binary")
 
 
 def leaf_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -232,65 +244,115 @@ def leaf_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _jaccard(a: str, b: str) -> str:
-    """SQL for the pair (size of the intersection, size of the union)."""
-    return f"transform(array(size(array_intersect({a}, {b}))), i -> named_struct('i', i, 'u', size({a}) + size({b}) - i))[0]"
+NEAR = "region long, id long, size long, path array<long>, pivots array<long>, linked array<boolean>, inside array<boolean>, d array<double>, prefix array<long>"
 
 
-def join_regions(members: DataFrame, sets: DataFrame, work: Workspace, percent: int = THRESHOLD, leaf: int = LEAF) -> list[DataFrame]:
-    """Links (a, b) of regions of any size. ``members`` has region and id; every two linked ids of a region get connected."""
+def meet_pivots(percent: int):
+    """For mapInArrow over region, id, size, path, set and pivots (id, set): each document's distances to the pivots, and its first shingles."""
+
+    def hubs(sets: list[np.ndarray]) -> list[int]:
+        """The pivots' groups by links among them."""
+        root = list(range(len(sets)))
+        for j in range(len(sets)):
+            for i in range(j):
+                n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                    a, b = root[i], root[j]
+                    root = [a if r == b else r for r in root]
+        return root
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            out = []
+            for region, i, size, path, raw, pivots in zip(*batch.columns, strict=True):
+                if region.as_py() != of:
+                    of, known = region.as_py(), pivots.as_py()
+                    ids, sets = [p["id"] for p in known], [np.frombuffer(p["set"], np.uint64) for p in known]
+                    hub = hubs(sets)
+                s, path = np.frombuffer(raw.as_py(), np.uint64), path.as_py()
+                seen = np.zeros(len(s), np.int64)
+                linked, d = [], []
+                for p in sets:
+                    shared = p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s
+                    n = int(shared.sum())
+                    seen += shared
+                    linked.append(100 * n >= percent * (len(s) + len(p) - n))
+                    d.append(1 - n / (len(s) + len(p) - n))
+                inside = [any(y for y, g in zip(linked, hub, strict=True) if g == h) for h in hub]
+                # what few pivots have comes first
+                free = ~np.isin(s, np.array(path, np.int64).view(np.uint64)) if path else np.ones(len(s), bool)
+                x, seen = s[free], seen[free]
+                first = x[np.lexsort((x * _C, seen))[: len(s) + (-percent * len(s) // 100) + 1]]
+                out.append((of, i.as_py(), size.as_py(), path, ids, linked, inside, d, first.view(np.int64)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 9
+            long, many = pa.int64(), pa.list_
+            types = [long, long, long, many(long), many(long), many(pa.bool_()), many(pa.bool_()), many(pa.float64()), many(long)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in NEAR.split(", ")])
+
+    return run
+
+
+def join_regions(
+    members: DataFrame, sets: DataFrame, work: Workspace, percent: int = THRESHOLD, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES
+) -> list[DataFrame]:
+    """Links (a, b) of regions of any size. ``members`` has region, id and size (of the set); every two linked ids of a region get connected."""
     r = (100 - percent) / 100 + 1e-9
     links: list[DataFrame] = []
-    regions = members
+    regions = members.select("region", "id", "size", F.expr("cast(array() as array<bigint>) as path"))
     turn = 0
-    while True:
-        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = work.save(regions.join(sizes, "region"), f"regions{turn}")
-        small = sized.where(F.col("n") <= leaf)
 
-        def join_leaf(table: pa.Table) -> pa.Table:
-            ids = table.column("id").to_pylist()
-            found = leaf_links([np.array(x, np.int64) for x in table.column("set").to_pylist()], percent)
-            return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
+    def join_leaf(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        found = leaf_links([np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], percent)
+        return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
 
-        found = small.select("region", "id").join(sets, "id").groupBy("region").applyInArrow(join_leaf, "a long, b long")
+    while True:
+        sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
+        sized = work.save(regions.join(sizes, "region"), f"regions{turn}")
+        is_leaf = f"n <= {leaf} and total <= {leaf_shingles}"
+        # always by a shuffle: each set moves once for each region, whatever the size of the input
+        found = sized.where(is_leaf).select("region", "id").join(sets.hint("merge"), "id").groupBy("region").applyInArrow(join_leaf, "a long, b long")
         links.append(work.save(found, f"leaf_links{turn}"))
-        large = sized.where(F.col("n") > leaf)
+        large = sized.where(f"not ({is_leaf})")
         if large.isEmpty():
             return links
-        turn += 1
-        # new pivots: more for larger regions, by a hash that differs each turn
+        # new pivots: some by a hash that differs each turn, and the smallest set
         order = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("id", F.lit(turn)), "id"))
         chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < F.lit(64.0 * 2**30) / F.col("n")
-        pivots = large.where(chance).withColumn("k", order).where(F.col("k") <= 8).select("region", "id")
-        pivots = pivots.join(sets, "id").groupBy("region").agg(F.sort_array(F.collect_list(F.struct("id", "set"))).alias("pivots"))  # 8 at most
-        near = large.join(sets, "id").join(pivots, "region", "left")
-        near = near.withColumn("near", F.expr(f"transform(coalesce(pivots, array()), p -> named_struct('p', p.id, 'j', {_jaccard('set', 'p.set')}))"))
-        near = work.save(near.select("region", "id", "n", "near"), f"near{turn}")
-        to_pivot = near.select("id", F.explode("near").alias("x")).where(f"100 * x.j.i >= {percent} * x.j.u and id <> x.p")
-        links.append(work.save(to_pivot.select(F.col("x.p").alias("a"), F.col("id").alias("b")), f"pivot_links{turn}"))
-        # a pivot has met everyone; all others go to the nearest cell, and to those in whose window they are
-        rest = near.where("not exists(near, x -> x.p = id)")
-        cells = rest.withColumn("d", F.expr("transform(near, x -> 1D - x.j.i / x.j.u)"))
-        cells = cells.withColumn("to", F.expr(f"transform(filter(arrays_zip(near, d), x -> x.d <= array_min(d) + {2 * r}D), x -> x.near.p)"))
-        cells = work.save(cells.select("region", "id", "n", "to"), f"cells{turn}")
-        grown = cells.groupBy("region").agg(F.sum(F.size("to")).alias("copies"), F.max("n").alias("n"), F.min(F.size("to")).alias("least"))
-        parted = grown.where(f"least > 0 and copies <= 2 * n and {turn} <= 5").select("region", F.lit(True).alias("parted"))
-        cells = cells.join(parted, "region", "left")
-        by_cell = cells.where("parted").select("region", "id", F.explode("to").alias("p"))
-        by_cell = by_cell.select(F.xxhash64("region", "p", F.lit(turn)).alias("region"), "id")
-        blocks = cells.where("parted is null").withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(leaf) * 1.2).cast("int"))
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(-turn)), F.col("blocks")).cast("int"))
-        blocks = blocks.select("region", "id", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-        by_block = blocks.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"), F.lit(turn)).alias("region"), "id")
-        regions = by_cell.unionByName(by_block)
+        chosen = large.where(chance).withColumn("k", order).where(F.col("k") <= PIVOTS).select("region", "id")
+        chosen = chosen.unionByName(large.groupBy("region").agg(F.min_by("id", F.struct("size", "id")).alias("id"))).distinct()
+        pivots = chosen.join(sets, "id").groupBy("region").agg(F.sort_array(F.collect_list(F.struct("id", "set"))).alias("pivots"))  # PIVOTS + 1 at most
+        near = large.join(sets, "id").join(pivots, "region").select("region", "id", "size", "path", "set", "pivots")
+        near = work.save(near.mapInArrow(meet_pivots(percent), NEAR), f"near{turn}")
+        to_pivot = near.select("id", F.explode(F.arrays_zip("pivots", "linked")).alias("x")).where("x.linked and id <> x.pivots")
+        links.append(work.save(to_pivot.select(F.col("x.pivots").alias("a"), F.col("id").alias("b")), f"pivot_links{turn}"))
+        # a pivot has met everyone; of a pivot's ball only the window towards the nearest document outside stays
+        outside = [F.min(F.expr(f"if(get(inside, {k}), null, get(d, {k}))")) for k in range(PIVOTS + 1)]
+        nearest = near.groupBy("region").agg(F.array(*outside).alias("m"))
+        rest = near.where("not array_contains(pivots, id)").join(nearest, "region")
+        rest = rest.where(f"not exists(arrays_zip(inside, d, m), x -> coalesce(x.inside, false) and (x.m is null or x.d < x.m - {r}D))")
+        rest = rest.withColumn("to", F.expr(f"filter(sequence(0, size(d) - 1), k -> d[k] <= array_min(d) + {2 * r}D)"))
+        rest = work.save(rest.select("region", "id", "size", "path", "to", "prefix"), f"rest{turn}")
+        per_cell = [F.count_if(F.array_contains("to", k)).alias(f"c{k}") for k in range(PIVOTS + 1)]
+        cells = ", ".join(f"c{k}" for k in range(PIVOTS + 1))
+        how = rest.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), *per_cell)
+        how = how.selectExpr("region", f"case when {is_leaf} then 'leaf' when {cells.replace(', ', ' + ')} <= 1.5 * n and greatest({cells}) <= 0.75 * n then 'cells' else 'shared' end as how")
+        rest = rest.join(how, "region")
+        whole = rest.where("how = 'leaf'").select("region", "id", "size", "path")
+        parted = rest.where("how = 'cells'").select("region", "id", "size", "path", F.explode("to").alias("k"))
+        parted = parted.select(F.xxhash64("region", "k", F.lit(turn)).alias("region"), "id", "size", "path")
+        shared = rest.where("how = 'shared'").select("region", "id", "size", "path", F.explode("prefix").alias("k"))
+        shared = shared.select(F.xxhash64("region", "k", F.lit(-1 - turn)).alias("region"), "id", "size", F.array_append("path", F.col("k")).alias("path"))
+        regions = whole.unionByName(parted).unionByName(shared)
+        turn += 1
 
 
 def components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
-    """id and component (the smallest id reachable) of every id in links (a, b), by alternating large-star and small-star steps."""
+    """id and component (the smallest id reachable) of every id in links (a, b), by alternating large-star and small-star steps until nothing changes."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
-    for turn in range(1000):
+    before, turn = None, 0
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -301,38 +363,26 @@ def components(links: DataFrame, work: Workspace, name: str = "components") -> D
             work.drop(f"{name}{turn - 2}")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
-        before = state
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        before, turn = state, turn + 1
 
 
 def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     table = work.save(describe(docs, doc_id, text, percent), "described")
-    signed = table.where("size(sigs) > 0").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
+    signed = table.where("lead and size(sigs) > 0").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     met = work.save(signed.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot"), "met")
-    work.release()
-    members = work.save(having(table, met).join(met, "sig").select("pivot", "id").distinct(), "members")
+    # of equal sets the smallest id alone takes part in regions
+    copies = table.where("key is not null and doc_id is not null").select("doc_id", "key", "lead")
+    first = copies.where("lead").groupBy("key").agg(F.min("doc_id").alias("first"))
+    same = copies.join(first, "key")
+    again = same.where("lead").groupBy("doc_id").agg(F.min(F.expr("doc_id <> first")).alias("again")).where("again").select(F.col("doc_id").alias("id"))
+    members = having(table, met).join(met, "sig").select(F.col("pivot").alias("region"), "id", "size").distinct()
+    members = work.save(members.join(again, "id", "left_anti"), "members")
     work.drop("met")
-    ids = work.save(members.select("id").distinct(), "ids")
-    sets = work.save(sets_of(docs, ids, doc_id, text), "sets")
-    # rows that share an id may bring several sets, each of which meets the others
-    work.release()
-    of_pivot = sets.join(members.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("set").alias("pivot_set"))
-    near = members.where("id <> pivot").join(sets, "id").join(of_pivot, "pivot")
-    near = work.save(near.select("pivot", "id", F.expr(_jaccard("set", "pivot_set")).alias("j")), "near")
-    linked = F.expr(f"100 * j.i >= {percent} * j.u")
-    first_links = near.where(linked).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    # regions with documents outside the pivot's ball, and of the ball the window towards the nearest of them
-    d = F.expr("1D - j.i / j.u")
-    nearest = near.where(~linked).groupBy("pivot").agg(F.min(d).alias("nearest"))
-    r = (100 - percent) / 100 + 1e-9
-    open_ = near.join(nearest, "pivot").where(~linked | (d >= F.col("nearest") - r)).select(F.col("pivot").alias("region"), "id")
-    found = join_regions(open_.distinct(), sets, work, percent, leaf)
-    copies = table.where("key is not null and doc_id is not null").select("doc_id", "key")
-    first = copies.groupBy("key").agg(F.min("doc_id").alias("first"))
-    same = copies.join(first, "key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = first_links.unionByName(same)
+    sets = work.save(sets_of(docs, members.select("id").distinct(), doc_id, text), "sets")
+    found = join_regions(members, sets, work, percent, leaf)
+    links = same.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     for x in found:
         links = links.unionByName(x)
     parts = components(work.save(links, "links"), work)
@@ -340,12 +390,86 @@ def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id",
     return work.finish(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result")
 
 
-def keep_one_of_each(docs: DataFrame, work: Workspace, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, as they are, of each component's smallest id; of rows that share that id one; all rows without an id."""
-    parts = jaccard_components(docs, work, doc_id=doc_id)
-    kept = parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "_id")
-    found = docs.join(kept, F.col(doc_id).cast("long") == F.col("_id"))
-    once = found.where("rows = 1").select(*docs.columns)
-    again = found.where("rows > 1")
-    again = again.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(*docs.columns))).where("_n = 1").select(*docs.columns)
-    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
+def _place(ids: np.ndarray, level: int, bits: int) -> np.ndarray:
+    x = (ids.astype(np.int64).view(np.uint64) + np.uint64(level + 1) * _A) * _B
+    return (((x ^ (x >> np.uint64(31))) * _C) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Among:
+    """Exact membership of ids in one side of a table (id, side), without moving what is tested.
+
+    A bitmap of the ids of the side also lets some others through; a second one
+    holds those, and lets some of the first through, and so on until at most
+    ``few`` are left, which are listed. ``bitmaps`` is None where the first would
+    take more than ``most`` bits: then the caller has to join.
+    """
+
+    def __init__(self, table: DataFrame, few: int = 100_000, most: int = 1 << 28):
+        self.bitmaps: list[tuple[np.ndarray, int]] | None = []
+        self.listed = np.zeros(0, np.int64)
+        while True:
+            level = len(self.bitmaps)
+            left = self._through(table.where(F.col("side") == (level % 2 == 0)).select("id"))
+            n = left.count()
+            if n <= few:
+                self.listed = np.sort(left.toArrow().column(0).to_numpy())
+                return
+            bits = max(20, (16 * n).bit_length())
+            if 1 << bits > most:
+                self.bitmaps = None
+                return
+            place = left.mapInArrow(lambda bs, level=level, bits=bits: (pa.RecordBatch.from_arrays([pa.array(_place(b.column(0).to_numpy(), level, bits))], ["place"]) for b in bs), "place long")
+            self.bitmaps.append((bitmap(place, bits), bits))
+
+    def _through(self, ids: DataFrame) -> DataFrame:
+        """The ids that all bitmaps let through."""
+        levels = list(self.bitmaps)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(0).to_numpy()
+                for level, (known, bits) in enumerate(levels):
+                    x = x[is_set(known, _place(x, level, bits))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64())], ["id"])
+
+        return ids.mapInArrow(run, "id long") if levels else ids
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """Which of the ids, all of them in the table, are of the side."""
+        out, left = np.zeros(len(ids), bool), np.arange(len(ids))
+        for level, (known, bits) in enumerate(self.bitmaps):
+            hit = is_set(known, _place(ids[left], level, bits))
+            out[left[~hit]] = level % 2 == 1
+            left = left[hit]
+        out[left] = np.isin(ids[left], self.listed) == (len(self.bitmaps) % 2 == 0)
+        return out
+
+
+def select_rows(docs: DataFrame, doc_id: str, table: DataFrame, **bounds) -> DataFrame:
+    """The rows of ``docs``, as they are, whose id is not null and of the side; ``table`` has every id once. Texts move only beyond the bounds of ``Among``."""
+    among = Among(table, **bounds)
+    if among.bitmaps is None:
+        chosen = table.where("side").select(F.col("id").alias("chosen"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("own"))
+        return rows.join(chosen, F.col("own") == F.col("chosen"), "left_semi").select("row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(doc_id).cast(pa.int64())
+            kept = among(own.fill_null(0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(kept & own.is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keep_one_of_each(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
+    """The rows of ``docs``, as they are, of each component's smallest id; of rows that share that id the first by text; all rows without an id."""
+    parts = jaccard_components(docs, work, doc_id, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
+    ids = work.save(parts.agg(F.count(F.lit(1)).alias("n"), F.first(F.expr("doc_id = component_id")).alias("head")), "ids")
+    out = select_rows(docs, doc_id, ids.select("id", F.expr("head and n = 1").alias("side")), **bounds).unionByName(docs.where(F.col(doc_id).isNull()))
+    if ids.where("head and n > 1").isEmpty():
+        return out
+    found = select_rows(docs, doc_id, ids.select("id", F.expr("head and n > 1").alias("side")), **bounds)
+    rows = found.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"), F.col(text).alias("text"))
+    turn = F.row_number().over(Window.partitionBy("own").orderBy("text"))
+    return out.unionByName(rows.withColumn("turn", turn).where("turn = 1").select("row.*"))

@@ -75,7 +75,75 @@ def test_components(spark, leaf):
     assert jc.jaccard_components(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
-def test_provided_documents(spark, data):
+@pytest.mark.parametrize("leaf", [4, 256])
+def test_provided_documents(spark, data, leaf):
     df = spark.read.parquet(f"{data}/documents.parquet")
-    out = jc.jaccard_components(df, Workspace(spark, "t")).collect()
+    out = jc.jaccard_components(df, Workspace(spark, "t"), leaf=leaf).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+@pytest.mark.parametrize("kind", ["template", "nested", "mixed"])
+def test_regions_that_cells_do_not_part(spark, kind):
+    """One region of sets that are all as far from each other, with some links among them."""
+    rng = random.Random(kind)
+    common = [rng.getrandbits(63) for _ in range(40)]
+    sets = {}
+    for i in range(160):
+        own = [rng.getrandbits(63) for _ in range(8 if kind == "template" else rng.randrange(1, 9))]
+        if kind == "nested":
+            own += common[: rng.randrange(10)]
+        sets[i] = sorted({*common, *own})
+        if i % 5 == 0:  # a near copy of another
+            sets[i + 1000] = sorted({*sets[i][1:], rng.getrandbits(63)})
+        if kind == "mixed" and i % 7 == 0:
+            sets[i + 2000] = sorted({rng.getrandbits(63) for _ in range(60)})
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            n = len({*sets[a]} & {*sets[b]})
+            if a < b and 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    members = spark.createDataFrame([(1, i, len(s)) for i, s in sets.items()], "region long, id long, size long")
+    table = spark.createDataFrame([(i, bytearray(np.array(s, np.uint64).tobytes())) for i, s in sets.items()], "id long, set binary")
+    work = Workspace(spark, "t")
+    links = [(r.a, r.b) for x in jc.join_regions(members, table, work, leaf=5) for r in x.collect()]
+    got = {i: i for i in sets}
+
+    def top(x):
+        while got[x] != x:
+            x = got[x]
+        return x
+
+    for a, b in links:
+        n = len({*sets[a]} & {*sets[b]})
+        assert 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n)
+        got[max(top(a), top(b))] = min(top(a), top(b))
+    assert {i: top(i) for i in sets} == {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"few": 0}, {"few": 3}, {"few": 0, "most": 1}])
+def test_rows_are_chosen_exactly(spark, bounds):
+    ids = spark.range(50_000).selectExpr("id * 7919 - 1000 as id", "id % 3 = 0 as side")
+    docs = ids.selectExpr("id as doc_id", "map('a', id) as rows", "1 as _id", "2 as own").unionByName(spark.sql("select cast(null as bigint) doc_id, map('a', 1L) rows, 1 _id, 2 own"))
+    got = jc.select_rows(docs, "doc_id", ids, **bounds)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.id for r in ids.where("side").collect())
+
+
+@pytest.mark.parametrize("bounds", [{}, {"few": 0}, {"few": 0, "most": 1}])
+def test_one_of_each_is_kept_as_it_is(spark, bounds):
+    """Columns of any name and kind come through; of rows with one id the first by text stays, and all rows without an id."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long), (3, long + " more"), (7, "else where now"), (7, "a different text"), (None, long), (None, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, {"k": i}, 1, 2, 3) for i, t in rows], "doc_id int, text string, rows map<string,int>, _id int, _n int, place int").repartition(2)
+    got = jc.keep_one_of_each(docs, Workspace(spark, "t"), **bounds)
+    assert got.columns == docs.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r._n) for r in got.collect()) == sorted(
+        [(3, long + " more", 2), (7, "a different text", 2), (9, "", 2), (-1, long, 2), (-1, "", 2)]
+    )
