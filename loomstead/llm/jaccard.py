@@ -27,15 +27,19 @@ All links between different sets come from the regions, by ``join_regions``:
    from every document outside: d(x, p) >= d(y, p) - r for some y.
 5. Voronoi cells. Each document that stays goes to the cell of its nearest pivot,
    and by the triangle inequality also to each other cell whose pivot is at most
-   2 r farther, so linked documents meet in a cell. Cells are regions again.
-6. Where cells would not part a region (documents that are all as far from each
-   other), its documents meet by shared shingles instead: of two linked sets the
-   first |x| - ceil(t |x|) + 1 shingles in any fixed order have one in common. The
-   order puts what no pivot has first, so these regions are small. What all
-   documents of such a region share is left out in its next turn; two sets that
-   link by that alone both link with the smallest document, a pivot.
-   Each turn makes a region a quarter smaller or its shared shingles one more,
-   so the recursion ends.
+   2 r farther, so linked documents meet in a cell. Cells are regions again, if
+   they are smaller: where pivots don't part a region, the cheaper of two other
+   exact ways is taken.
+6. Shared shingles, for documents that have little in common but a core: of two
+   linked sets the first |x| - ceil(t |x|) + 1 shingles in any fixed order have
+   one in common. The order puts what no pivot has first, so these regions are
+   small. What all documents of such a region share is left out in its next turn;
+   two sets that link by that alone both link with the smallest document, a pivot.
+   Blocks, for dense groups: the documents of the largest ball are connected, so
+   only the o others are held, in blocks, against all n of the region: about
+   4 n o / leaf rows, and no all-pairs where a ball holds most of the region.
+   Cells make a region a quarter smaller, shared shingles halve it, and blocks
+   are leaves, so the recursion ends.
 7. Links become components by alternating large-star and small-star steps.
 
 Copies of one set count once: sets are told apart by a 128-bit hash, shingles by
@@ -60,7 +64,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_of
 
-SHINGLE, THRESHOLD, LEAF, LEAF_SHINGLES, PIVOTS = 3, 90, 256, 4_000_000, 4
+SHINGLE, THRESHOLD, LEAF, LEAF_SHINGLES, PIVOTS = 3, 90, 2048, 4_000_000, 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -207,26 +211,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFram
 
 
 def leaf_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a few sets, exactly."""
+    """A spanning forest of the links among some sets, exactly.
+
+    Each set is held against all others by the postings of its shingles, but for
+    those that are in the first set's component by then: of two sets in different
+    components at least one has met all others.
+    """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    flat, row = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1
-    column = np.cumsum(shared) - 1
-    ok = shared[number]
-    col, row = column[number[ok]], row[ok]
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    inter = np.zeros((m, m), np.int64)
-    width = 16_384
-    for a in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(col, [a, a + width])
-        x = np.zeros((m, width), np.float32)
-        x[row[lo:hi], col[lo:hi] - a] = 1
-        inter += (x @ x.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    i, j = np.nonzero(np.triu(100 * inter >= percent * union, 1) & (union > 0))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    _, number, count = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    posting = row[np.argsort(number, kind="stable")]
+    at = np.cumsum(count) - count
     root = list(range(m))
 
     def find(v: int) -> int:
@@ -236,11 +233,29 @@ def leaf_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         return v
 
     out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
+
+    def meet(p: int) -> int:
+        """Link p with all that link with it; how many do."""
+        own = number[begin[p] : begin[p] + sizes[p]]
+        own = own[count[own] > 1]
+        n = count[own]
+        place = np.arange(n.sum()) + np.repeat(at[own] - (np.cumsum(n) - n), n)
+        inter = np.bincount(posting[place], minlength=m)
+        inter[p] = 0
+        near = np.flatnonzero((100 * inter >= percent * (sizes + sizes[p] - inter)) & (inter > 0))
+        for q in near.tolist():
+            x, y = find(p), find(q)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((p, q))
+        return len(near)
+
+    first = sorted({i * m // 4 for i in range(4)}) if m > 8 else [0][:m]
+    met = {p: meet(p) for p in first}
+    head = max(met, key=lambda p: met[p], default=0)
+    for p in range(m):
+        if p not in met and find(p) != find(head):
+            meet(p)
     return out
 
 
@@ -307,13 +322,16 @@ def join_regions(
         found = leaf_links([np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], percent)
         return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
 
+    def joined(groups: DataFrame) -> DataFrame:
+        # always by a shuffle: each set moves once for each region, whatever the size of the input
+        return groups.select("region", "id").join(sets.hint("merge"), "id").groupBy("region").applyInArrow(join_leaf, "a long, b long")
+
+    half, half_shingles = max(1, leaf // 2), max(1, leaf_shingles // 2)
     while True:
         sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
         sized = work.save(regions.join(sizes, "region"), f"regions{turn}")
         is_leaf = f"n <= {leaf} and total <= {leaf_shingles}"
-        # always by a shuffle: each set moves once for each region, whatever the size of the input
-        found = sized.where(is_leaf).select("region", "id").join(sets.hint("merge"), "id").groupBy("region").applyInArrow(join_leaf, "a long, b long")
-        links.append(work.save(found, f"leaf_links{turn}"))
+        links.append(work.save(joined(sized.where(is_leaf)), f"leaf_links{turn}"))
         large = sized.where(f"not ({is_leaf})")
         if large.isEmpty():
             return links
@@ -328,22 +346,39 @@ def join_regions(
         to_pivot = near.select("id", F.explode(F.arrays_zip("pivots", "linked")).alias("x")).where("x.linked and id <> x.pivots")
         links.append(work.save(to_pivot.select(F.col("x.pivots").alias("a"), F.col("id").alias("b")), f"pivot_links{turn}"))
         # a pivot has met everyone; of a pivot's ball only the window towards the nearest document outside stays
-        outside = [F.min(F.expr(f"if(get(inside, {k}), null, get(d, {k}))")) for k in range(PIVOTS + 1)]
-        nearest = near.groupBy("region").agg(F.array(*outside).alias("m"))
+        each = range(PIVOTS + 1)
+        nearest = near.groupBy("region").agg(F.array(*[F.min(F.expr(f"if(get(inside, {k}), null, get(d, {k}))")) for k in each]).alias("m"))
         rest = near.where("not array_contains(pivots, id)").join(nearest, "region")
         rest = rest.where(f"not exists(arrays_zip(inside, d, m), x -> coalesce(x.inside, false) and (x.m is null or x.d < x.m - {r}D))")
         rest = rest.withColumn("to", F.expr(f"filter(sequence(0, size(d) - 1), k -> d[k] <= array_min(d) + {2 * r}D)"))
-        rest = work.save(rest.select("region", "id", "size", "path", "to", "prefix"), f"rest{turn}")
-        per_cell = [F.count_if(F.array_contains("to", k)).alias(f"c{k}") for k in range(PIVOTS + 1)]
-        cells = ", ".join(f"c{k}" for k in range(PIVOTS + 1))
-        how = rest.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), *per_cell)
-        how = how.selectExpr("region", f"case when {is_leaf} then 'leaf' when {cells.replace(', ', ' + ')} <= 1.5 * n and greatest({cells}) <= 0.75 * n then 'cells' else 'shared' end as how")
-        rest = rest.join(how, "region")
+        rest = work.save(rest.select("region", "id", "size", "path", "inside", "to", "prefix"), f"rest{turn}")
+        cells = ", ".join(f"c{k}" for k in each)
+        how = rest.groupBy("region").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), *[F.count_if(F.array_contains("to", k)).alias(f"c{k}") for k in each],
+            F.array(*[F.count_if(F.expr(f"coalesce(get(inside, {k}), false)")) for k in each]).alias("balls"),
+        )
+        how = how.selectExpr(
+            "region", "n", f"greatest(n / {half}D, total / {half_shingles}D) as parts", "n - array_max(balls) as others", "cast(array_position(balls, array_max(balls)) as int) - 1 as ball",
+            f"case when {is_leaf} then 'leaf' when {cells.replace(', ', ' + ')} <= 1.5 * n and greatest({cells}) <= 0.75 * n then 'cells' else 'dense' end as how",
+        )
+        how = work.save(how, f"how{turn}")
+        dense = rest.join(how.where("how = 'dense'"), "region")
+        # shared shingles or blocks, whichever moves fewer rows
+        met = dense.select("region", F.explode("prefix").alias("k")).groupBy("region", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = met.groupBy("region").agg(F.sum("n").alias("moved"), F.max("n").alias("most"))
+        ways = how.join(met, "region", "left").withColumn("cost", F.expr("n * ceil(parts * others / n) + others * ceil(parts)"))
+        ways = ways.withColumn("how", F.expr("if(how = 'dense', if(moved is null or (moved <= cost and most <= 0.5 * n), 'shared', 'blocks'), how)"))
+        rest = rest.join(work.save(ways, f"ways{turn}"), "region")
         whole = rest.where("how = 'leaf'").select("region", "id", "size", "path")
         parted = rest.where("how = 'cells'").select("region", "id", "size", "path", F.explode("to").alias("k"))
         parted = parted.select(F.xxhash64("region", "k", F.lit(turn)).alias("region"), "id", "size", "path")
         shared = rest.where("how = 'shared'").select("region", "id", "size", "path", F.explode("prefix").alias("k"))
         shared = shared.select(F.xxhash64("region", "k", F.lit(-1 - turn)).alias("region"), "id", "size", F.array_append("path", F.col("k")).alias("path"))
+        blocks = rest.where("how = 'blocks' and others > 0").withColumns({"all": F.ceil("parts").cast("int"), "some": F.expr("cast(ceil(parts * others / n) as int)"), "h": F.xxhash64("id", F.lit(turn))})
+        against = blocks.select("region", "id", F.expr("cast(pmod(h, all) as int)").alias("i"), F.explode(F.expr("sequence(0, some - 1)")).alias("j"))
+        others = blocks.where("not inside[ball]").select("region", "id", F.explode(F.expr("sequence(0, all - 1)")).alias("i"), F.expr("cast(pmod(h, some) as int)").alias("j"))
+        pairs = against.unionByName(others).select(F.xxhash64("region", "i", "j").alias("region"), "id").distinct()
+        links.append(work.save(joined(pairs), f"block_links{turn}"))
         regions = whole.unionByName(parted).unionByName(shared)
         turn += 1
 
