@@ -11,9 +11,11 @@ at the ends taken off). ``fit`` learns from labelled rows:
   every naming is swapped for another group's, and the first three other
   sentences of each text get a neutral mention; the squared change of the score is added to the loss, times ``fairness``. A
   mention of a group alone then moves the score little, in either direction.
+  Only features that speak for toxicity get weights, so a name that leans to the
+  clean side has none, and swaps with it change nothing but the other's.
 
 Labels are read for learning from at most ``max_rows`` rows, those with the
-smallest hash of the id. Spark counts every feature of these rows by class; a
+smallest hash of the id, and of rows that share an id from one. Spark counts every feature of these rows by class; a
 row then sends the features that can tell something and no others, and of its
 swaps the changes in those features with how often each occurs. Scoring is one pass over the
 documents, without a shuffle, with the weights of at most 2**bits features.
@@ -21,8 +23,9 @@ documents, without a shuffle, with the weights of at most 2**bits features.
 Defined cases: a null text is empty; an empty text gets the model's intercept;
 without labelled rows, or with one class only, every score is the share of
 toxic labels (0 without any); null labels don't count; a document labelled more
-than once is toxic if any label says so; null and repeated ids are kept row by
-row; extra columns are ignored.
+than once is toxic if any label says so; null and repeated ids are scored row by
+row, ids of any type as they are, and of rows with one id that with the smallest hash
+of its text is learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, text_of
+from .common import Workspace, id_crc, text_of
 
 BITS = 20
 #: Toxic rows that must have a feature for it to tell something.
@@ -50,7 +53,6 @@ IDENTITY_TERMS = (
 )
 _SENTENCE = re.compile(r"[.!?\n]+")
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_EDGE_TEXT = _EDGE.decode()
 
 
 def word_features(word: bytes, bits: int = BITS) -> tuple[int, ...]:
@@ -74,10 +76,14 @@ class Features:
 
     def of(self, text: str) -> np.ndarray:
         """The distinct features of a text, in order."""
+        return self.of_words(text.encode("utf-8", "replace").lower().split())
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        """The distinct features of words in lower case, in order."""
         if len(self.known) > self.remember:
             self.known = {}
         out: set[int] = set()
-        for w in set(text.encode("utf-8", "replace").lower().split()):
+        for w in set(words):
             f = self.known.get(w)
             if f is None:
                 f = self.known[w] = word_features(w, self.bits)
@@ -180,19 +186,20 @@ def train(
 
 def counterfactuals(text: str, features: Features, terms: tuple[str, ...], most: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sentences of a text: each that names a group, and with another's name; the first ``most`` others, and with a neutral mention."""
-    out, known, added = [], {t: i for i, t in enumerate(terms)}, 0
+    out, names, added = [], [t.encode() for t in terms], 0
+    known = {t: i for i, t in enumerate(names)}
     for sentence in _SENTENCE.split(text):
-        words = sentence.lower().split()
-        bare = [w.strip(_EDGE_TEXT) for w in words]
+        words = sentence.encode("utf-8", "replace").lower().split()
+        bare = [w.strip(_EDGE) for w in words]
         if not known.keys().isdisjoint(bare):
             step = 1 + len(out) % max(1, len(terms) - 1)  # never round to the term itself
-            swapped = [terms[(known[b] + step) % len(terms)] if b in known else w for w, b in zip(words, bare, strict=True)]
+            swapped = [names[(known[b] + step) % len(names)] if b in known else w for w, b in zip(words, bare, strict=True)]
         elif words and added < most:
             added += 1
-            swapped = [*words, terms[zlib.crc32(sentence.encode("utf-8", "replace")) % len(terms)]]
+            swapped = [*words, names[zlib.crc32(sentence.encode("utf-8", "replace")) % len(names)]]
         else:
             continue
-        out.append((features.of(" ".join(words)), features.of(" ".join(swapped))))
+        out.append((features.of_words(words), features.of_words(swapped)))
     return out
 
 
@@ -209,11 +216,14 @@ def fit(
     label: str = "toxic",
 ) -> Model:
     """Learn from the labelled rows that are not held out. ``held_out`` is a condition on doc_id."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    marks = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if held_out is not None:
         marks = marks.where(~held_out)
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(marks), "doc_id")  # max_rows rows at most
+    own = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(marks), "doc_id")  # max_rows rows at most
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    work = Workspace(docs.sparkSession, "toxicity")
+    own = work.save(own.withColumn("turn", turn).where("turn = 1").drop("turn"), "labelled")  # again max_rows rows at most, read twice
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, seen, rows = Features(bits), np.zeros((2, 1 << bits), np.int64), [0, 0]
@@ -243,10 +253,12 @@ def fit(
                 pairs = Counter((among(np.setdiff1d(p, q)), among(np.setdiff1d(q, p))) for p, q in counterfactuals(t, features, terms))
                 rows.append((among(features.of(t)), [x for p in pairs for x in p], list(pairs.values())))
             x, twos, times = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [pa.array(x, pa.binary()), pa.array(twos, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), batch.column(2), batch.column(0)]
-            yield pa.RecordBatch.from_arrays(columns, ["x", "pairs", "times", "y", "doc_id"])
+            columns = [pa.array(x, pa.binary()), pa.array(twos, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "pairs", "times", "y", "hash"])
 
-    got = own.mapInArrow(extract, "x binary, pairs array<binary>, times array<long>, y int, doc_id long").toArrow()
+    own = own.select("doc_id", "text", "y", F.xxhash64("doc_id").alias("hash"))
+    got = own.mapInArrow(extract, "x binary, pairs array<binary>, times array<long>, y int, hash long").toArrow()
+    work.drop("labelled")
     rows, y, order, pairs = [], [], [], Counter()
     for x, twos, times, label_, i in zip(*(got.column(c) for c in range(5)), strict=True):
         x, twos = x.as_py(), twos.as_py()
@@ -301,17 +313,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             s = weights.score([t.as_py() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double")
+    own = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, with a score below the threshold."""
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(model)
         for batch in batches:
-            scores = weights.score([t.as_py() or "" for t in batch.column(text)])
+            scores = weights.score([t.as_py() or "" for t in batch.column(place)])
             yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, docs.schema)
