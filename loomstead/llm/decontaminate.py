@@ -9,18 +9,20 @@ of a benchmark block are searched backwards at once, their occurrences located
 by sampled suffix positions and joined to word ranges and to removal spans in
 the text.
 
-The benchmark is the side whose size is checked: it is cut into blocks of at
-most ``block_words`` words, and all documents are held against each block. No
-row is shuffled.
+The benchmark is the side whose size is checked: it is cut into blocks of about
+``block_words`` words, and all documents are held against each block. The driver
+holds a block and the next one, no more: what one block found is written, and read again with
+the next. A benchmark of one block writes nothing. No row is shuffled.
 
 A phrase is ``window`` consecutive words of an item; an item of fewer words, but
 not none, is one phrase. Words are runs of ASCII letters and digits and of all
 characters beyond ASCII, A-Z in lower case.
 
 Defined cases: null texts have no words; documents without words are kept and
-not contaminated; null and repeated document ids are kept row by row; items
-without an id or words are left out, items with one id count as one; an empty
-benchmark hits nothing; extra columns are ignored.
+not contaminated; null and repeated document ids are kept row by row, ids of any
+type as they are; items without an id or words are left out, items with one id
+count as one; an empty benchmark hits nothing; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_of
+from .common import Workspace, text_of
 
 WINDOW, SHARE = 13, 20
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-SCHEMA = "doc_id long, n_words long, ranges array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>, items array<long>"
+RANGES = "array<struct<start:int,end:int>>"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -242,7 +245,7 @@ def blocks(benchmark: DataFrame, window: int, block_words: int, item_id: str, te
     """The benchmark in blocks, a partition of it at a time on the driver."""
     items: list[tuple[int, list[bytes]]] = []
     n = 0
-    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), text_of(text).alias("t")).where("i is not null").toLocalIterator():
+    for r in benchmark.select(F.col(item_id).alias("i"), text_of(text).alias("t")).where("i is not null").toLocalIterator():
         if words := words_of(r["t"]):
             items.append((r["i"], words))
             n += len(words)
@@ -255,6 +258,7 @@ def blocks(benchmark: DataFrame, window: int, block_words: int, item_id: str, te
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
+    work: Workspace | None = None,
     window: int = WINDOW,
     shard_words: int = 1_000_000,
     block_words: int = 1_000_000,
@@ -267,18 +271,21 @@ def find_contamination(
     """Per row: doc_id, n_words, ranges (of words), spans (of code points; what to remove), items.
 
     With ``carry`` the whole input row comes along as the struct ``row``.
+    ``work`` takes what is written between blocks.
     """
-    rest = ["row"] if carry else []
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    out = out.selectExpr("doc_id", "text", "cast(array() as array<struct<start:int,end:int>>) as ranges", "cast(array() as array<long>) as items", *rest)
+    work = work or Workspace(docs.sparkSession, "decontaminate")
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    out = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), *rest)
+    kinds = [out.schema["doc_id"].dataType, benchmark.schema[item_id].dataType]
+    own, of = (k.simpleString() for k in kinds)
+    out = out.selectExpr("doc_id", "text", f"cast(array() as {RANGES}) as ranges", f"cast(array() as array<{of}>) as items", *(["row"] if carry else []))
     extra = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
-    parts = list(blocks(benchmark, window, block_words, item_id, item_text))
+    id_type, item_type = (to_arrow_type(k) for k in kinds)
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     structs = lambda x: [[{"start": a, "end": b} for a, b in r] for r in x]
-    for k, block in enumerate(parts):
-        last = k == len(parts) - 1
 
-        def search(batches: Iterator[pa.RecordBatch], block: Block = block, last: bool = last) -> Iterator[pa.RecordBatch]:
+    def searching(block: Block, last: bool):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids: list = []
             texts: list[str] = []
             words: list[list[bytes]] = []
@@ -289,13 +296,13 @@ def find_contamination(
             def shard() -> pa.RecordBatch:
                 found = [(_join(r, a), sorted({*i, *b})) for (r, i), (a, b) in zip(before, block.find(words), strict=True)]
                 ranges, items = [f[0] for f in found], [f[1] for f in found]
-                columns = {"doc_id": pa.array(ids, pa.int64())}
+                columns = {"doc_id": pa.array(ids, id_type)}
                 if last:
                     columns |= {"n_words": pa.array([len(w) for w in words], pa.int64()), "ranges": pa.array(structs(ranges), pair)}
                     columns |= {"spans": pa.array([_spans(t, r) if r else [] for t, r in zip(texts, ranges, strict=True)], pair)}
                 else:
                     columns |= {"text": pa.array(texts, pa.string()), "ranges": pa.array(structs(ranges), pair)}
-                columns["items"] = pa.array(items, pa.list_(pa.int64()))
+                columns["items"] = pa.array(items, pa.list_(item_type))
                 return pa.RecordBatch.from_pydict(columns | ({"row": pa.concat_arrays(rows)} if carry else {}))
 
             for batch in batches:
@@ -315,8 +322,17 @@ def find_contamination(
             if ids:
                 yield shard()
 
-        out = out.mapInArrow(search, (SCHEMA if last else "doc_id long, text string, ranges array<struct<start:int,end:int>>, items array<long>") + extra)
-    return out
+        return search
+
+    parts = blocks(benchmark, window, block_words, item_id, item_text)
+    block, k = next(parts), 0
+    for after in parts:
+        done = out.mapInArrow(searching(block, False), f"doc_id {own}, text string, ranges {RANGES}, items array<{of}>{extra}")
+        out = work.save(done, f"block{k}")
+        if k:
+            work.drop(f"block{k - 1}")
+        block, k = after, k + 1
+    return out.mapInArrow(searching(block, True), f"doc_id {own}, n_words long, ranges {RANGES}, spans {RANGES}, items array<{of}>{extra}")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -330,9 +346,9 @@ def hits(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, work: Workspace | None = None) -> DataFrame:
     """The rows of ``docs``, as they are, that aren't contaminated."""
-    return hits(find_contamination(docs, benchmark, carry=True)).where("not contaminated").select("row.*")
+    return hits(find_contamination(docs, benchmark, work, carry=True)).where("not contaminated").select("row.*")
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
