@@ -18,8 +18,12 @@ labelled holdout shows, by an exact binomial test, that at most a share
 
 Words within a text that repeat are found by sorting 64-bit hashes of its
 three-word windows with the positions in the low bits; should two different
-windows of a text ever meet in the high bits, that text is compared by its
-strings instead, so counts are exact.
+windows of a text ever meet in the high bits, that text's windows are sorted by
+their words instead, so counts are exact.
+
+Texts are measured once: ``quality_rules`` writes the measures, ``keep_good`` the
+rows with their measures, and calibration reads the measures' columns alone. No
+text is shuffled.
 
 Defined cases: a null text has no words; null ids and null strata are kept (null
 strata share one stratum); repeated rows each get a row; labels that are null
@@ -56,12 +60,11 @@ def measure(
 ) -> DataFrame:
     """doc_id, stratum and the counts of each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals.
 
-    With ``carry`` the whole input row comes along as the struct ``row``. The
-    column ``place`` is a number that Spark may not compute twice; conditions on
-    the counts name it too, so that the optimiser doesn't move them, with all
+    With ``carry`` the whole input row comes along as the struct ``row``. Write
+    the result before filtering it by the counts: else Spark moves conditions, with all
     that the counts are made of, below the steps that make them.
     """
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rest = ["row"] if carry else []
     count = lambda other: F.char_length(F.regexp_replace("text", other, "")).cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -108,12 +111,14 @@ def measure(
             ),
         }
     )
-    slow = "filter(sequence(1, cast(n_words as int) - 2), a -> exists(sequence(1, cast(n_words as int) - 2), b -> a <> b and slice(words, a, 3) = slice(words, b, 3)))"
+    # by the words themselves: n log n steps, too
+    ordered = "sort_array(transform(sequence(1, cast(n_words as int) - 2), i -> named_struct('w', slice(words, i, 3), 'i', i)))"
+    slow = f"element_at(transform(array({ordered}), k -> transform(filter(k, (x, j) -> (j > 0 and k[j - 1].w = x.w) or (j + 1 < size(k) and k[j + 1].w = x.w)), x -> x.i)), 1)"
     repeats = F.expr(
         f"aggregate(sort_array(if(met, {slow}, places)), named_struct('end', 0, 'n', 0L),"
         " (s, p) -> named_struct('end', p + 3, 'n', s.n + 3 - greatest(0, s.end - p)), s -> s.n)"
     )
-    return d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_capitals", F.monotonically_increasing_id().alias("place"), *rest)
+    return d.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"), "n_capitals", *rest)
 
 
 def fixed_rules() -> Column:
@@ -143,7 +148,7 @@ def calibrate(features: DataFrame, labels: DataFrame, rules=RULES, risk: float =
         .where("quality = 1")
         .select("doc_id")
     )
-    held = features.where(~fixed_rules() & (F.col("place") >= 0)).join(good, "doc_id", "left_semi")
+    held = features.where(~fixed_rules()).join(good, "doc_id", "left_semi")
     tests = [(rule, cut, f"{m} > {cut}D") for rule, m, cuts in rules for cut in cuts]
     counted = held.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(what)).alias(f"k{i}") for i, (_, _, what) in enumerate(tests)]
@@ -179,13 +184,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, work: Workspace, stratum:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """The rows of ``docs``, as they are, that the rules keep.
-
-    The measures are taken twice, once for the labelled rows' calibration and
-    once beside the texts: cheaper than moving the texts to their verdicts.
-    """
-    tests = work.save(calibrate(measure(docs), labels), "tests")
-    return judge(measure(docs, carry=True), tests).where("kept and place >= 0").select("row.*")
+    """The rows of ``docs``, as they are, that the rules keep. They are written with their measures, for calibration and verdict."""
+    measured = work.save(measure(docs, carry=True), "measured")
+    tests = work.save(calibrate(measured.drop("row"), labels), "tests")
+    return judge(measured, tests).where("kept").select("row.*")
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
