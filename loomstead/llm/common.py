@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import time
@@ -22,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs on this machine alone, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loomstead-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -42,6 +46,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Delete all that is left, results too; done by itself when the driver ends."""
+        atexit.unregister(self.close)
+        with contextlib.suppress(Exception):  # the session may be gone
+            self.drop("")
+        self.names = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
