@@ -260,7 +260,7 @@ def find_contamination(
     benchmark: DataFrame,
     work: Workspace | None = None,
     window: int = WINDOW,
-    shard_words: int = 1_000_000,
+    shard_words: int = 250_000,
     block_words: int = 1_000_000,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -307,18 +307,21 @@ def find_contamination(
 
             for batch in batches:
                 columns = [batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()]
+                first = 0  # the batch's rows from here on aren't in ``rows`` yet
                 for at, (i, t, r, it) in enumerate(zip(*columns, strict=True)):
                     t = t.as_py()
                     ids.append(i)
                     texts.append(t)
                     words.append(words_of(t))
                     before.append(([(x["start"], x["end"]) for x in r], it))
-                    if carry:
-                        rows.append(batch.column(4).slice(at, 1))
                     n += len(words[-1])
                     if n >= shard_words:
+                        if carry:
+                            rows.append(batch.column(4).slice(first, at + 1 - first))
                         yield shard()
-                        ids, texts, words, before, rows, n = [], [], [], [], [], 0
+                        ids, texts, words, before, rows, n, first = [], [], [], [], [], 0, at + 1
+                if carry and first < batch.num_rows:
+                    rows.append(batch.column(4).slice(first))
             if ids:
                 yield shard()
 

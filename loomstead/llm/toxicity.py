@@ -70,7 +70,7 @@ def word_features(word: bytes, bits: int = BITS) -> tuple[int, ...]:
 class Features:
     """The features of texts; remembers those of words, up to a bound."""
 
-    def __init__(self, bits: int = BITS, remember: int = 300_000):
+    def __init__(self, bits: int = BITS, remember: int = 100_000):
         self.bits, self.remember = bits, remember
         self.known: dict[bytes, tuple[int, ...]] = {}
 
@@ -284,7 +284,7 @@ class Weights:
 
     def total(self, text: str) -> float:
         """The sum of the weights of the text's distinct features."""
-        if len(self.plain) > 400_000:
+        if len(self.plain) > 150_000:
             self.plain = set()
         total: dict[int, float] = {}
         for w in set(text.encode("utf-8", "replace").lower().split()) - self.plain:
@@ -293,7 +293,7 @@ class Weights:
                 x = {f: self.weights[f] for f in word_features(w, self.model.bits) if self.weights[f]}
                 if not x:
                     self.plain.add(w)
-                elif len(self.telling) < 200_000:
+                elif len(self.telling) < 60_000:
                     self.telling[w] = x
             total.update(x)
         return sum(total[f] for f in sorted(total))
