@@ -66,3 +66,40 @@ def gate(cell: Column, context: Column, separator: str = ",") -> Column:
     """The tokens of a cell for which the context has evidence."""
     tokens = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda t: F.trim(t)), lambda t: t != "")
     return F.filter(tokens, lambda t: in_context(t, context))
+
+
+def whole_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", item_text: str = "text", max_chars: int = 50_000_000) -> DataFrame:
+    """(doc_id, item_id): the documents that hold the whole text of an item, whatever its case.
+
+    The items, whose total length is checked, go to every worker as one automaton; each text is read
+    once, however many items there are, and nothing is shuffled. Items without text occur nowhere.
+    """
+    import pyarrow as pa
+
+    own = items.select(F.col(item_id).alias("item_id"), F.lower(F.trim(item_text)).alias("item")).where("item <> '' and item_id is not null")
+    chars = own.agg(F.sum(F.char_length("item"))).first()[0] or 0
+    if chars > max_chars:
+        raise ValueError(f"the items have more than {max_chars} characters")
+    of: dict[str, list] = {}
+    for r in own.collect():
+        of.setdefault(r["item"], []).append(r["item_id"])
+    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    kinds = [low.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for item, ids in of.items():
+            machine.add_word(item, ids)
+        if of:
+            machine.make_automaton()
+        for batch in batches:
+            found = [sorted({i for _, ids in machine.iter(t.as_py()) for i in ids}) if of else [] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(item_type))], ["doc_id", "items"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_type = to_arrow_type(items.schema[item_id].dataType)
+    hits = low.mapInArrow(run, f"doc_id {kinds[0]}, items array<{kinds[1]}>")
+    return hits.select("doc_id", F.explode("items").alias("item_id"))

@@ -1,58 +1,69 @@
 """Retrieval: exact similarity, maximal marginal relevance, BM25.
 
-Searches hold a stated query set against all rows: the queries are the side of
-checked size that is sent to the data, so the data never move; each partition
+Searches hold a stated query set against all rows: the queries, a block of bounded
+size at a time, are sent to the data, so the data never move; each partition
 keeps its best k for each query before anything is shuffled.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, block: int = 4096, exclude_self: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, block: int = 65_536, exclude_self: bool = True) -> DataFrame:
     """(query, key, score, rank): the k rows with the highest dot product, by key on ties; scores are rounded to 9 digits first.
 
-    Queries are taken in blocks of ``block``; a block is sent to all rows.
+    Queries are taken in blocks of ``block``, each of which is one pass over the
+    rows; within it scores are made for a thousand queries at a time.
     """
     import numpy as np
     import pyarrow as pa
 
-    found = None
-    todo: list[list] = []
-    blocks: list[list] = []
-    for q in queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).toLocalIterator():
-        todo.append([q[0], q[1]])
-        if len(todo) == block:
-            blocks.append(todo)
-            todo = []
-    blocks.append(todo)
-    for part in blocks:
-        ids, matrix = np.array([q[0] for q in part], np.int64), np.array([q[1] for q in part], float)
-
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+    def searching(ids: np.ndarray, matrix: np.ndarray):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys_of, score_of = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for batch in batches:
                 if not len(ids) or not batch.num_rows:
                     continue
                 keys = batch.column(0).to_numpy()
-                width = matrix.shape[1]
-                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                scores = np.round(matrix @ own.T, 9)
-                for i, s in enumerate(scores):
-                    ok = np.flatnonzero(keys != ids[i]) if exclude_self else np.arange(len(keys))
-                    order = ok[np.lexsort((keys[ok], -s[ok]))[:k]]
-                    best[i] = heapq.nsmallest(k, [*best[i], *[(-float(s[j]), int(keys[j])) for j in order]])
-            rows_ = [(int(ids[i]), key_, -score) for i, b in enumerate(best) for score, key_ in b]
-            q, n, s = zip(*rows_, strict=True) if rows_ else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], ["query", "key", "score"])
+                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+                best_keys, best_scores = [], []
+                for at in range(0, len(ids), 1024):
+                    part = slice(at, at + 1024)
+                    s = np.round(matrix[part] @ own.T, 9)
+                    if exclude_self:
+                        s[keys == ids[part, None]] = -np.inf
+                    both = np.concatenate([score_of[part], s], axis=1)
+                    names = np.concatenate([keys_of[part], np.broadcast_to(keys, s.shape)], axis=1)
+                    if both.shape[1] > k:  # only what is no worse than the k-th is put in order
+                        row, column = np.nonzero(both >= -np.partition(-both, k - 1, axis=1)[:, k - 1 : k])
+                        order = np.lexsort((names[row, column], -both[row, column], row))
+                        row, column = row[order], column[order]
+                        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                        column = column[kept].reshape(len(both), k)
+                        both, names = np.take_along_axis(both, column, 1), np.take_along_axis(names, column, 1)
+                    best_keys.append(names)
+                    best_scores.append(both)
+                keys_of, score_of = np.concatenate(best_keys), np.concatenate(best_scores)
+            ok = score_of > -np.inf
+            columns = [np.repeat(ids, ok.sum(axis=1)) if ok.size else ids[:0], keys_of[ok], score_of[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "key", "score"])
+
+        return search
 
+    found = None
+    rows_of = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).toLocalIterator()
+    while found is None or part:
+        part = list(islice(rows_of, block))
+        if found is not None and not part:
+            break
+        ids, matrix = np.array([q[0] for q in part], np.int64), np.array([q[1] for q in part], float)
         own = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
-        out = own.mapInArrow(search, "query long, key long, score double")
+        out = own.mapInArrow(searching(ids, matrix), "query long, key long, score double")
         found = out if found is None else found.unionByName(out)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -242,13 +242,14 @@ def best_per_key(spark, sf_dir):
 
 
 SEED = """with s as (select doc_id, case when quality = 1 then 'good' else '' end prior from labels),
-e as (select doc_id, lang new, doc_id % 3 = 0 strong from documents where doc_id % 2 = 0 or lang = 'fr')
-select coalesce(s.doc_id, e.doc_id) key, case when new is not null and {rule} then new else prior end "value" from s full join e on s.doc_id = e.doc_id"""
+e as (select doc_id, case when doc_id % 2 = 0 or lang = 'fr' then lang when doc_id % 5 = 0 then ' ' end new, doc_id % 3 = 0 strong from documents)
+select coalesce(s.doc_id, e.doc_id) key, case when trim(coalesce(new, '')) <> '' and {rule} then new else prior end "value" from s full join e on s.doc_id = e.doc_id"""
 
 
 def _seed(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     seed = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("").alias("v"))
-    found = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 or lang = 'fr'").select("doc_id", F.col("lang").alias("v"), (F.col("doc_id") % 3 == 0).alias("strong"))
+    value = F.expr("case when doc_id % 2 = 0 or lang = 'fr' then lang when doc_id % 5 = 0 then ' ' end")  # evidence without a value, too
+    found = table(spark, sf_dir, "documents").select("doc_id", value.alias("v"), (F.col("doc_id") % 3 == 0).alias("strong"))
     return fuse.seed_merge(seed, found, "doc_id", "v", "strong", strict)
 
 
@@ -312,10 +313,15 @@ def findall_distinct(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lexicon.find_all(F.col("text"), "[0-9][0-9]+"), " ").alias("found"))
 
 
-@query(None)
+ANCHORED = """select doc_id, bool_or(regexp_matches(substr(t, greatest(0, at_ - 80) + 1, at_ + 80 - greatest(0, at_ - 80)), ' the |version')) hit from (
+    select doc_id, t, (list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * {n})::bigint at_ from (select doc_id, t, s, unnest(range(1, len(s))) i from (select doc_id, lower(coalesce("text", '')) t, string_split(lower(coalesce("text", '')), '{cue}') s from documents))) group by doc_id"""
+
+
+@query(f"""with a as ({ANCHORED.format(cue='license', n=7)}), b as ({ANCHORED.format(cue=' with ', n=6)})
+select doc_id, case when coalesce(a.hit, false) and coalesce(b.hit, false) then 'license,which' when a.hit then 'license' when b.hit then 'which' else '' end labels from documents left join a using (doc_id) left join b using (doc_id)""")
 def anchored_window(spark, sf_dir):
     """Labels whose cue has an anchor within 80 characters, exactly."""
-    out = windows.anchored(table(spark, sf_dir, "documents"), "doc_id", "text", {"license": "license", "which": r"\bwith\b"}, r"\bthe\b|version")
+    out = windows.anchored(table(spark, sf_dir, "documents"), "doc_id", "text", {"license": "license", "which": " with "}, " the |version")
     return out.withColumn("labels", F.array_join("labels", ","))
 
 
@@ -371,12 +377,12 @@ def row_derivation_chain(spark, sf_dir):
     return out.select(k, "klass", "fusion", "objectives", "train", "eval_")
 
 
-@query("""select b.item_id, count(*) n from benchmark b join documents d on contains(lower(d."text"), lower(left(b."text", 60))) group by b.item_id""")
+@query("""select b.item_id, count(d.doc_id) n from benchmark b left join documents d on trim(b."text") <> '' and contains(lower(d."text"), lower(trim(b."text"))) group by b.item_id""")
 def evidence_gate(spark, sf_dir):
-    """In how many documents the beginning of a benchmark item occurs word for word."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(60))).alias("beginning"))
-    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("low"))
-    return docs.join(F.broadcast(items), F.contains("low", "beginning")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    """In how many documents each benchmark item occurs word for word, as a whole."""
+    items = table(spark, sf_dir, "benchmark")
+    found = lexicon.whole_items(table(spark, sf_dir, "documents"), items, "doc_id", "item_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.select("item_id").distinct().join(found, "item_id", "left").fillna(0, ["n"])
 
 
 @query("""with s as (select doc_id, unnest(string_split("text", chr(10))) section, unnest(range(len(string_split("text", chr(10))))) i from documents)
@@ -533,3 +539,6 @@ def first_answer(spark, sf_dir):
 def extract_records(spark, sf_dir):
     """A sixteen-column record of every document."""
     return extract.extract(table(spark, sf_dir, "documents"))
+
+
+from . import records as _records  # noqa: E402, F401  registers its queries, with the decorator from above

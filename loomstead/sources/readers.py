@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -96,3 +97,65 @@ def clean_text(text: Column) -> Column:
     for a, b in ((r"[\x00-\x08\x0B-\x1F]", ""), (r"(\w)-\n(\w)", "$1$2"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"^\s+|\s+$", "")):
         text = F.regexp_replace(text, a, b)
     return text
+
+
+def normalized(text: Column) -> Column:
+    """Unicode's composed form (NFC), which has no built-in; Arrow batches."""
+    def compose(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFC")
+
+    return F.pandas_udf(compose, "string")(text)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON object, such as prompts by field, read by Spark; small by nature."""
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def read_vectors(spark: SparkSession, path: str, doc_id: object | None = None, column: str = "doc_id", buckets: int = 64) -> DataFrame:
+    """A store of chunks; of one document only its part is read."""
+    df = spark.read.parquet(path)
+    if doc_id is None:
+        return df.drop("part")
+    at = df.schema[column].dataType.simpleString()
+    part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(doc_id).cast(at)), F.lit(buckets)).cast("int")).first()[0]
+    return df.where((F.col("part") == part) & (F.col(column) == F.lit(doc_id))).drop("part")
+
+
+def document_ids(store: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The distinct documents of a store, in order."""
+    return store.select(column).distinct().orderBy(column)
+
+
+def match_documents(ids: DataFrame, docs: DataFrame, key: str = "key", doc_id: str = "doc_id", text: str = "text", max_ids: int = 10_000) -> DataFrame:
+    """(key, text): all documents whose name holds the key, joined in order of their names; none is null.
+
+    The keys are the side of checked size. A key without documents gets nothing: other documents' texts are not its.
+    """
+    if ids.limit(max_ids + 1).count() > max_ids:
+        raise ValueError(f"more than {max_ids} keys")
+    named = docs.select(F.col(doc_id).alias("name"), F.col(text).alias("own"))
+    found = named.join(F.broadcast(ids.select(key)), F.contains(F.lower("name"), F.lower(key)))
+    joined = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "own"))).alias("parts"))
+    return ids.join(joined.select(key, F.array_join(F.transform("parts", lambda x: x["own"]), "\n").alias("text")), key, "left")
+
+
+def optional_csv(spark: SparkSession, path: str | None, columns: Sequence[str], key: str = "File") -> DataFrame:
+    """A CSV by its key, the last row of a key; without a path, or where nothing is there, an empty table."""
+    empty = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
+    if not path:
+        return empty
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return empty
+    df = read_csv(spark, path, columns, fill=True).withColumn("ordinal", F.monotonically_increasing_id())
+    return df.groupBy(key).agg(F.max_by(F.struct(*columns), "ordinal").alias("last")).select("last.*")
+
+
+def find_files(spark: SparkSession, path: str, pattern: str = "*.pdf", skip: Sequence[str] = (".git", "node_modules", "__pycache__", ".venv")) -> DataFrame:
+    """(path, name): files below a folder by pattern, without those in the folders to skip; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
+    junk = "|".join(f"\\Q{s}\\E" for s in skip)
+    return found.where(~F.col("path").rlike(f"/({junk})/")).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))

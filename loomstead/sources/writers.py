@@ -53,3 +53,20 @@ def write_new_texts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
     if n:
         new.write.mode("append").parquet(path)
     return n
+
+
+def write_json(df: DataFrame, path: str, key: str | None = None) -> None:
+    """Rows as JSON lines; with ``key`` in a folder for each value of it (``key=value``), null fields written too."""
+    writer = df.write.mode("overwrite").option("ignoreNullFields", "false")
+    (writer.partitionBy(key) if key else writer).json(path)
+
+
+def write_vectors(chunks: DataFrame, path: str, doc_id: str = "doc_id", buckets: int = 64) -> None:
+    """A store of chunks and their vectors, partitioned by a hash of the document, so that a filter on one document reads one part."""
+    part = F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+    chunks.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def dump(df: DataFrame, path: str, columns: Sequence[str], longest: int = 400) -> None:
+    """The beginning of chosen text columns as JSON lines, to look at."""
+    df.select(*[F.left(F.col(f"`{c}`").cast("string"), F.lit(longest)).alias(c) for c in columns]).write.mode("overwrite").json(path)
