@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextlib.contextmanager
+def _own_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Workspace:
     """Tables that an operator writes between its steps, in the shared folder."""
 
@@ -59,8 +72,9 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` and read it again: its lineage ends here."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        """Write ``df`` and read it again: its lineage ends here, and its shuffle files go when it is written."""
+        with _own_setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -78,13 +92,6 @@ class Workspace:
         self.names = {name}
         return out
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of finished steps now, not at some later collection."""
-        for _ in range(3):  # the driver's Python, its JVM, and Spark's cleaner each let go of what the one before held
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
-
 
 def text_of(name: str) -> Column:
     """A text column in which null counts as empty."""

@@ -21,16 +21,21 @@ block, in the order in which they were asked. A block brings each of its
 distinct words and sequences once, however frequent they are. For each length
 there is an exchange of counts, and one of sums over the seen sequences of each
 context (each sequence being told by one block only): of their counts, and of
-the counts of the same without the first word, which are seen too. Sums are of
-integers, so the result doesn't depend on the order of rows. The tokens are then
+the counts of the same without the first word, which are seen too. An answer
+also says whether another block has the key. A longer sequence that holds one
+which no other block has is in no other block either, and neither is a context
+that no other block has: the block's own counts are the corpus' then, and nothing
+is moved. Sums are of integers, so the result doesn't depend on the order of rows. The tokens are then
 scored block by block, from the word up to the longest sequence.
 
 Words are runs of anything but ASCII white space, A-Z in lower case; each text
 ends with an end token and is preceded by a start that is only a context. Words
-and sequences are told apart by 64-bit hashes.
+and sequences are told apart by 64-bit hashes within a block, and between blocks
+by the upper bits: ``SPARE`` more than the number of tokens takes (64 at most),
+so that one key in some millions meets another's.
 
 Defined cases: a null or empty text is the end token alone; null and repeated
-ids are kept row by row; without training rows all words are unknown and share
+ids are kept row by row, ids of any type as they are; without training rows all words are unknown and share
 probability one; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -46,17 +51,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Workspace, text_of
 
-CUT = 5
+CUT, SPARE = 5, 22
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-BLOCK = "block long, doc_ids array<long>, lengths array<int>, trained array<boolean>, words binary, keys binary"
+BLOCK = "block long, doc_ids array<{id}>, lengths array<int>, trained array<boolean>, words binary, keys binary"
 ASKED = "kind int, bucket int, block long, keys binary, sums binary"
-ANSWER = "kind int, bucket int, block long, sums binary, first binary"
+ANSWER = "kind int, bucket int, block long, sums binary, told binary"
+FIRST, ALONE = 1, 2
 
 
-def trains(doc_id: int | None) -> bool:
+def trains(doc_id: object) -> bool:
     """Whether the model learns from a document."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 != 2
 
@@ -154,7 +161,7 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
         def block() -> pa.RecordBatch:
             keys, words = np.unique(np.concatenate(hashes), return_inverse=True)
             row = [[number], [ids], [[len(h) for h in hashes]], [[trains(i) for i in ids]], [squeeze(words)], [squeeze_sorted(keys)]]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
@@ -169,8 +176,9 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
         if ids:
             yield block()
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return own.mapInArrow(run, BLOCK)
+    own = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    id_type = to_arrow_type(own.schema["doc_id"].dataType)
+    return own.mapInArrow(run, BLOCK.format(id=own.schema["doc_id"].dataType.simpleString()))
 
 
 class Tokens:
@@ -215,25 +223,26 @@ class Tokens:
         return np.bincount(at[at >= 0], minlength=len(self.keys[n])).astype(np.int64)
 
 
-def ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows that ask for the sums of the keys and bring the block's own."""
+def ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int, bits: int) -> list[tuple]:
+    """Rows that ask for the sums of the keys and bring the block's own; of the keys the upper bits are sent."""
     order = np.argsort(keys)
     keys, sums = keys[order], sums[order]
     bucket = (keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
+    keys = keys >> np.uint64(64 - bits)
     cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
     return [(kind, int(bucket[a]), block, squeeze_sorted(keys[a:b]), squeeze(sums[a:b].T)) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
 def understand(rows: list[dict], keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The answers to ``ask`` in the order of ``keys``, and whether this block was the first to bring a key."""
+    """The answers to ``ask`` in the order of ``keys``, and what they tell of each key: FIRST, this block was the first to bring it; ALONE, no other did."""
     rows = sorted(rows, key=lambda r: r["bucket"])
     order = np.argsort(keys)
     sums = np.empty((len(keys), width), np.int64)
-    first = np.empty(len(keys), bool)
+    told = np.empty(len(keys), np.uint8)
     if rows:
         sums[order] = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(width, -1).T for r in rows])
-        first[order] = np.concatenate([expand(r["first"]).astype(bool) for r in rows])
-    return sums, first
+        told[order] = np.concatenate([expand(r["told"]).astype(np.uint8) for r in rows])
+    return sums, told
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -243,26 +252,37 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, types[t]) for (n, t), c in zip(names, columns, strict=True)})
 
 
+def tally(c: np.ndarray) -> np.ndarray:
+    """How many of the counts are 0, 1 .. CUT + 1, then their sum, then how many aren't 0."""
+    seen = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[: CUT + 2]
+    return np.array([*seen.tolist(), int(c.sum()), int((c > 0).sum())], np.int64)
+
+
 def exchange(asked: DataFrame, width: dict[int, int]) -> DataFrame:
-    """Answer what all blocks asked. Of each kind a row with block -1 for each bucket tells how many keys summed to 1, 2, ... in the first column."""
+    """Answer what all blocks asked. Of each kind rows with block -1 tell how many keys summed to 1, 2, ... in the first column.
+
+    Buckets below zero hold tallies of keys that blocks didn't have to ask for; they are summed.
+    """
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        kind, w = key[0].as_py(), width[key[0].as_py()]
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        w = width[kind]
+        if bucket < 0:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
+            return _table([(kind, bucket, -1, total.tobytes(), b"")], ANSWER)
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         each = [expand_sorted(r["keys"]) for r in rows]
         keys = np.concatenate(each)
         own = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(w, -1).T for r in rows])
-        found, at, number = np.unique(keys, return_index=True, return_inverse=True)
+        found, at, number, brought = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         sums = np.stack([np.bincount(number, weights=own[:, c], minlength=len(found)) for c in range(w)], axis=1).astype(np.int64)
-        first = np.zeros(len(keys), bool)
-        first[at] = True
-        c = sums[:, 0]
-        told = [*np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[: CUT + 2].tolist(), int(c.sum()), int((c > 0).sum())]
-        out = [(kind, key[1].as_py(), -1, np.array(told, np.int64).tobytes(), b"")]
+        told = ((brought == 1) * ALONE).astype(np.uint8)[number]
+        told[at] |= FIRST
+        out = [(kind, bucket, -1, tally(sums[:, 0]).tobytes(), b"")]
         upto = 0
         for r, k in zip(rows, each, strict=True):
             part = slice(upto, upto + len(k))
-            out.append((kind, key[1].as_py(), r["block"], squeeze(sums[number[part]].T), squeeze(first[part])))
+            out.append((kind, bucket, r["block"], squeeze(sums[number[part]].T), squeeze(told[part])))
             upto += len(k)
         return _table(out, ANSWER)
 
@@ -293,11 +313,53 @@ def totals(answers: DataFrame, kind: int) -> list[int]:
     return out
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+class Known:
+    """What a block knows by now of its sequences of each length: counts in the corpus, whether it tells of them, whether it alone has them."""
+
+    def __init__(self, t: Tokens, answers: dict[int, list[dict]], upto: int):
+        self.c: dict[int, np.ndarray] = {}
+        self.first: dict[int, np.ndarray] = {}
+        self.alone: dict[int, np.ndarray] = {}
+        for k in range(1, upto + 1):
+            lone = self.lone(t, k)
+            c = t.count(k)
+            sums, told = understand(answers[k], t.keys[k][~lone], 1)
+            c[~lone] = sums[:, 0]
+            self.c[k], self.first[k], self.alone[k] = c, lone.copy(), lone
+            self.first[k][~lone] = told & FIRST > 0
+            self.alone[k][~lone] = told & ALONE > 0
+
+    def lone(self, t: Tokens, k: int) -> np.ndarray:
+        """Which sequences of k words no other block can have, since it lacks a part of them."""
+        if k < 3:
+            return np.zeros(len(t.keys[k]), bool)
+        return self.alone[k - 1][t.left[k]] | self.alone[k - 1][t.rest[k]]
+
+    def lone_contexts(self, k: int) -> np.ndarray:
+        """Which contexts of sequences of k words no other block has; the start of a text is everyone's."""
+        return np.append(self.alone[1], False) if k == 2 else self.alone[k - 1]
+
+    def contexts(self, t: Tokens, k: int) -> np.ndarray:
+        """For each context of sequences of k words: the sums over those that this block tells of."""
+        own = self.first[k] & (self.c[k] > 0)
+        left, c, below = t.left[k][own], self.c[k][own], self.c[k - 1][t.rest[k][own]]
+        sums = np.zeros((len(t.contexts[k]), WIDTH), np.int64)
+        for r in range(1, CUT + 1):
+            sums[:, r - 1] = np.bincount(left[c == r], minlength=len(sums))
+            sums[:, CUT + r] = np.bincount(left[below == r], minlength=len(sums))
+        for column, x in ((CUT, c), (2 * CUT + 1, below)):
+            sums[:, column] = np.bincount(left[x > CUT], weights=x[x > CUT], minlength=len(sums))
+        return sums
+
+
+WIDTH = 2 * CUT + 2
 
 
 def score_documents(
-    docs: DataFrame, work: Workspace, block_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", order: int = 2
+    docs: DataFrame, work: Workspace, block_tokens: int = 1_000_000, bucket_keys: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", order: int = 2
 ) -> DataFrame:
     """The model's log10 probability of every text, and that of the add-one base; order: the words of the longest sequences, two at least."""
     if order < 2:
@@ -305,63 +367,51 @@ def score_documents(
     blocks = work.save(block_of(docs, block_tokens, doc_id, text), "blocks")
     n = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     buckets = 1 << max(2, n // bucket_keys).bit_length()
-    width = 2 * CUT + 2
-
-    def count(lengths: tuple[int, ...]) -> DataFrame:
-        def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    t = Tokens(row, lengths[-1])
-                    rows = [r for k in lengths for r in ask(k, row["block"], t.keys[k], t.count(k), buckets)]
-                    yield from _table(rows, ASKED).to_batches()
+    bits = min(64, SPARE + n.bit_length())
 
-        out = work.save(exchange(blocks.mapInArrow(asks, ASKED), dict.fromkeys(lengths, 1)), f"counts{lengths[-1]}")
-        work.release()
-        return out
-
-    counts = {2: count((1, 2))} | {k: count((k,)) for k in range(3, order + 1)}
-    model = Model([totals(counts[max(2, k)], k) for k in range(1, order + 1)])
+    def first_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = Tokens(row, 2)
+                rows = [r for k in (1, 2) for r in ask(k, row["block"], t.keys[k], t.count(k), buckets, bits)]
+                yield from _table(rows, ASKED).to_batches()
 
-    def told(t: Tokens, answers: dict[int, list[dict]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        c, first = understand(answers[k], t.keys[k], 1)
-        return c[:, 0], first
+    answered = work.save(exchange(blocks.mapInArrow(first_asks, ASKED), {1: 1, 2: 1}), "answers1")
 
-    def contexts_of(k: int) -> DataFrame:
-        """The sums for the contexts of sequences of k words, as kind -k."""
+    def more_asks(k: int) -> Callable[[Tokens, int, dict[int, list[dict]]], pa.Table]:
+        """Ask for the sums of the contexts of sequences of k words, as kind -k, and for the counts of the next longer sequences."""
 
         def asks(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
-            below = told(t, answers, k - 1)[0]
-            c, first = told(t, answers, k)
-            own = first & (c > 0)
-            left, c, below = t.left[k][own], c[own], below[t.rest[k][own]]
-            sums = np.zeros((len(t.contexts[k]), width), np.int64)
-            for r in range(1, CUT + 1):
-                sums[:, r - 1] = np.bincount(left[c == r], minlength=len(sums))
-                sums[:, CUT + r] = np.bincount(left[below == r], minlength=len(sums))
-            for column, x in ((CUT, c), (2 * CUT + 1, below)):
-                sums[:, column] = np.bincount(left[x > CUT], weights=x[x > CUT], minlength=len(sums))
+            known = Known(t, answers, k)
+            some = ~known.lone_contexts(k)
             # longer contexts are many, and each has a row of sums: smaller buckets
-            return _table(ask(-k, block, t.contexts[k], sums, buckets if k == 2 else buckets * 4), ASKED)
+            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k)[some], buckets if k == 2 else buckets * 4, bits)
+            if k < order:
+                c, lone = t.count(k + 1), known.lone(t, k + 1)
+                rows += ask(k + 1, block, t.keys[k + 1][~lone], c[~lone], buckets, bits)
+                rows.append((k + 1, -1 - block % buckets, block, b"", tally(c[lone]).tobytes()))
+            return _table(rows, ASKED)
 
-        known = counts[k] if k == 2 else counts[k - 1].where(F.col("kind") == k - 1).unionByName(counts[k])
-        out = work.save(exchange(with_answers(blocks, known, asks, ASKED, k), {-k: width}), f"contexts{k}")
-        work.release()
-        return out
+        return asks
 
-    answered = counts[2]
     for k in range(2, order + 1):
-        answered = answered.unionByName(contexts_of(k))
-        if k > 2:
-            answered = answered.unionByName(counts[k])
+        asked = with_answers(blocks, answered, more_asks(k), ASKED, min(k + 1, order))
+        answered = answered.unionByName(work.save(exchange(asked, {-k: WIDTH, k + 1: 1}), f"answers{k}"))
+    model = Model([totals(answered, k) for k in range(1, order + 1)])
+    kind = blocks.schema["doc_ids"].dataType.elementType
+    id_type = to_arrow_type(kind)
 
     def evaluate(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
-        c1 = told(t, answers, 1)[0]
+        known = Known(t, answers, order)
+        c1 = known.c[1]
         base = np.log10((c1 + 1) / (model.tokens + model.types + 1))
         best, shorter = np.log10(model.word(c1)), model.total
         scored = np.empty(len(t.words))
         for k in range(2, order + 1):
-            c = told(t, answers, k)[0]
-            total, alpha = model.context(k, understand(answers[-k], t.contexts[k], width)[0], shorter)
+            c, some = known.c[k], ~known.lone_contexts(k)
+            sums = known.contexts(t, k)
+            sums[some] = understand(answers[-k], t.contexts[k][some], WIDTH)[0]
+            total, alpha = model.context(k, sums, shorter)
             with np.errstate(divide="ignore"):
                 seen = np.log10(model.weigh(k, c)) - np.log10(np.maximum(total, 1))[t.left[k]]
                 unseen = np.log10(alpha)[t.left[k]] + best[t.rest[k]]
@@ -370,7 +420,7 @@ def score_documents(
             scored[there] = best[t.at[k][there]]
         sums = lambda x: np.add.reduceat(x, t.starts)
         out = [t.ids, ~t.trained, t.lengths, sums((c1 > 0).astype(np.int64)[t.words]), np.full(len(t.ids), model.tokens), sums(base[t.words]), sums(scored)]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(x, y) for c, x, y in zip(SCORED.split(", "), out, types, strict=True)})
 
-    return work.finish(with_answers(blocks, answered, evaluate, SCORED, order), "scores")
+    return work.finish(with_answers(blocks, answered, evaluate, SCORED.format(id=kind.simpleString()), order), "scores")
