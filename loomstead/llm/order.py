@@ -1,8 +1,11 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride files.
 
-Documents are tokenised and, within a partition, joined and cut into sequences
-of ``length`` ids (the last one padded with the end id). Sequences are numbered
-across partitions, and a keyed Feistel permutation of [0, N) gives each its
+Documents are tokenised and dealt by a hash of their ids into parts of about
+``docs_in_part`` documents. Within a part they are put in order by that hash (and by
+their content where ids repeat), joined and cut into sequences
+of ``length`` ids (the last one padded with the end id). So the sequences depend
+on the documents alone, not on how a table is split into files or partitions.
+They are numbered part after part, and a keyed Feistel permutation of [0, N) gives each its
 global slot: a balanced network over the next even number of bits, walked on
 along its cycle while it leads outside of [0, N). The permutation is its own
 index: ``slot_of`` and ``sequence_of`` need the key and N alone.
@@ -14,11 +17,13 @@ on, and a run that was stopped goes on from the slot it had reached. Shards are
 written through Spark's own committer, so a lost executor's shards are written
 again and never twice.
 
-Sequences are moved once, those of one task and shard together and compressed.
+Documents are moved once into their parts, and sequences once into their shards,
+those of one task and shard together and compressed.
 
 Defined cases: a null text is empty and gives its end id alone; null and
-repeated ids are kept, each row being a document of its own; an empty table
-gives no shard; extra columns are ignored.
+repeated ids are kept, each row being a document of its own, ids of any type as
+they are; an empty table gives no shard; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Workspace, text_of
 from .tokens import Encoder
@@ -77,66 +82,83 @@ def place_of(slot: int, length: int = LENGTH, width: int = 2, per_shard: int = P
     return slot // per_shard, slot % per_shard * (length * width + 1)
 
 
-def sequences(docs: DataFrame, tokenizer: str, width: int, length: int, end_id: int, doc_id: str, text: str) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, width: int, end_id: int, doc_id: str, text: str, parts: int) -> DataFrame:
+    """part, h, crc, doc_id and ids (with the end id) of every row."""
+    own = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    own = own.select(F.pmod("h", F.lit(parts)).cast("int").alias("part"), "h", "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer)
+        end = np.array([end_id], f"<u{width}").tobytes()
+        for batch in batches:
+            ids = [encoder.encode(t.as_py()).astype(f"<u{width}").tobytes() + end for t in batch.column(3)]
+            columns = [batch.column(0), batch.column(1), pa.array(map(zlib.crc32, ids), pa.int64()), batch.column(2), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "h", "crc", "doc_id", "ids"])
+
+    return own.mapInArrow(run, f"part int, h long, crc long, doc_id {own.schema['doc_id'].dataType.simpleString()}, ids binary")
+
+
+def sequences(docs: DataFrame, tokenizer: str, width: int, length: int, end_id: int, doc_id: str, text: str, docs_in_part: int = 8_000) -> DataFrame:
     """part, number (within it), n_ids (without padding), doc_ids (whose ids are in it) and ids."""
+    parts = max(1, docs.count() // docs_in_part)
+    made = tokenised(docs, tokenizer, width, end_id, doc_id, text, parts)
+    kind = made.schema["doc_id"].dataType
+    id_type, names = to_arrow_type(kind), ["part", "number", "n_ids", "doc_ids", "ids"]
+    placed = made.repartitionById(parts, "part").sortWithinPartitions("part", "h", "crc", "doc_id").select("part", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        number, have = 0, 0
-        waiting: list[np.ndarray] = []
-        docs_in: list[tuple[int, int | None]] = []  # where each waiting document begins
+        step, part, number, have = length * width, None, 0, 0
+        waiting: list[bytes] = []
+        docs_in: list[tuple[int, object]] = []  # where each waiting document begins, in bytes
 
         def cut(last: bool) -> pa.RecordBatch:
             nonlocal number, have, waiting, docs_in
-            ids = np.concatenate(waiting) if waiting else np.zeros(0, np.uint32)
-            whole = len(ids) // length
-            n = whole + (last and len(ids) > whole * length)
-            flat = np.full(n * length, end_id, f"<u{width}")
-            flat[: min(len(ids), n * length)] = ids[: n * length]
+            raw = b"".join(waiting)
+            n = len(raw) // step + (last and len(raw) % step > 0)
             begins = np.array([b for b, _ in docs_in], np.int64)
-            of = []
-            for i in range(n):
-                a, b = np.searchsorted(begins, [i * length, (i + 1) * length])
-                a = a if a < len(begins) and begins[a] == i * length else max(0, a - 1)
-                of.append([docs_in[j][1] for j in range(a, b)])
-            names = ["part", "number", "n_ids", "doc_ids", "ids"]
-            step = length * width
-            raw = flat.tobytes()
-            columns = [
-                pa.array([part] * n, pa.int32()), pa.array(range(number, number + n), pa.int64()), pa.array([min(length, len(ids) - i * length) for i in range(n)], pa.int32()),
-                pa.array(of, pa.list_(pa.int64())), pa.array([raw[i * step : (i + 1) * step] for i in range(n)], pa.binary()),
-            ]
+            edges = np.arange(n + 1) * step
+            upto = np.searchsorted(begins, edges[1:])
+            since = np.maximum(0, np.searchsorted(begins, edges[:-1], "right") - 1)
+            ids = [raw[i * step : (i + 1) * step] for i in range(n)]
+            sizes = [len(x) // width for x in ids]
+            if n and sizes[-1] < length:
+                ids[-1] += np.full(length - sizes[-1], end_id, f"<u{width}").tobytes()
+            of = [[docs_in[j][1] for j in range(a, b)] for a, b in zip(since.tolist(), upto.tolist(), strict=True)]
+            columns = [pa.array([part] * n, pa.int32()), pa.array(range(number, number + n), pa.int64()), pa.array(sizes, pa.int32()), pa.array(of, pa.list_(id_type)), pa.array(ids, pa.binary())]
             number += n
-            used = min(len(ids), n * length)
-            j = int(np.searchsorted(begins, used, "right")) - 1
-            docs_in = [(max(0, b - used), d) for b, d in docs_in[max(0, j) :]] if used < len(ids) else []
-            waiting, have = [ids[used:]] if used < len(ids) else [], len(ids) - used
+            used = min(len(raw), n * step)
+            left = int(np.searchsorted(begins, used, "right")) - 1
+            docs_in = [(max(0, b - used), d) for b, d in docs_in[max(0, left) :]] if used < len(raw) else []
+            waiting, have = [raw[used:]] if used < len(raw) else [], len(raw) - used
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for p, d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if p != part:
+                    if have:
+                        yield cut(True)
+                    part, number = p, 0
                 docs_in.append((have, d))
-                waiting.append(np.append(encoder.encode(t.as_py()), np.uint32(end_id)))
+                waiting.append(ids.as_py())
                 have += len(waiting[-1])
-                if have >= 1000 * length:
+                if have >= 1000 * step:
                     yield cut(False)
         if have:
             yield cut(True)
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return own.mapInArrow(run, "part int, number long, n_ids int, doc_ids array<long>, ids binary")
+    return placed.mapInArrow(run, f"part int, number long, n_ids int, doc_ids array<{kind.simpleString()}>, ids binary")
 
 
 def materialise(
-    docs: DataFrame, work: Workspace, tokenizer: str, key: int = 20_240_229, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, work: Workspace, tokenizer: str, key: int = 20_240_229, length: int = LENGTH, per_shard: int = PER_SHARD, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", docs_in_part: int = 8_000
 ) -> tuple[str, DataFrame, int]:
     """Write the shards. Returns their folder, a table of sequence, slot, n_ids and doc_ids, and the width of a number."""
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
-    made = work.save(sequences(docs, tokenizer, width, length, end_id, doc_id, text), "sequences")
+    made = work.save(sequences(docs, tokenizer, width, length, end_id, doc_id, text, docs_in_part), "sequences")
     counts = made.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    firsts = counts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # a row for each partition
+    firsts = counts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # a row for each part
     firsts = work.save(firsts, "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     permutation = Permutation(total, key)
@@ -147,7 +169,7 @@ def materialise(
             slot = permutation.slot_of(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot), batch.column(1), batch.column(2)], ["sequence", "slot", "n_ids", "doc_ids"])
 
-    slots = numbered.select("sequence", "n_ids", "doc_ids").mapInArrow(number, "sequence long, slot long, n_ids int, doc_ids array<long>")
+    slots = numbered.select("sequence", "n_ids", "doc_ids").mapInArrow(number, f"sequence long, slot long, n_ids int, doc_ids {made.schema['doc_ids'].dataType.simpleString()}")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sequences of a batch by shard, compressed together."""

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomstead.llm import order, tokens
 from loomstead.llm.common import Workspace
@@ -24,7 +25,7 @@ def test_shards(spark, data):
     docs = docs.unionByName(spark.createDataFrame([(None, None, "x"), (1, "again", "x")], "doc_id long, text string, lang string"))
     docs = Workspace(spark, "t").save(docs, "docs")
     length, per = 128, 50
-    path, slots, width = order.materialise(docs, Workspace(spark, "t"), tokens.default_path(), length=length, per_shard=per)
+    path, slots, width = order.materialise(docs, Workspace(spark, "t"), tokens.default_path(), length=length, per_shard=per, docs_in_part=50)
     rows = slots.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     read = {r.slot: r for r in order.read_shards(spark, path, length, width, per).collect()}
@@ -48,6 +49,14 @@ def test_shards(spark, data):
     for v in spent.values():
         for x in v:
             assert ",".join(map(str, x.tolist())) in text
-    out = order.ordered(docs, Workspace(spark, "t"), tokens.default_path(), length=length, per_shard=per)
-    assert out.count() == len(rows)
+    # however the table is split, the order is the same
+    columns = ["slot", "shard", "byte_offset", "ids_crc32", "sequence", "n_ids", "doc_ids"]
+    every = []
+    for n in (1, 7):
+        split = Workspace(spark, "t").save(docs.repartition(n, "lang", "text").withColumn("part", F.lit("clash")).withColumn("number", F.lit(1)), "docs")
+        out = order.ordered(split, Workspace(spark, "t"), tokens.default_path(), length=length, per_shard=per, docs_in_part=50)
+        every.append(sorted(map(repr, out.select(columns).collect())))
+    assert every[0] == every[1] and len(every[0]) == len(rows)
+    named = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    assert [r.doc_ids for r in order.ordered(named, Workspace(spark, "t"), tokens.default_path()).collect()] in ([["a", "b"]], [["b", "a"]])
     assert order.ordered(docs.limit(0), Workspace(spark, "t"), tokens.default_path()).count() == 0
