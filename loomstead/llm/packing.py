@@ -10,20 +10,20 @@ lengths. So the driver packs the histogram of the lengths (``size`` numbers
 whatever the input) and gets runs: "rests number a to b of length l go q to a
 window into the windows from w on, starting at offset o". Rests of one length
 are numbered across the table by counts per partition, and each finds its run by
-bisection. No row moves, and nothing that grows with the table is collected.
+bisection. Texts and ids don't move; a piece's few numbers move once, to the count of its
+length and partition. Nothing that grows with the table is collected.
 
 A window that ends up filled to a power of two needs no padding; all others are
 padded to ``size``.
 
 Defined cases: a null text is empty and gives its end id alone; null and
-repeated ids are kept, each row being a document of its own; an empty table
-gives no pieces; extra columns are ignored.
+repeated ids are kept, each row being a document of its own, ids of any type as they
+are; an empty table gives no pieces; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Workspace, text_of
 from .tokens import Encoder
 
 SIZE, END_ID = 1024, 0
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
 
 
 def tokenise(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,13 +57,15 @@ def tokenise(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = EN
                     n = min(size, len(ids) - at)
                     rows.append((doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), len(ids), part, int(seen[n])))
                     seen[n] += 1
-            types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
+            types = [id_type] + [pa.int64()] * 4 + [pa.int32(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [()] * 7
             names = [c.split()[0] for c in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return own.mapInArrow(pieces, PIECES)
+    own = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    kind = own.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
+    return own.mapInArrow(pieces, PIECES.format(id=kind.simpleString()))
 
 
 class RoomTree:
@@ -138,26 +141,25 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     totals = counts.groupBy("length").agg(F.sum("n").alias("n"))
     histogram = {r["length"]: r["n"] for r in totals.collect()}  # at most ``size`` numbers
     runs, _ = plan(histogram, size)
-    starts: dict[int, list[int]] = {}
-    by_length: dict[int, list[tuple]] = {}
-    for run in runs:
-        starts.setdefault(run[0], []).append(run[1])
-        by_length.setdefault(run[0], []).append(run)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    # runs in order of length and first number; a piece's run is the last one that begins no later
+    table = np.array(sorted(runs), np.int64).reshape(-1, 6)
+    begins = np.searchsorted(table[:, 0], np.arange(size + 2))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.to_pydict()
-            to, off = [], []
-            for length, n in zip(d["length"], d["number"], strict=True):
-                _, number, _, each, window, offset = by_length[length][bisect_right(starts[length], n) - 1]
-                to.append(window + (n - number) // each)
-                off.append(offset + (n - number) % each * length)
-            columns = [batch.column(i) for i in range(5)] + [pa.array(to, pa.int64()), pa.array(off, pa.int64())]
+            length, n = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            run = np.zeros(len(n), np.int64)
+            for x in np.unique(length):
+                own = length == x
+                run[own] = begins[x] + np.searchsorted(table[begins[x] : begins[x + 1], 1], n[own], "right") - 1
+            _, number, _, each, window, offset = table[run].T
+            columns = [batch.column(i) for i in range(5)] + [pa.array(window + (n - number) // each), pa.array(offset + (n - number) % each * length)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     numbered = pieces.join(first, ["length", "part"]).select(*names[:5], (F.col("number") + F.col("first")).alias("number"))
-    return numbered.mapInArrow(place, ", ".join(f"{n} long" for n in names))
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    return numbered.mapInArrow(place, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
 def pack_documents(docs: DataFrame, work: Workspace, tokenizer: str, size: int = SIZE) -> DataFrame:
