@@ -86,6 +86,10 @@ def filter_captures(
         host_of(F.col(url)).alias("host"),
         segment_of(F.col(url)).alias("segment"),
     )
+    # only intervals that some capture can be in: a site's list doesn't grow with the years before
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    first, last = seen.agg(F.min(micros("fetched_at")), F.max(micros("fetched_at"))).first()
+    intervals = intervals.where((micros("valid_from") <= F.lit(last).cast("long")) & (F.col("valid_to").isNull() | (micros("valid_to") > F.lit(first).cast("long"))))
     sites = seen.where(F.col("host").isNotNull()).select("host", "segment").distinct()
     per_site = (
         sites.select("host", "segment", F.explode(keys_of(F.col("host"), F.col("segment"))).alias("k"))
@@ -99,7 +103,10 @@ def filter_captures(
         lambda x: (x["valid_from"] <= F.col("fetched_at"))
         & (x["valid_to"].isNull() | (F.col("fetched_at") < x["valid_to"])),
     )
-    out = seen.join(per_site, ["host", "segment"], "left").withColumn("active", active)
+    # a capture without a host gets a key of its own, so that they don't all meet in one task
+    site = F.coalesce("host", F.concat(F.lit("\0"), F.xxhash64("capture_id", "url", "fetched_at").cast("string")))
+    per_site = per_site.select(F.col("host").alias("site_"), F.col("segment").alias("part"), "listed")
+    out = seen.withColumn("site", site).join(per_site, (F.col("site") == F.col("site_")) & (F.col("segment") == F.col("part")), "left").withColumn("active", active)
     return out.select(
         "capture_id",
         "url",
