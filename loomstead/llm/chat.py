@@ -10,6 +10,11 @@ texts a backslash is put after the first character of every control string, and
 one more is put into strings that already look escaped, so ``unescape`` gives
 back exactly what went in.
 
+A conversation is gathered in one row, and every example repeats its context, as
+the method has it: k assistant turns of m characters give about m k (k + 1)
+characters, so 100 of 1,000 characters each ten million. What has to fit into a
+task is one conversation and its examples; other conversations don't add to it.
+
 Defined cases: null text and null role are empty; null turn numbers sort first;
 rows of one conversation that share a turn number are kept, ordered by role and
 then text; a null conversation id is a conversation of its own; an empty table
