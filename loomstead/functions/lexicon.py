@@ -7,7 +7,7 @@ for lexicons of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +44,13 @@ def terms_by_position(text: Column, terms: Sequence[str]) -> Column:
     return F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["term"])
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """All distinct matches, lower-cased and sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.lower)))
+def find_all(text: Column, pattern: str, names: Mapping[str, str] | None = None) -> Column:
+    """All distinct matches, lower-cased and sorted; with ``names`` by the label of their spelling."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.lower)
+    if names:
+        labels = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        found = F.transform(found, lambda x: F.coalesce(F.try_element_at(labels, x), x))
+    return F.array_sort(F.array_distinct(found))
 
 
 def join_lexicon(docs: DataFrame, lexicon: DataFrame, text: str, max_patterns: int = 10_000) -> DataFrame:

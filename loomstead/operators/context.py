@@ -11,6 +11,8 @@ from collections.abc import Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 
 def split_recursively(docs: DataFrame, doc_id: str, text: str, size: int = 1600, overlap: int = 800, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> DataFrame:
     """(doc_id, chunk_id, chunk): pieces of at most ``size`` characters, cut at the coarsest separator that does, joined with up to ``overlap`` shared.
@@ -88,8 +90,9 @@ def prefer_sections(parts: DataFrame, key: str, order: str, section: str, avoide
     good = ~F.coalesce(F.col(section).isin(*avoided), F.lit(False))
     some = F.max(good).over(Window.partitionBy(key))
     w = Window.partitionBy(key).orderBy(order)
-    d = parts.withColumn("some", some).where(good | ~F.col("some")).withColumn("nth", F.row_number().over(w))
-    return d.where(F.col("nth") <= most).drop("some")
+    (seen,) = fresh(parts, "some")
+    d = parts.withColumn(seen, some).where(good | ~F.col(seen)).withColumn("nth", F.row_number().over(w))
+    return d.where(F.col("nth") <= most).drop(seen)
 
 
 def blend(key: str, item: str, k: int, *ranked: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def compile_context(parts: DataFrame, key: str, order: str, text: str, limit: in
     """
     n = F.char_length(text) + len(joiner)
     before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = parts.select(key, F.col(order).alias("at"), F.col(text).alias("part"), before.alias("before")).where(F.col("before") < limit)
+    near = parts.select(key, F.col(order).alias("at"), F.col(text).alias("part"), before.alias("before")).where(F.col("before") < limit + len(joiner))
     joined = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
     return joined.select(key, F.left(F.array_join(F.transform("parts", lambda x: x["part"]), joiner), F.lit(limit)).alias("context"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon, first_label
 from ..functions.missing import is_missing
+from ..functions.names import fresh
 from ..functions.tokens import split_multi
 
 NOT_APPLICABLE = "Not applicable"
@@ -112,12 +113,13 @@ def clean_record(
     d = d.withColumn("model", model_if_empty(c("model"), c("family"), c("language"), c("vision")))
     d = d.withColumn("model", refine_model(c("model"), c("family"), c("vision"), families))
     d = d.withColumn("family", F.when(blank(c("family")), first_label(c("model"), families, "")).otherwise(c("family")))
-    d = d.withColumn("_vlm", looks_like_vlm(c("vlm"), c("vision"), c("language"), c("family"), vlm_families))
-    d = d.withColumn("klass", derive_class(c("_vlm"), c("vision"), c("language")))
+    (vlm,) = fresh(df, "is_vlm")
+    d = d.withColumn(vlm, looks_like_vlm(c("vlm"), c("vision"), c("language"), c("family"), vlm_families))
+    d = d.withColumn("klass", derive_class(c(vlm), c("vision"), c("language")))
     d = d.withColumn("objectives", F.when(is_missing(c("objectives")), F.coalesce(objectives_of(c("model"), c("family")), c("objectives"))).otherwise(c("objectives")))
-    d = d.withColumns({x: F.when(c("_vlm") & is_missing(c(x)), v).otherwise(c(x)) for x, v in (("objectives", default_objectives), ("fusion", default_fusion))})
+    d = d.withColumns({x: F.when(c(vlm) & is_missing(c(x)), v).otherwise(c(x)) for x, v in (("objectives", default_objectives), ("fusion", default_fusion))})
     train, eval_ = mirror(c("train"), c("eval_"))
     d = d.withColumns({"train": train, "eval_": eval_})
-    plain = ~c("_vlm") & blank(c("vision"))
+    plain = ~c(vlm) & blank(c("vision"))
     d = d.withColumns({x: F.when(plain & is_missing(c(x)), NOT_APPLICABLE).otherwise(c(x)) for x in ("objectives", "fusion")})
-    return d.drop("_vlm")
+    return d.drop(vlm)

@@ -17,7 +17,8 @@ from ..functions.tokens import label_set, token_set
 
 def to_long(df: DataFrame, key: str, fields: Sequence[str], value: str = "value") -> DataFrame:
     """(key, field, value) with nulls kept."""
-    return df.select(F.col(key).alias("key"), *[F.col(f"`{f}`").cast("string").alias(f) for f in fields]).unpivot("key", list(fields), "field", value)
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias(value)) for f in fields])
+    return df.select(F.col(key).alias("key"), F.explode(cells).alias("cell")).select("key", "cell.*")
 
 
 def pairs(gold: DataFrame, pred: DataFrame, key: str, fields: Sequence[str], how: str = "left") -> DataFrame:
@@ -33,7 +34,7 @@ def pairs(gold: DataFrame, pred: DataFrame, key: str, fields: Sequence[str], how
 def last_wins(df: DataFrame, key: Column, ordinal: str) -> DataFrame:
     """One row for each key: the one with the highest ordinal."""
     row = F.max_by(F.struct(*df.columns), F.col(ordinal)).alias("row")
-    return df.groupBy(key.alias("_key")).agg(row).select("row.*")
+    return df.groupBy(key).agg(row).select("row.*")
 
 
 def two_stage(long: DataFrame, tokens: bool = False, policy: str = "eval", extra: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_filled, is_missing
+from ..functions.names import fresh
 from ..functions.tokens import vote_tokens
 
 
@@ -45,7 +46,13 @@ def fuse_table(df: DataFrame, key: str, voted: Sequence[str], united: Sequence[s
 def best_row(df: DataFrame, key: Column, score: Sequence[Column], ordinal: str) -> DataFrame:
     """The row of each key with the highest scores, the first on ties."""
     order = F.struct(*[s.alias(f"s{i}") for i, s in enumerate(score)], (-F.col(ordinal)).alias("first"))
-    return df.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*df.columns), order).alias("row")).select("row.*")
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("row")).select("row.*")
+
+
+def answer_count(lists: Sequence[str], texts: Sequence[str], policy: str = "backfill") -> Column:
+    """How much a record says: the elements of its lists and its texts that are filled."""
+    from_lists = sum((F.coalesce(F.size(F.filter(c, lambda x: is_filled(x, policy))), F.lit(0)) for c in lists), F.lit(0))
+    return from_lists + filled_count(texts, policy)
 
 
 def filled_count(columns: Sequence[str], policy: str = "eval") -> Column:
@@ -80,4 +87,5 @@ def first_answer(df: DataFrame, key: str, answer: str, page: str, policy: str =
 def prefer(df: DataFrame, key: str, rank: str, ordinal: str) -> DataFrame:
     """The row of each key with the lowest rank, then ordinal."""
     w = Window.partitionBy(key).orderBy(rank, ordinal)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    (nth,) = fresh(df, "nth")
+    return df.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as v
 from ..functions.lexicon import Lexicon, all_labels, any_match, matches, terms_by_position
 from ..functions.missing import NOT_REPORTED, is_missing, strip
+from ..functions.names import fresh
 from ..functions.tokens import distinct_ci
 
 
@@ -159,10 +160,11 @@ def bank_hits(text: Column, bank: Lexicon) -> Column:
 
 def backfill(df: DataFrame, texts: DataFrame, key: str, text: str, miners: Mapping[str, object], policy: str = "backfill") -> DataFrame:
     """Missing cells from the documents' own texts; cells that are filled, and rows without a text, stay as they are."""
-    own = texts.select(F.col(key), F.col(text).alias("__text"))
+    (mined,) = fresh(df, "text")
+    own = texts.select(F.col(key), F.col(text).alias(mined))
     d = df.join(own, key, "left")
     for c, mine in miners.items():
-        d = d.withColumn(c, F.when(is_missing(F.col(c), policy) & F.col("__text").isNotNull(), mine(F.col("__text"))).otherwise(F.col(c)))
+        d = d.withColumn(c, F.when(is_missing(F.col(c), policy) & F.col(mined).isNotNull(), mine(F.col(mined))).otherwise(F.col(c)))
     return d.select(*df.columns)
 
 

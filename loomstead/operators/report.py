@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, truthy
@@ -22,6 +22,22 @@ def table_figures(df: DataFrame, label: str, fields: Sequence[str] | None = None
     return one.select(*[x.cast("double").alias(k) for k, x in each.items()]).unpivot([], list(each), "metric", label)
 
 
+def column_figures(df: DataFrame, label: str, policy: str = "compare", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(field, missing_label, unique_label): missing cells and distinct values of every column."""
+    cells = [F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns]
+    each = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    return each.groupBy("field").agg(F.count_if(is_missing(F.col("value"), policy, extra)).alias(f"missing_{label}"), F.countDistinct("value").alias(f"unique_{label}"))
+
+
+def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """Rows of two tables side by side by their place in an order, as structs a and b; the longer table's rest has a null beside it.
+
+    Places are numbered over the whole table, so this is for reports; align by key where there is one.
+    """
+    place = lambda d, by, name: d.select(F.row_number().over(Window.orderBy(by)).alias("place"), F.struct("*").alias(name))
+    return place(a, order_a, "a").join(place(b, order_b, "b"), "place", "full")
+
+
 def side_by_side(key: str, *summaries: DataFrame) -> DataFrame:
     """Several summaries on one key, side by side; a full outer fold, so no key of any of them is lost."""
     return reduce(lambda a, b: a.join(b, key, "full"), summaries)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 
 def chunks(docs: DataFrame, doc_id: str, text: str, size: int = 1600, stride: int = 800) -> DataFrame:
     """(doc_id, chunk_id, start, chunk): windows at every multiple of the stride within the text; short ones stay."""
@@ -79,18 +81,19 @@ def budget(parts: DataFrame, key: str, order: str, text: str, limit: int, cut_la
     """The first parts of each key that fit a budget of characters; with ``cut_last`` the next one is cut to fit."""
     w = Window.partitionBy(key).orderBy(order)
     n = F.char_length(text)
-    d = parts.withColumn("_upto", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_before", F.col("_upto") - n)
+    (upto,) = fresh(parts, "upto")
+    d = parts.withColumn(upto, F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if not cut_last:
-        return d.where(F.col("_upto") <= limit).drop("_upto", "_before")
-    left = (F.lit(limit) - F.col("_before")).cast("int")
-    return d.where(left > 0).withColumn(text, F.substring(F.col(text), F.lit(1), left)).drop("_upto", "_before")
+        return d.where(F.col(upto) <= limit).drop(upto)
+    left = (F.lit(limit) - F.col(upto) + n).cast("int")
+    return d.where(left > 0).withColumn(text, F.substring(F.col(text), F.lit(1), left)).drop(upto)
 
 
 def distinct_parts(parts: DataFrame, key: str, order: str, identity: Column) -> DataFrame:
     """The first of the parts of a key that are the same."""
-    w = Window.partitionBy(key, F.col("_same")).orderBy(order)
-    return parts.withColumn("_same", identity).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_same")
+    same, nth = fresh(parts, "same", "nth")
+    w = Window.partitionBy(key, F.col(same)).orderBy(order)
+    return parts.withColumn(same, identity).withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth, same)
 
 
 def ranked_sections(docs: DataFrame, doc_id: str, text: str, separator: str, preferred: list[str], least: int = 200) -> DataFrame:

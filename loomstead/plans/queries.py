@@ -541,4 +541,4 @@ def extract_records(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "documents"))
 
 
-from . import records as _records  # noqa: E402, F401  registers its queries, with the decorator from above
+from . import records as _records, tables as _tables  # noqa: E402, F401  they register their queries, with the decorator from above

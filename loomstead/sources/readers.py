@@ -30,6 +30,56 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return df.fillna("") if fill else df
 
 
+def read_keyed(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A ragged CSV: empty rows left out, short ones padded, the key column (by name, or the first) in front as "key"."""
+    df = read_csv(spark, path, fill=True)
+    name = key if key in df.columns else df.columns[0]
+    some = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns])
+    return df.where(F.trim(some) != "").select(F.col(f"`{name}`").alias("key"), *[F.col(f"`{c}`") for c in df.columns if c != name])
+
+
+def common_columns(base: DataFrame, *others: DataFrame) -> list[str]:
+    """The columns that all tables have, in the first one's order."""
+    return [c for c in base.columns if all(c in o.columns for o in others)]
+
+
+def to_list(c: Column) -> Column:
+    """A cell as a list: a JSON array's elements, or the text alone; nothing is not reported."""
+    items = F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, "array<string>")).when(F.trim(c) != "", F.array(F.trim(c)))
+    items = F.filter(items, lambda x: F.trim(x) != "")
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, items).otherwise(F.array(F.lit("Not reported")))
+
+
+def first_scalar(c: Column) -> Column:
+    """A cell as one text: the first of a JSON array, or itself."""
+    return F.element_at(to_list(c), 1)
+
+
+def balanced_block(answer: Column) -> Column:
+    """The first block of balanced braces in an answer, strings taken into account; Arrow batches, since patterns don't count."""
+    def first(s: pd.Series) -> pd.Series:
+        def block(t):
+            depth, start, quoted, skip = 0, -1, False, False
+            for i, c in enumerate(t or ""):
+                if skip:
+                    skip = False
+                elif quoted:
+                    skip, quoted = c == "\\", c != '"'
+                elif c == '"':
+                    quoted = depth > 0
+                elif c == "{":
+                    start, depth = (i if depth == 0 else start), depth + 1
+                elif c == "}" and depth:
+                    depth -= 1
+                    if depth == 0:
+                        return t[start : i + 1]
+            return None
+
+        return s.map(block)
+
+    return F.pandas_udf(first, "string")(answer)
+
+
 def extraction_schema() -> StructType:
     return StructType([StructField(c, StringType()) for c in COLUMNS])
 

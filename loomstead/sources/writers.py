@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def clean_cell(c: Column, longest: int | None = 140, empty: str = "Not reported") -> Column:
-    """A cell for a Markdown table: no bars or backticks, white space squeezed, cut with an ellipsis."""
+def clean_cell(c: Column, longest: int | None = 140, empty: str = "Not reported", fences: bool = False) -> Column:
+    """A cell for a Markdown table: no bars or backticks, white space squeezed, cut with an ellipsis; ``fences`` drops fenced code and a full stop at the end."""
+    if fences:
+        c = F.regexp_replace(F.regexp_replace(c, r"(?s)```.*?```", " "), r"[ .]+$", "")
     out = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("/")), "`", ""), r"\s+", " "))
     if longest:
         out = F.when(F.char_length(out) > longest, F.concat(F.substring(out, 1, longest - 1), F.lit("…"))).otherwise(out)
