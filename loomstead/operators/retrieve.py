@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,16 +91,18 @@ def mmr(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5,
     return near.groupBy("query").applyInPandas(choose, "query long, key long, rank int")
 
 
-def _equals(term: str):
-    return lambda x: x == term
+def word_counts(text: Column, terms: list[str]) -> tuple[Column, list[Column]]:
+    """How many words a text has, runs of a-z and 0-9 in lower case, and how often each term is one; no list of words is made."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    marked = F.regexp_replace(low, "[a-z0-9]+", "\u0001")
+    n = F.char_length(marked) - F.char_length(F.replace(marked, F.lit("\u0001"), F.lit("")))
+    return n, [F.size(F.split(low, f"(?<![a-z0-9])\\Q{t}\\E(?![a-z0-9])")) - 1 for t in terms]
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(doc_id, score): BM25 of the documents that hold one of the terms; scores rounded to 6 digits."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
-    d = docs.select(F.col(doc_id).alias("doc_id"), words.alias("w"))
-    tf = [F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    d = d.select("doc_id", F.size("w").alias("n"), *tf)
+    n, counts = word_counts(F.regexp_replace(F.col(text), "\u0001", " "), terms)
+    d = docs.select(F.col(doc_id).alias("doc_id"), n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     total = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.join(F.broadcast(total))  # one row
     score = F.lit(0.0)

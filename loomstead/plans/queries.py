@@ -437,7 +437,13 @@ def topk_similarity(spark, sf_dir):
     return retrieve.top_k(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
 
 
-@query(None)
+@query("""with recursive v as (select vec_id id, embedding::double[] e from embeddings), s as (select q.id "query", r.id key, round(list_dot_product(q.e, r.e), 9) score from v q join v r on r.id <> q.id where q.id % 100 = 0),
+n as (select *, row_number() over (partition by "query" order by score desc, key) rank from s qualify row_number() over (partition by "query" order by score desc, key) <= 24),
+d as (select a."query", a.key a, b.key b, list_dot_product(x.e, y.e) dot from n a join n b on a."query" = b."query" join v x on x.id = a.key join v y on y.id = b.key),
+r as (select "query", 0 step, []::bigint[] picked, null::bigint key from (select distinct "query" from n) union all
+    select "query", step + 1, list_append(picked, best), best from (select r."query", r.step, r.picked, (select c.key from (select n.key, n.rank, round(0.5::double * n.score - 0.5::double * coalesce((select max(d.dot) from d where d."query" = n."query" and d.a = n.key and list_contains(r.picked, d.b)), 0), 9) x
+        from n where n."query" = r."query" and not list_contains(r.picked, n.key)) c order by c.x desc, c.rank limit 1) best from r where r.step < 5))
+select "query", key, step::int rank from r where step > 0""")
 def mmr(spark, sf_dir):
     """Five of the 24 nearest vectors of every hundredth by marginal relevance."""
     v = table(spark, sf_dir, "embeddings")
