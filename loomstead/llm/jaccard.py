@@ -384,16 +384,20 @@ def join_regions(
 
 
 def components(links: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
-    """id and component (the smallest id reachable) of every id in links (a, b), by alternating large-star and small-star steps until nothing changes."""
+    """id and component (the smallest id reachable) of every id in links (a, b), by alternating large-star and small-star steps until nothing changes.
+
+    Each id's smallest neighbour is written before it meets the links, so that Spark can split an id with very many links.
+    """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before, turn = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = work.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}_least{turn}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = work.save(small, f"{name}{turn}")
+        work.drop(f"{name}_least{turn}")
         if turn > 1:
             work.drop(f"{name}{turn - 2}")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -407,22 +411,29 @@ def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id",
     table = work.save(describe(docs, doc_id, text, percent), "described")
     signed = table.where("lead and size(sigs) > 0").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     met = work.save(signed.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("sig", "pivot"), "met")
-    # of equal sets the smallest id alone takes part in regions
-    copies = table.where("key is not null and doc_id is not null").select("doc_id", "key", "lead")
-    first = copies.where("lead").groupBy("key").agg(F.min("doc_id").alias("first"))
-    same = copies.join(first, "key")
-    again = same.where("lead").groupBy("doc_id").agg(F.min(F.expr("doc_id <> first")).alias("again")).where("again").select(F.col("doc_id").alias("id"))
+    # of equal sets one leading row alone takes part in regions and components; least is the smallest id of all of them
+    rows = table.where("key is not null and doc_id is not null")
+    sets_known = rows.groupBy("key").agg(F.min(F.expr("if(lead, doc_id, null)")).alias("first"), F.min("doc_id").alias("least"))
+    sets_known = work.save(sets_known, "known")
+    leads = rows.where("lead").select("doc_id", "key").join(sets_known, "key")
+    again = leads.groupBy("doc_id").agg(F.min(F.expr("doc_id <> first")).alias("again")).where("again").select(F.col("doc_id").alias("id"))
     members = having(table, met).join(met, "sig").select(F.col("pivot").alias("region"), "id", "size").distinct()
     members = work.save(members.join(again, "id", "left_anti"), "members")
     work.drop("met")
     sets = work.save(sets_of(docs, members.select("id").distinct(), doc_id, text), "sets")
     found = join_regions(members, sets, work, percent, leaf)
-    links = same.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    # an id with several sets links them
+    of_id = rows.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("doc_id")
+    several = rows.select("doc_id", "key").join(of_id, "doc_id", "left_semi").join(sets_known, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    links = several
     for x in found:
         links = links.unionByName(x)
     parts = components(work.save(links, "links"), work)
-    out = table.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return work.finish(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "result")
+    labelled = sets_known.join(parts, F.col("first") == F.col("id"), "left").select("key", "least", F.coalesce("component", "first").alias("component"))
+    label = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = work.save(labelled.join(label, "component").select("key", "component_id"), "labelled")
+    out = table.select("doc_id", "n_shingles", "key").join(label, "key", "left")
+    return work.finish(out.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id")), "result")
 
 
 def _place(ids: np.ndarray, level: int, bits: int) -> np.ndarray:
