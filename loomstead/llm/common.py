@@ -59,6 +59,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        self.tables: dict[str, str] = {}
         atexit.register(self.close)
 
     def close(self) -> None:
@@ -78,8 +79,24 @@ class Workspace:
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """Write ``df`` in buckets of a column and read it again: what groups by that column moves only the other side.
+
+        There are as many buckets as shuffle partitions. Buckets need a table's name; it goes with the table.
+        """
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables[name] = f"loomstead_{name}_{uuid.uuid4().hex}"
+        with _own_setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            writer = df.repartition(n, column).write.format("parquet").option("compression", "zstd").option("path", self.path(name))
+            writer.bucketBy(n, column).sortBy(column).saveAsTable(self.tables[name])
+        self.names.add(name)
+        return self.spark.table(self.tables[name])
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads, on whatever file system it is."""
+        for own in [name] if name else list(self.tables):
+            if own in self.tables:
+                self.spark.sql(f"drop table if exists {self.tables.pop(own)}")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

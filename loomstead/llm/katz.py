@@ -324,6 +324,8 @@ class Known:
         self.first: dict[int, np.ndarray] = {}
         self.alone: dict[int, np.ndarray] = {}
         for k in range(1, upto + 1):
+            if k < 2 < upto and k not in answers:  # longer contexts don't look at words
+                continue
             lone = self.lone(t, k)
             c = t.count(k)
             sums, told = understand(answers[k], t.keys[k][~lone], 1)
@@ -364,7 +366,8 @@ def score_documents(
     """The model's log10 probability of every text, and that of the add-one base; order: the words of the longest sequences, two at least."""
     if order < 2:
         raise ValueError("order must be at least 2")
-    blocks = work.save(block_of(docs, block_tokens, doc_id, text), "blocks")
+    # in buckets of the block: later steps bring answers to blocks, and blocks stay where they are
+    blocks = work.save_bucketed(block_of(docs, block_tokens, doc_id, text), "blocks", "block")
     n = blocks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     buckets = 1 << max(2, n // bucket_keys).bit_length()
     bits = min(64, SPARE + n.bit_length())
@@ -395,7 +398,8 @@ def score_documents(
         return asks
 
     for k in range(2, order + 1):
-        asked = with_answers(blocks, answered, more_asks(k), ASKED, min(k + 1, order))
+        needed = answered.where(F.col("kind").isin([x for x in range(1, k + 1) if k == 2 or x > 1]))
+        asked = with_answers(blocks, needed, more_asks(k), ASKED, min(k + 1, order))
         answered = answered.unionByName(work.save(exchange(asked, {-k: WIDTH, k + 1: 1}), f"answers{k}"))
     model = Model([totals(answered, k) for k in range(1, order + 1)])
     kind = blocks.schema["doc_ids"].dataType.elementType
