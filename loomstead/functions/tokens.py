@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .missing import strip
+from .vocabulary import TASK_TERMS
 
 
 def _tokens(c: Column, separators: str) -> Column:
@@ -61,7 +62,7 @@ def canonical(c: Column, rules: Sequence[tuple[str, str]], drop: Sequence[str] =
     return F.array_join(F.array_distinct(kept), joiner)
 
 
-def move_tokens(source: Column, target: Column, pattern: str) -> tuple[Column, Column]:
+def move_tokens(source: Column, target: Column, pattern: str = "|".join(TASK_TERMS)) -> tuple[Column, Column]:
     """Tokens of one cell that look like the other's go there; both come back as sorted sets."""
     s, t = token_set(source), token_set(target)
     moved = F.filter(s, lambda x: x.rlike(f"(?i){pattern}"))

@@ -278,3 +278,27 @@ EVIDENCE = {
     "single-stream": r"\bsingle[- ]?stream\b", "report-generation": r"\breport[- ]?generation\b", "image-text matching": r"\bimage[- ]?text matching\b", "image-report generation": r"\bimage[- ]?report\b",
     "RAG": r"\b(RAG|retrieval[- ]?augmented|retrieval[- ]?based|retrieve[-\s\w]*context|retriever|retrieval module|index|FAISS|BM25|nearest[- ]neighbor|vector store|Chroma)\b",
 }
+
+# --- Words of a class cell that name a task, and cues of a field in a text -----------------------------------
+
+TASK_TERMS = (
+    r"report generation", r"radiology report generation", r"image[-\s]?text matching", r"image[-\s]?report", r"image[-\s]?to[-\s]?sequence", r"classification", r"segmentation",
+    r"retrieval", r"caption", r"captioning", r"vqa", r"question[-\s]?answer(ing)?", r"detection",
+)
+MASK_CUES = {
+    "Datasets (train)": r"(mimic[- ]?cxr|chexpert|open[- ]?i|padchest|nih chestx[- ]?ray(?:14)?|cxr[- ]?repair)",
+    "Datasets (eval)": r"(mimic[- ]?cxr|chexpert|open[- ]?i|padchest|nih chestx[- ]?ray(?:14)?|cxr[- ]?repair)",
+    "Vision Enc": r"\b(vit|swin|resnet|clip|cnn)\b",
+    "Lang Dec": r"\b(bert|gpt[- ]?2|llama|t5|vicuna|transformer)\b",
+    "Fusion": r"(cross[- ]?attention|co[- ]?attention|early fusion|late fusion|gated|conditional|conditioned)",
+    "Paired": r"\bpaired\b|\bpaired image[- ]?text\b|\baligned report\b|\bradiology report pairs?\b",
+    "RAG": r"(retrieval[- ]?augmented|rag\b|retrieve|bm25|faiss|chroma)",
+    "Family": r"(albef|blip[- ]?2|flamingo|llava|minigpt[- ]?4|otter|xraygpt|trmrg|cxr[- ]?irgen)",
+    "Metrics(primary)": r"(bleu|rouge|cid(er)?|meteor|f1\b|accuracy|radgraph|chexbert|bertScore|spice|radcliq|gleu)",
+    "Modality": r"(x[- ]?ray|cxr|rad(iology)?|imaging|ct|mri|ultrasound|fundus|patholog(y|ical))",
+    "Model": r"(albef|blip[- ]?2|flamingo|llava|minigpt[- ]?4|chexnet|chexpert|trmrg|cxr[- ]?irgen|gpt[- ]?4v?)",
+    "Class": r"\b(classification|caption|retrieval|segmentation|localization|vqa|report[- ]?generation)\b",
+    "Task": r"\b(vqa|report[- ]?generation|retrieval|caption|classification|segmentation|localization)\b",
+    "Objectives": r"(itm|itc|contrastive|cross[- ]?entropy|rl|reinforcement|coverage)",
+    "VLM?": r"\b(vlm|vision[- ]?language model|multimodal (model|transformer))\b",
+}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.missing import is_filled
+from ..functions.vocabulary import MASK_CUES
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -55,7 +56,7 @@ def only_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
 
 
-def availability_mask(docs: DataFrame, doc_id: str, text: str, cues: dict[str, str], filled: DataFrame | None = None) -> DataFrame:
+def availability_mask(docs: DataFrame, doc_id: str, text: str, cues: dict[str, str] = MASK_CUES, filled: DataFrame | None = None) -> DataFrame:
     """A row for each document and a 0/1 column for each field: a cue in the text, or a filled cell in ``filled``."""
     m = docs.select(F.col(doc_id).alias("key"), *[F.coalesce(F.col(text).rlike(f"(?i){p}"), F.lit(False)).cast("int").alias(f) for f, p in cues.items()])
     if filled is None:

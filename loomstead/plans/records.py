@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, vocabulary as v
-from ..functions.tokens import split_multi
-from ..operators import context, derive, fuse, mine, normalize, report, windows
+from ..functions.tokens import move_tokens, split_multi
+from ..operators import context, derive, fuse, mine, normalize, profile, report, windows
 from .queries import query, table
 
 CELLS = {
@@ -221,6 +221,24 @@ def prune_keys(spark, sf_dir):
     return report.keys_present(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", c, s)
 
 
+CLASSES = "split_part('Captioning; old|VQA and new|image text matching / x||plain', '|', cast(p_partkey % 5 as int) + 1)"
+S_TASK = "regexp_matches(x, '(?i)" + "|".join(v.TASK_TERMS) + "')"
+
+
+@query(f"""with p as (select p_partkey, list_sort(list_distinct(list_transform({s_tokens(CLASSES)}, lambda t: lower(t)))) s, list_sort(list_distinct(list_transform({s_tokens('p_type')}, lambda t: lower(t)))) t from part)
+select p_partkey, array_to_string(list_filter(s, lambda x: not {S_TASK}), ', ') klass, array_to_string(list_sort(list_distinct(list_concat(t, list_filter(s, lambda x: {S_TASK})))), ', ') task from p""")
+def tasks_moved(spark, sf_dir):
+    """Words of a class cell that name a task go to the task cell."""
+    left, right = move_tokens(F.expr(CLASSES), F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(left, ", ").alias("klass"), F.array_join(right, ", ").alias("task"))
+
+
+@query("select doc_id as key, " + ", ".join(f"""coalesce(regexp_matches("text", '(?i){p}'), false)::int "{f}" """ for f, p in v.MASK_CUES.items()) + " from documents")
+def mask_by_cues(spark, sf_dir):
+    """Which fields a text has cues for."""
+    return profile.availability_mask(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 # --- mining ---------------------------------------------------------------------------------------------------
 
 AT = """p as (select doc_id, "text" t, string_split("text", '{0}') s from documents), g as (select doc_id, t, unnest(range(1, len(s))) i, s from p),
