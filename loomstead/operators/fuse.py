@@ -31,16 +31,25 @@ def union(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return n.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.max("n").alias("strength"))
 
 
-def fuse_table(df: DataFrame, key: str, voted: Sequence[str], united: Sequence[str], ordinal: str) -> DataFrame:
-    """One row for each key: voted and united columns and the strength of each. Null keys are left out."""
+def fuse_table(df: DataFrame, key: str, voted: Sequence[str], united: Sequence[str], ordinal: str, policy: str = "fuse") -> DataFrame:
+    """One row for each key: voted and united columns, as text, and the strength of each. Null keys are left out.
+
+    All columns go through one long form, so the number of shuffles doesn't grow with them.
+    """
     rows = df.where(F.col(key).isNotNull())
-    out = rows.select(F.col(key).alias("key")).distinct()
-    for c in voted:
-        out = out.join(vote(rows, key, c, ordinal).withColumnsRenamed({"value": c, "strength": f"{c}__strength"}), "key", "left")
-    for c in united:
-        u = union(rows, key, vote_tokens(F.col(c))).select("key", F.array_join("tokens", ", ").alias(c), F.col("strength").alias(f"{c}__strength"))
-        out = out.join(u, "key", "left")
-    return out
+    cells = lambda names, value: F.explode(F.array(*[F.struct(F.lit(c).alias("field"), value(F.col(f"`{c}`")).alias("value")) for c in names])).alias("cell")
+    parts = rows.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("strength")).distinct()
+    if voted:
+        v = rows.select(F.col(key).alias("key"), F.col(ordinal).alias("ordinal"), cells(voted, lambda c: c.cast("string"))).select("key", "ordinal", "cell.*").where(is_filled(F.col("value"), policy))
+        v = v.groupBy("key", "field", "value").agg(F.count(F.lit(1)).alias("strength"), F.min("ordinal").alias("first"))
+        best = v.groupBy("key", "field").agg(F.max(F.struct(F.col("strength"), (-F.col("first")).alias("first"), F.col("value"))).alias("b"))
+        parts = parts.unionByName(best.select("key", "field", "b.value", "b.strength"))
+    if united:
+        u = rows.select(F.col(key).alias("key"), cells(united, vote_tokens)).select("key", "cell.field", F.explode("cell.value").alias("token"))
+        u = u.groupBy("key", "field", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("key", "field").agg(F.array_join(F.array_sort(F.collect_list("token")), ", ").alias("value"), F.max("n").alias("strength"))
+        parts = parts.unionByName(u)
+    at = lambda c, x: F.max(F.when(F.col("field") == c, F.col(x)))
+    return parts.groupBy("key").agg(*[e for c in [*voted, *united] for e in (at(c, "value").alias(c), at(c, "strength").alias(f"{c}__strength"))])
 
 
 def best_row(df: DataFrame, key: Column, score: Sequence[Column], ordinal: str) -> DataFrame:
