@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, tokens
-from ..operators import evaluate, fuse, report, windows
+from ..functions import vocabulary as v
+from ..operators import evaluate, extract, fuse, report, windows
 from ..sources import readers, writers
 from ..streaming import windowed_counts
 from .queries import query, table
@@ -178,3 +179,87 @@ def window_counts(spark, sf_dir):
     """Events by day and kind; the same transformation serves a stream."""
     w = windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 day", "1 hour")
     return w.select(F.col("window.start").alias("day"), F.col("event_type").alias("kind"), "n")
+
+
+# --- records from texts by cues and anchors ----------------------------------------------------------------------------
+
+SAID = (
+    "", "We train on MIMIC-CXR with reports; much further away stands the evaluation on IU X-ray test data.", "The image encoder is a ViT backbone and the language model a LLaMA decoder; cross-attention fusion.",
+    "BLIP-2 and ALBEF, vision-language, for radiology report generation; BLEU and CIDEr.", "A CNN image encoder with a Transformer decoder of text; ITM is the loss.", "CT-scan, computed tomography and CheXpert.",
+    "Retrieval-augmented with FAISS and CLIP vision.", "BLIP and a transformer with text; an MRI.", "Paired data and caption of Open-i, nothing else.",
+)
+CASED = "concat(coalesce(\"text\", ''), ' ', split_part('" + "|".join(SAID) + f"', '|', cast(doc_id % {len(SAID)} as int) + 1))"
+#: Patterns that look ahead, which some engines lack: what hides the cases they exclude, at the same length.
+HIDDEN = {r"\bblip\b(?!-?2)": (r"blip(-?2)", r"xlip\1", r"\bblip\b"), r"\btransformer\b(?! with)": (r"transformer( with)", r"xransformer\1", r"\btransformer\b")}
+
+
+def s_text(pattern: str) -> tuple[str, str]:
+    """The text to look in and the pattern without a look-ahead."""
+    if pattern not in HIDDEN:
+        return "t", pattern
+    what, instead, plain = HIDDEN[pattern]
+    return f"regexp_replace(t, '(?i){what}', '{instead}', 'g')", plain
+
+
+def s_any(patterns, text: str | None = None) -> str:
+    parts = [(text or s_text(p)[0], s_text(p)[1]) for p in patterns]
+    return "(" + " or ".join(f"regexp_matches({t}, '(?i){p}')" for t, p in parts) + ")"
+
+
+def s_windows(pattern: str, width: int = 80) -> str:
+    """The surroundings of the beginning of every match."""
+    t, p = s_text(pattern)
+    at = "coalesce(list_sum(list_transform(x.s[1:i], lambda y: length(y))), 0)::bigint + coalesce(list_sum(list_transform(x.m[1:i - 1], lambda y: length(y))), 0)::bigint"
+    near = f"list_transform(list_transform(range(1, len(x.m) + 1), lambda i: {at}), lambda q: substr(t, greatest(0, q - {width}) + 1, q + {width} - greatest(0, q - {width})))"
+    return f"list_transform([{{'s': regexp_split_to_array({t}, '(?i){p}'), 'm': regexp_extract_all({t}, '(?i){p}')}}], lambda x: {near})[1]"
+
+
+def s_around(patterns) -> str:
+    out = "[]::varchar[]"
+    for p in patterns:
+        out = f"list_concat({out}, case when {s_any([p])} then {s_windows(p)} else []::varchar[] end)"
+    return out
+
+
+def s_when(pairs) -> str:
+    """The labels whose condition holds, in order."""
+    return "list_filter([" + ", ".join(f"case when {c} then '{label}' end" for c, label in pairs) + "], lambda x: x is not null)"
+
+
+def s_near(patterns, condition: str) -> str:
+    return f"len(list_filter({s_around(patterns)}, lambda w: {condition})) > 0"
+
+
+def s_cues(cues) -> str:
+    return s_when([(s_any(ps), label) for label, ps in cues.items()])
+
+
+def s_anchored(field: str, cues) -> str:
+    return s_when([(s_near(ps, s_any(v.ANCHORS[field], "w")), label) for label, ps in cues.items()])
+
+
+def s_role(role, other) -> str:
+    return "list_sort(" + s_when([(s_near(ps, f"{s_any(role, 'w')} or not {s_any(other, 'w')}"), d) for d, ps in v.DATASETS.items()]) + ")"
+
+
+S_PAIRED = " or ".join(s_near(ps, s_any(v.REPORT_WORDS, "w") + ("" if d in v.PAIRED_DATASETS else f" and {s_any(v.PAIRED_PHRASES, 'w')}")) for d, ps in v.DATASETS.items())
+S_LOCKED = s_when([("true", "X-Ray"), *[(f"{s_any([a])} and {s_any([b])}", m) for m, (a, b) in v.OTHER_MODALITIES.items()]])
+S_SORTED = "array_to_string(list_transform(list_sort(list_transform({0}, lambda x: lower(x) || chr(1) || x)), lambda x: split_part(x, chr(1), 2)), ', ')"
+S_VLMS = ", ".join(f"'{x}'" for x in v.VLM_FAMILIES)
+EXTRACT = f"""with d as (select doc_id, {CASED} t from documents),
+f as (select doc_id, t, {s_role(v.TRAIN_WORDS, v.EVAL_WORDS)} train, {s_role(v.EVAL_WORDS, v.TRAIN_WORDS)} eval_, {S_PAIRED} paired, {s_anchored('vision', v.VISION)} vision, {s_anchored('language', v.LANGUAGE)} lang,
+    {s_anchored('fusion', v.FUSION)} fusion, {s_anchored('objectives', v.OBJECTIVES)} objectives, {s_cues(v.FAMILIES)} family, {s_cues(v.METRICS)} metrics, {s_cues(v.TASKS)} task, {s_any(v.RAG)} rag,
+    {s_any(v.VLM_PHRASES)} claims, {s_cues(v.MODALITIES)} cues, {S_LOCKED} locked from d),
+g as (select *, list_has_any(family, [{S_VLMS}]) or (claims and len(vision) > 0 and len(lang) > 0) vlm from f)
+select doc_id::varchar "File", array_to_string(case when len(train) + len(eval_) > 0 then locked else cues end, ', ') "Modality", array_to_string(train, ', ') "Datasets (train)", array_to_string(eval_, ', ') "Datasets (eval)",
+    case when paired then 'Yes' else '' end "Paired", case when vlm then 'Yes' else '' end "VLM?", {S_SORTED.format('family')} "Model", {S_SORTED.format('family')} "Family",
+    case when vlm then 'VLM (multimodal)' when list_contains(vision, 'CNN') and list_has_any(lang, ['Transformer', 'BERT']) then 'CNN+Transformer' when list_has_any(vision, ['ViT', 'CLIP']) and list_contains(lang, 'Transformer') then 'Encoder–Decoder' else '' end "Class",
+    array_to_string(task, ', ') "Task", {S_SORTED.format('vision')} "Vision Enc", {S_SORTED.format('lang')} "Lang Dec", {S_SORTED.format('fusion')} "Fusion", {S_SORTED.format('objectives')} "Objectives",
+    case when rag then 'Yes' else '' end "RAG", {S_SORTED.format('metrics')} "Metrics(primary)" from g"""
+
+
+@query(EXTRACT)
+def extract_records(spark, sf_dir):
+    """A sixteen-column record of every document, to which a sentence with cues is added by a rule."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(CASED.replace('"text"', "text")).alias("text"))
+    return extract.extract(d)
