@@ -54,6 +54,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style template iframe title textarea".split())
 #: Elements that are never the article's text, with all they hold.
 OUTSIDE = frozenset("nav header footer aside head button dialog menu label select".split())
+#: Elements inside a line of text: left out, they don't break it.
+INLINE = frozenset("a abbr b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp select small span strong sub sup time tt u var".split())
 IN_HEAD = frozenset("title meta link script style base noscript template head html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: What class and id names call such elements: as their last part ...
@@ -242,13 +244,13 @@ def read(html: str) -> Page:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        block = tag in CONTAINERS or tag in BREAKS or tag in OUTSIDE
+        block = (tag in CONTAINERS or tag in BREAKS or tag in OUTSIDE) and tag not in INLINE
         if m[1]:  # an end tag
             if tag == "a":
                 links = max(0, links - 1)
-            elif block or opened[tag]:
+            if block or (opened[tag] and tag not in INLINE):
                 flush()
-                close(tag)
+            close(tag)
             continue
         if opened["head"] and tag not in IN_HEAD:
             close("head")
@@ -269,14 +271,17 @@ def read(html: str) -> Page:
             outside = False  # also an article's own heading
         if whole or (tag == "article" and call != "comments") or (tag == "header" and not outside):
             call = ""
+        if call and tag in INLINE:
+            outside, call = True, ""
         if not block and not outside and not call:
             continue
+        if call and not block:  # an element of unknown kind
+            flush()
         if block:
             flush()
             links = 0
-            if tag not in OUTSIDE:
-                close("label")
-                close("select")
+            close("label")
+            close("select")
             # what an opening block ends by itself
             if stack[-1][0] == "p" or (tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] in ("li", "dt", "dd", "td", "th") and (stack[-1][0] == tag or tag == "tr")):
                 opened[stack.pop()[0]] -= 1

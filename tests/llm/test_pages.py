@@ -87,6 +87,11 @@ def test_nothing_but_boilerplate_is_lost():
         '<div class="sidebar"><main><p>Odd.</p></main></div>': "Odd.",
         '<section><header><h2>Part</h2></header><p>Text.</p></section>': "Part\n\nText.",
         '<p title="a > b">Text.</p>': "Text.",
+        '<p>Hello <span class="ad">Buy</span> world</p>': "Hello world",
+        '<p>A <a class="share" href=x>Share</a> b</p><p>c</p>': "A b\n\nc",
+        "<p>Click <button>here</button> now <b class=notice>!</b>or <label>later</label>.</p><p>d</p>": "Click now or .\n\nd",
+        '<app-root class="layout"><p>a</p></app-root><p>b</p>': "a\n\nb",
+        '<p>x</p><my-box class="ad"><p>a</p></my-box><p>b</p>': "x\n\nb",
     }
     assert {x: got(x) for x in whole} == whole
     article = "<article><p>The text of the article is here.</p></article>"
