@@ -72,10 +72,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
         """Write ``df`` and read it again: its lineage ends here, and its shuffle files go when it is written."""
         with _own_setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name), partitionBy=by)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -104,11 +104,15 @@ class Workspace:
     def finish(self, df: DataFrame, name: str) -> DataFrame:
         """Write the result and delete all that led to it."""
         out = self.save(df, name)
-        for other in self.names - {name}:
-            self.drop(other)
-        self.names = {name}
+        self.keep(name)
         return out
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        for other in self.names - {*names}:
+            self.drop(other)
+        self.names = {*names}
+
 
 def text_of(name: str) -> Column:
     """A text column in which null counts as empty."""

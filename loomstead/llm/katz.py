@@ -22,11 +22,13 @@ distinct words and sequences once, however frequent they are. For each length
 there is an exchange of counts, and one of sums over the seen sequences of each
 context (each sequence being told by one block only): of their counts, and of
 the counts of the same without the first word, which are seen too. An answer
-also says whether another block has the key. A longer sequence that holds one
-which no other block has is in no other block either, and neither is a context
-that no other block has: the block's own counts are the corpus' then, and nothing
-is moved. Sums are of integers, so the result doesn't depend on the order of rows. The tokens are then
-scored block by block, from the word up to the longest sequence.
+also says whether another block has the key: the sequences after a context that
+no other block has are this block's own, and so are their sums, which aren't
+moved then. Sums are of integers, so the result doesn't depend on the order of rows. The tokens are then
+scored block by block, from the word up to the longest sequence, in ``PASSES`` passes
+over a share of the blocks each, so that the answers are on disk once and a little.
+
+Blocks are written in buckets: answers are brought to them, and they stay where they are.
 
 Words are runs of anything but ASCII white space, A-Z in lower case; each text
 ends with an end token and is preceded by a start that is only a context. Words
@@ -49,13 +51,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Workspace, text_of
 
-CUT, SPARE = 5, 22
+CUT, SPARE, PASSES = 5, 22, 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BLOCK = "block long, doc_ids array<{id}>, lengths array<int>, trained array<boolean>, words binary, keys binary"
 ASKED = "kind int, bucket int, block long, keys binary, sums binary"
@@ -234,14 +236,15 @@ def ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int,
 
 
 def understand(rows: list[dict], keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The answers to ``ask`` in the order of ``keys``, and what they tell of each key: FIRST, this block was the first to bring it; ALONE, no other did."""
+    """The answers to ``ask`` in the order of ``keys``, and what they tell of each key: FIRST, this block is the one to tell of it; ALONE, no other has it."""
     rows = sorted(rows, key=lambda r: r["bucket"])
     order = np.argsort(keys)
     sums = np.empty((len(keys), width), np.int64)
-    told = np.empty(len(keys), np.uint8)
+    told = np.zeros(len(keys), np.uint8)
     if rows:
         sums[order] = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(width, -1).T for r in rows])
-        told[order] = np.concatenate([expand(r["told"]).astype(np.uint8) for r in rows])
+        if rows[0]["kind"] > 0:
+            told[order] = np.concatenate([expand(r["told"]).astype(np.uint8) for r in rows])
     return sums, told
 
 
@@ -259,34 +262,37 @@ def tally(c: np.ndarray) -> np.ndarray:
 
 
 def exchange(asked: DataFrame, width: dict[int, int]) -> DataFrame:
-    """Answer what all blocks asked. Of each kind rows with block -1 tell how many keys summed to 1, 2, ... in the first column.
-
-    Buckets below zero hold tallies of keys that blocks didn't have to ask for; they are summed.
-    """
+    """Answer what all blocks asked. Of each kind rows with block -1 tell how many keys summed to 1, 2, ... in the first column."""
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
         w = width[kind]
-        if bucket < 0:
-            total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
-            return _table([(kind, bucket, -1, total.tobytes(), b"")], ANSWER)
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         each = [expand_sorted(r["keys"]) for r in rows]
         keys = np.concatenate(each)
         own = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(w, -1).T for r in rows])
-        found, at, number, brought = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        sums = np.stack([np.bincount(number, weights=own[:, c], minlength=len(found)) for c in range(w)], axis=1).astype(np.int64)
-        told = ((brought == 1) * ALONE).astype(np.uint8)[number]
-        told[at] |= FIRST
+        order = np.argsort(keys)
+        new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+        begins = np.flatnonzero(new)
+        sums = np.add.reduceat(own[order], begins, axis=0)
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1
+        told = (np.diff(begins, append=len(keys)) == 1).astype(np.uint8)[number] * np.uint8(ALONE)
+        told[order[begins]] |= np.uint8(FIRST)
         out = [(kind, bucket, -1, tally(sums[:, 0]).tobytes(), b"")]
         upto = 0
         for r, k in zip(rows, each, strict=True):
             part = slice(upto, upto + len(k))
-            out.append((kind, bucket, r["block"], squeeze(sums[number[part]].T), squeeze(told[part])))
+            out.append((kind, bucket, r["block"], squeeze(sums[number[part]].T), squeeze(told[part]) if kind > 0 else b""))
             upto += len(k)
         return _table(out, ANSWER)
 
-    return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
+    return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER).withColumn("part", part_of(F.col("block")))
+
+
+def part_of(block: Column) -> Column:
+    """The pass in which a block is scored."""
+    return F.pmod(F.xxhash64(block), F.lit(PASSES)).cast("int")
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Tokens, int, dict[int, list[dict]]], pa.Table], schema: str, order: int) -> DataFrame:
@@ -299,7 +305,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Tokens, i
         parts = [run(Tokens(row, order), row["block"], by_kind) for row in left.to_pylist()]  # one
         return pa.concat_tables(parts)
 
-    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(meet, schema)
+    return blocks.groupBy("block").cogroup(answers.where("block >= 0").drop("part").groupBy("block")).applyInArrow(meet, schema)
 
 
 def totals(answers: DataFrame, kind: int) -> list[int]:
@@ -326,27 +332,16 @@ class Known:
         for k in range(1, upto + 1):
             if k < 2 < upto and k not in answers:  # longer contexts don't look at words
                 continue
-            lone = self.lone(t, k)
-            c = t.count(k)
-            sums, told = understand(answers[k], t.keys[k][~lone], 1)
-            c[~lone] = sums[:, 0]
-            self.c[k], self.first[k], self.alone[k] = c, lone.copy(), lone
-            self.first[k][~lone] = told & FIRST > 0
-            self.alone[k][~lone] = told & ALONE > 0
-
-    def lone(self, t: Tokens, k: int) -> np.ndarray:
-        """Which sequences of k words no other block can have, since it lacks a part of them."""
-        if k < 3:
-            return np.zeros(len(t.keys[k]), bool)
-        return self.alone[k - 1][t.left[k]] | self.alone[k - 1][t.rest[k]]
+            sums, told = understand(answers[k], t.keys[k], 1)
+            self.c[k], self.first[k], self.alone[k] = sums[:, 0], told & FIRST > 0, told & ALONE > 0
 
     def lone_contexts(self, k: int) -> np.ndarray:
         """Which contexts of sequences of k words no other block has; the start of a text is everyone's."""
         return np.append(self.alone[1], False) if k == 2 else self.alone[k - 1]
 
-    def contexts(self, t: Tokens, k: int) -> np.ndarray:
-        """For each context of sequences of k words: the sums over those that this block tells of."""
-        own = self.first[k] & (self.c[k] > 0)
+    def contexts(self, t: Tokens, k: int, which: np.ndarray) -> np.ndarray:
+        """For each context of sequences of k words, of those that count: the sums over the sequences that this block tells of."""
+        own = self.first[k] & (self.c[k] > 0) & which[t.left[k]]
         left, c, below = t.left[k][own], self.c[k][own], self.c[k - 1][t.rest[k][own]]
         sums = np.zeros((len(t.contexts[k]), WIDTH), np.int64)
         for r in range(1, CUT + 1):
@@ -379,7 +374,7 @@ def score_documents(
                 rows = [r for k in (1, 2) for r in ask(k, row["block"], t.keys[k], t.count(k), buckets, bits)]
                 yield from _table(rows, ASKED).to_batches()
 
-    answered = work.save(exchange(blocks.mapInArrow(first_asks, ASKED), {1: 1, 2: 1}), "answers1")
+    answered = work.save(exchange(blocks.mapInArrow(first_asks, ASKED), {1: 1, 2: 1}), "answers1", by="part")
 
     def more_asks(k: int) -> Callable[[Tokens, int, dict[int, list[dict]]], pa.Table]:
         """Ask for the sums of the contexts of sequences of k words, as kind -k, and for the counts of the next longer sequences."""
@@ -387,12 +382,9 @@ def score_documents(
         def asks(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
             known = Known(t, answers, k)
             some = ~known.lone_contexts(k)
-            # longer contexts are many, and each has a row of sums: smaller buckets
-            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k)[some], buckets if k == 2 else buckets * 4, bits)
+            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k, some)[some], buckets, bits)
             if k < order:
-                c, lone = t.count(k + 1), known.lone(t, k + 1)
-                rows += ask(k + 1, block, t.keys[k + 1][~lone], c[~lone], buckets, bits)
-                rows.append((k + 1, -1 - block % buckets, block, b"", tally(c[lone]).tobytes()))
+                rows += ask(k + 1, block, t.keys[k + 1], t.count(k + 1), buckets, bits)
             return _table(rows, ASKED)
 
         return asks
@@ -400,7 +392,7 @@ def score_documents(
     for k in range(2, order + 1):
         needed = answered.where(F.col("kind").isin([x for x in range(1, k + 1) if k == 2 or x > 1]))
         asked = with_answers(blocks, needed, more_asks(k), ASKED, min(k + 1, order))
-        answered = answered.unionByName(work.save(exchange(asked, {-k: WIDTH, k + 1: 1}), f"answers{k}"))
+        answered = answered.unionByName(work.save(exchange(asked, {-k: WIDTH, k + 1: 1}), f"answers{k}", by="part"))
     model = Model([totals(answered, k) for k in range(1, order + 1)])
     kind = blocks.schema["doc_ids"].dataType.elementType
     id_type = to_arrow_type(kind)
@@ -413,7 +405,7 @@ def score_documents(
         scored = np.empty(len(t.words))
         for k in range(2, order + 1):
             c, some = known.c[k], ~known.lone_contexts(k)
-            sums = known.contexts(t, k)
+            sums = known.contexts(t, k, ~some)
             sums[some] = understand(answers[-k], t.contexts[k][some], WIDTH)[0]
             total, alpha = model.context(k, sums, shorter)
             with np.errstate(divide="ignore"):
@@ -427,4 +419,10 @@ def score_documents(
         types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c.split()[0]: pa.array(x, y) for c, x, y in zip(SCORED.split(", "), out, types, strict=True)})
 
-    return work.finish(with_answers(blocks, answered, evaluate, SCORED.format(id=kind.simpleString()), order), "scores")
+    scores = None
+    for p in range(PASSES):
+        some = with_answers(blocks.where(part_of(F.col("block")) == p), answered.where(F.col("part") == p), evaluate, SCORED.format(id=kind.simpleString()), order)
+        some = work.save(some, f"scores{p}")
+        scores = some if scores is None else scores.unionByName(some)
+    work.keep(*[f"scores{p}" for p in range(PASSES)])
+    return scores
