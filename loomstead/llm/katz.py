@@ -47,6 +47,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -154,27 +155,35 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _digest()
-        end = np.array([digest(b"", 7)], np.uint64)
         number = TaskContext.get().partitionId() << 32
         ids: list = []
-        hashes: list[np.ndarray] = []
+        each: list[np.ndarray] = []
         n = 0
 
+        def vocabulary() -> defaultdict:
+            """Numbers words as they come; None is the end of a text."""
+            return defaultdict(count().__next__)
+
+        known = vocabulary()
+
         def block() -> pa.RecordBatch:
-            keys, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            row = [[number], [ids], [[len(h) for h in hashes]], [[trains(i) for i in ids]], [squeeze(words)], [squeeze_sorted(keys)]]
+            keys = np.fromiter((digest(b"", 7) if w is None else digest(w) for w in known), np.uint64, len(known))
+            keys, place = np.unique(keys, return_inverse=True)
+            words = place[np.concatenate(each)]
+            row = [[number], [ids], [[len(h) for h in each]], [[trains(i) for i in ids]], [squeeze(words)], [squeeze_sorted(keys)]]
             types = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = t.as_py().encode("utf-8", "replace").lower().split()
+                words.append(None)
                 ids.append(i)
-                hashes.append(np.append(np.fromiter(map(digest, words), np.uint64, len(words)), end))
-                n += len(words) + 1
+                each.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                n += len(words)
                 if n >= block_tokens:
                     yield block()
-                    ids, hashes, n, number = [], [], 0, number + 1
+                    ids, each, n, number, known = [], [], 0, number + 1, vocabulary()
         if ids:
             yield block()
 
@@ -184,7 +193,7 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
 
 
 class Tokens:
-    """A block's tokens, words and sequences.
+    """A block's tokens, words and sequences, numbered in order of their keys.
 
     For each length n from 2: ``at[n]`` is each token's number among the distinct
     sequences (-1 near a text's start), ``left[n]`` and ``rest[n]`` are the numbers
@@ -206,15 +215,14 @@ class Tokens:
         self.rest: dict[int, np.ndarray] = {}
         for n in range(2, order + 1):
             there = before >= 0
-            code, number = np.unique(before[there] * (len(words) + 1) + self.words[there], return_inverse=True)
+            x = self.contexts[n][before[there]] * _A
+            x = ((x ^ (x >> np.uint64(31))) + words[self.words[there]]) * _B
+            self.keys[n], number = np.unique(x ^ (x >> np.uint64(29)), return_inverse=True)
+            self.contexts[n + 1] = self.keys[n]
             self.at[n] = np.full(len(self.words), -1, np.int32)
             self.at[n][there] = number
-            left, right = code // (len(words) + 1), code % (len(words) + 1)
-            self.left[n], self.rest[n] = left.astype(np.int32), np.empty(len(code), np.int32)
-            self.rest[n][number] = self.at[n - 1][there]
-            x = self.contexts[n][left] * _A
-            x = ((x ^ (x >> np.uint64(31))) + words[right]) * _B
-            self.keys[n] = self.contexts[n + 1] = x ^ (x >> np.uint64(29))
+            self.left[n], self.rest[n] = np.empty(len(self.keys[n]), np.int32), np.empty(len(self.keys[n]), np.int32)
+            self.left[n][number], self.rest[n][number] = before[there], self.at[n - 1][there]
             before = np.full(len(self.words), -1, np.int64)
             before[1:] = self.at[n][:-1]
             before[self.starts] = -1
@@ -227,24 +235,30 @@ class Tokens:
 
 def ask(kind: int, block: int, keys: np.ndarray, sums: np.ndarray, buckets: int, bits: int) -> list[tuple]:
     """Rows that ask for the sums of the keys and bring the block's own; of the keys the upper bits are sent."""
-    order = np.argsort(keys)
-    keys, sums = keys[order], sums[order]
+    if (order := _order(keys)) is not None:
+        keys, sums = keys[order], sums[order]
     bucket = (keys >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
     keys = keys >> np.uint64(64 - bits)
     cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]))
     return [(kind, int(bucket[a]), block, squeeze_sorted(keys[a:b]), squeeze(sums[a:b].T)) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
+def _order(keys: np.ndarray) -> np.ndarray | None:
+    """The order of keys; None if they are in order."""
+    return None if (keys[1:] >= keys[:-1]).all() else np.argsort(keys)
+
+
 def understand(rows: list[dict], keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The answers to ``ask`` in the order of ``keys``, and what they tell of each key: FIRST, this block is the one to tell of it; ALONE, no other has it."""
     rows = sorted(rows, key=lambda r: r["bucket"])
-    order = np.argsort(keys)
-    sums = np.empty((len(keys), width), np.int64)
-    told = np.zeros(len(keys), np.uint8)
-    if rows:
-        sums[order] = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(width, -1).T for r in rows])
-        if rows[0]["kind"] > 0:
-            told[order] = np.concatenate([expand(r["told"]).astype(np.uint8) for r in rows])
+    if not rows:
+        return np.zeros((len(keys), width), np.int64), np.zeros(len(keys), np.uint8)
+    sums = np.concatenate([expand(r["sums"]).astype(np.int64).reshape(width, -1).T for r in rows])
+    told = np.concatenate([expand(r["told"]).astype(np.uint8) for r in rows]) if rows[0]["kind"] > 0 else np.zeros(len(keys), np.uint8)
+    if (order := _order(keys)) is not None:
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        sums, told = sums[back], told[back]
     return sums, told
 
 
@@ -343,13 +357,13 @@ class Known:
         """For each context of sequences of k words, of those that count: the sums over the sequences that this block tells of."""
         own = self.first[k] & (self.c[k] > 0) & which[t.left[k]]
         left, c, below = t.left[k][own], self.c[k][own], self.c[k - 1][t.rest[k][own]]
-        sums = np.zeros((len(t.contexts[k]), WIDTH), np.int64)
-        for r in range(1, CUT + 1):
-            sums[:, r - 1] = np.bincount(left[c == r], minlength=len(sums))
-            sums[:, CUT + r] = np.bincount(left[below == r], minlength=len(sums))
-        for column, x in ((CUT, c), (2 * CUT + 1, below)):
-            sums[:, column] = np.bincount(left[x > CUT], weights=x[x > CUT], minlength=len(sums))
-        return sums
+        size, cell = len(t.contexts[k]) * WIDTH, left.astype(np.int64) * WIDTH
+        sums = np.zeros(size, np.int64)
+        for first, x in ((0, c), (CUT + 1, below)):  # columns for 1 .. CUT, and one for the sum of what is more
+            few = x <= CUT
+            sums += np.bincount(cell[few] + (first - 1) + x[few], minlength=size)
+            np.add.at(sums, cell[~few] + first + CUT, x[~few])
+        return sums.reshape(-1, WIDTH)
 
 
 WIDTH = 2 * CUT + 2
