@@ -354,15 +354,15 @@ class Known:
         return np.append(self.alone[1], False) if k == 2 else self.alone[k - 1]
 
     def contexts(self, t: Tokens, k: int, which: np.ndarray) -> np.ndarray:
-        """For each context of sequences of k words, of those that count: the sums over the sequences that this block tells of."""
+        """For the contexts of sequences of k words that count: the sums over the sequences that this block tells of."""
         own = self.first[k] & (self.c[k] > 0) & which[t.left[k]]
         left, c, below = t.left[k][own], self.c[k][own], self.c[k - 1][t.rest[k][own]]
-        size, cell = len(t.contexts[k]) * WIDTH, left.astype(np.int64) * WIDTH
-        sums = np.zeros(size, np.int64)
-        for first, x in ((0, c), (CUT + 1, below)):  # columns for 1 .. CUT, and one for the sum of what is more
-            few = x <= CUT
-            sums += np.bincount(cell[few] + (first - 1) + x[few], minlength=size)
-            np.add.at(sums, cell[~few] + first + CUT, x[~few])
+        cell = (np.cumsum(which) - 1)[left] * WIDTH
+        # columns for 1 .. CUT, and one for the sum of what is more
+        few = [(cell + (first - 1) + x)[x <= CUT] for first, x in ((0, c), (CUT + 1, below))]
+        sums = np.bincount(np.concatenate(few), minlength=int(which.sum()) * WIDTH)
+        for first, x in ((0, c), (CUT + 1, below)):
+            np.add.at(sums, (cell + first + CUT)[x > CUT], x[x > CUT])
         return sums.reshape(-1, WIDTH)
 
 
@@ -396,7 +396,7 @@ def score_documents(
         def asks(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
             known = Known(t, answers, k)
             some = ~known.lone_contexts(k)
-            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k, some)[some], buckets, bits)
+            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k, some), buckets, bits)
             if k < order:
                 rows += ask(k + 1, block, t.keys[k + 1], t.count(k + 1), buckets, bits)
             return _table(rows, ASKED)
@@ -419,7 +419,8 @@ def score_documents(
         scored = np.empty(len(t.words))
         for k in range(2, order + 1):
             c, some = known.c[k], ~known.lone_contexts(k)
-            sums = known.contexts(t, k, ~some)
+            sums = np.empty((len(some), WIDTH), np.int64)
+            sums[~some] = known.contexts(t, k, ~some)
             sums[some] = understand(answers[-k], t.contexts[k][some], WIDTH)[0]
             total, alpha = model.context(k, sums, shorter)
             with np.errstate(divide="ignore"):
