@@ -324,12 +324,17 @@ def with_answers(blocks: DataFrame, answers: DataFrame, run: Callable[[Tokens, i
 
 def totals(answers: DataFrame, kind: int) -> list[int]:
     """Over all buckets: how many keys were seen 0, 1, ... times, the sum, and how many were seen."""
-    width = CUT + 4
     cells = answers.where((F.col("block") == -1) & (F.col("kind") == kind)).select("sums")
-    out = [0] * width
-    for r in cells.toLocalIterator():
-        for i, x in enumerate(np.frombuffer(r["sums"], np.int64).tolist()):
-            out[i] += x
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in batch.column(0))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+    out = [0] * (CUT + 4)
+    for i, x in cells.mapInArrow(spread, "i int, x long").groupBy("i").agg(F.sum("x")).collect():  # CUT + 4 rows
+        out[i] = x
     return out
 
 
