@@ -47,7 +47,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Workspace, text_of
 
-CUT, SPARE, PASSES = 5, 22, 4
+CUT, SPARE, PASSES = 5, 22, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BLOCK = "block long, doc_ids array<{id}>, lengths array<int>, trained array<boolean>, words binary, keys binary"
 ASKED = "kind int, bucket int, block long, keys binary, sums binary"
@@ -116,22 +116,26 @@ class Model:
         return total, alpha
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Non-negative whole numbers in the fewest bytes, planes of bytes together, compressed."""
+@cache
+def _zstd():
+    """A compressor and a decompressor for each process: messages are short, and making one takes longer than using it."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Non-negative whole numbers in the fewest bytes, planes of bytes together, compressed."""
     a = np.ascontiguousarray(a).reshape(-1)
     most = int(a.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
     planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + _zstd()[0].compress(planes.tobytes())
 
 
 def expand(b: bytes) -> np.ndarray:
     """The inverse of ``squeeze``."""
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
+    planes = np.frombuffer(_zstd()[1].decompress(b[1:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(b[0], -1).T).reshape(-1).view(f"<u{b[0]}").astype(np.uint64)
 
 
@@ -155,35 +159,27 @@ def block_of(docs: DataFrame, block_tokens: int, doc_id: str, text: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _digest()
+        end = np.array([digest(b"", 7)], np.uint64)
         number = TaskContext.get().partitionId() << 32
         ids: list = []
-        each: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
         n = 0
 
-        def vocabulary() -> defaultdict:
-            """Numbers words as they come; None is the end of a text."""
-            return defaultdict(count().__next__)
-
-        known = vocabulary()
-
         def block() -> pa.RecordBatch:
-            keys = np.fromiter((digest(b"", 7) if w is None else digest(w) for w in known), np.uint64, len(known))
-            keys, place = np.unique(keys, return_inverse=True)
-            words = place[np.concatenate(each)]
-            row = [[number], [ids], [[len(h) for h in each]], [[trains(i) for i in ids]], [squeeze(words)], [squeeze_sorted(keys)]]
+            keys, words = np.unique(np.concatenate(hashes), return_inverse=True)
+            row = [[number], [ids], [[len(h) for h in hashes]], [[trains(i) for i in ids]], [squeeze(words)], [squeeze_sorted(keys)]]
             types = [pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = t.as_py().encode("utf-8", "replace").lower().split()
-                words.append(None)
                 ids.append(i)
-                each.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                n += len(words)
+                hashes.append(np.append(np.fromiter(map(digest, words), np.uint64, len(words)), end))
+                n += len(words) + 1
                 if n >= block_tokens:
                     yield block()
-                    ids, each, n, number, known = [], [], 0, number + 1, vocabulary()
+                    ids, hashes, n, number = [], [], 0, number + 1
         if ids:
             yield block()
 
@@ -375,7 +371,7 @@ WIDTH = 2 * CUT + 2
 
 
 def score_documents(
-    docs: DataFrame, work: Workspace, block_tokens: int = 1_000_000, bucket_keys: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", order: int = 2
+    docs: DataFrame, work: Workspace, block_tokens: int = 1_000_000, bucket_keys: int = 4_000_000, doc_id: str = "doc_id", text: str = "text", order: int = 2
 ) -> DataFrame:
     """The model's log10 probability of every text, and that of the add-one base; order: the words of the longest sequences, two at least."""
     if order < 2:
@@ -401,7 +397,8 @@ def score_documents(
         def asks(t: Tokens, block: int, answers: dict[int, list[dict]]) -> pa.Table:
             known = Known(t, answers, k)
             some = ~known.lone_contexts(k)
-            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k, some), buckets, bits)
+            # a context has a row of sums: smaller buckets
+            rows = ask(-k, block, t.contexts[k][some], known.contexts(t, k, some), 2 * buckets, bits)
             if k < order:
                 rows += ask(k + 1, block, t.keys[k + 1], t.count(k + 1), buckets, bits)
             return _table(rows, ASKED)
