@@ -432,7 +432,10 @@ def jaccard_components(docs: DataFrame, work: Workspace, doc_id: str = "doc_id",
     labelled = sets_known.join(parts, F.col("first") == F.col("id"), "left").select("key", "least", F.coalesce("component", "first").alias("component"))
     label = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     label = work.save(labelled.join(label, "component").select("key", "component_id"), "labelled")
-    out = table.select("doc_id", "n_shingles", "key").join(label, "key", "left")
+    # a row without words goes with the other rows of its id, if there are some
+    empty = table.where("key is null").select("doc_id", "n_shingles")
+    of_id = rows.select("doc_id", "key").join(empty.select("doc_id").distinct(), "doc_id", "left_semi").join(label, "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = table.where("key is not null").select("doc_id", "n_shingles", "key").join(label, "key", "left").drop("key").unionByName(empty.join(of_id, "doc_id", "left"))
     return work.finish(out.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id")), "result")
 
 

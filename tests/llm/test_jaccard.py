@@ -67,7 +67,7 @@ def test_components(spark, leaf):
     texts = near_copies(rng, 60, 80, [0, 1, 2, 3, 5]) + near_copies(rng, 40, 25, [0, 0, 1]) + near_copies(rng, 20, 12, [0, 1]) + near_copies(rng, 6, 3, [0, 1])
     texts += ["a b c", "A B\tc", "a b", "a  b", "a", "", None, " \n", "a b a b a b"] + [" ".join(f"q{i}" for i in range(k)) for k in range(8, 40)]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
-    rows += [rows[3], (None, texts[0]), (None, None), (5000, texts[0]), (5000, texts[70])]  # repeated, without id, one id with two texts
+    rows += [rows[3], (None, texts[0]), (None, None), (5000, texts[0]), (5000, texts[70]), (5000, None), (5001, ""), (5001, texts[1])]  # repeated, without id, one id with two texts
     df = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, component string").repartition(3)
     out = jc.jaccard_components(df, Workspace(spark, "t"), leaf=leaf).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in out)
