@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, katz, order, packing, pages, quality, tokens, toxicity, urls
+from . import chat, decontaminate, jaccard, katz, order, packing, pages, pieces, quality, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -155,6 +155,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), Workspace(spark, "jaccard"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids, and as the text that the ids give."""
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(pieces.joined(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 RULE_SQL = {"symbols": "n_symbols", "duplicate_lines": "n_dup_lines", "repeats": "n_repeat_words", "long_words": "word_chars", "capitals": "n_capitals"}
 TESTS_SQL = ", ".join(f"('{rule}', {cut}::double)" for rule, _, cuts in quality.RULES for cut in cuts)
 MEASURE_SQL = "case rule " + " ".join(f"when '{r}' then {c} / " + ("word_chars" if r == "capitals" else "n_words") + "::double" for r, c in RULE_SQL.items()) + " end"
@@ -199,6 +210,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_sentence_pieces": op11_sentence_pieces,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
