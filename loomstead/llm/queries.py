@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, katz, order, packing, pages, pieces, quality, tokens, toxicity, urls
+from . import chat, decontaminate, jaccard, katz, order, packing, pages, pieces, quality, runs, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -166,6 +166,11 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, of which one in ten is made to repeat a part of itself."""
+    return runs.digest(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 RULE_SQL = {"symbols": "n_symbols", "duplicate_lines": "n_dup_lines", "repeats": "n_repeat_words", "long_words": "word_chars", "capitals": "n_capitals"}
 TESTS_SQL = ", ".join(f"('{rule}', {cut}::double)" for rule, _, cuts in quality.RULES for cut in cuts)
 MEASURE_SQL = "case rule " + " ".join(f"when '{r}' then {c} / " + ("word_chars" if r == "capitals" else "n_words") + "::double" for r, c in RULE_SQL.items()) + " end"
@@ -211,6 +216,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
