@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, katz, order, packing, pages, pieces, quality, runs, tokens, toxicity, urls
+from . import chat, decontaminate, jaccard, katz, order, packing, pages, phrases, pieces, quality, runs, tokens, toxicity, urls
 from .common import Workspace, table
 
 
@@ -166,6 +166,28 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), Workspace(spark, "phrases"))
+
+
+OP12_SQL = r"""
+with p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece
+    from (select coalesce(lang, 'und') lang, translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents)),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') ws from p),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from w, (values (1), (2), (3), (4)) x(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) n from g group by all having count(*) >= 30),
+t as (select lang, sum(len(ws))::bigint total from w group by lang),
+s as (select lang, phrase, k, n, string_split(phrase, ' ') ws from f where k > 1),
+c as (select lang, array_to_string(ws[i : i + m - 1], ' ') phrase, max(n) longer from (select *, unnest(range(1, k - m + 2)) i from (select *, unnest(range(2, k)) m from s where k > 2)) group by all),
+u as (select s.lang, s.phrase, s.n, cut, l.n l, r.n r, (2000000::hugeint * s.n) // (l.n + r.n) score
+    from (select *, unnest(range(1, k)) cut from s) s join f l on l.lang = s.lang and l.phrase = array_to_string(ws[1 : cut], ' ') join f r on r.lang = s.lang and r.phrase = array_to_string(ws[cut + 1 :], ' ')),
+b as (select * from u qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+o as (select b.*, row_number() over (partition by lang order by score desc, n desc, phrase) place from b where not exists (select 1 from c where c.lang = b.lang and c.phrase = b.phrase and 100 * c.longer >= 80 * b.n))
+select lang, place::bigint as "rank", phrase, n::bigint a, l::bigint l, r::bigint r, total as n, score::bigint score from o join t using (lang) where place <= 2000
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document, of which one in ten is made to repeat a part of itself."""
     return runs.digest(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
@@ -216,6 +238,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_phrases": op12_phrases,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -225,4 +248,5 @@ ORACLE_SQL = {
     "op6_decontamination": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op12_phrases": OP12_SQL,
 }
