@@ -46,8 +46,8 @@ BLOCK = 1_000_000
 POINTERS = 1 << 20
 #: log2 of the bits in a bitmap.
 MAP_BITS = 26
-#: Bytes of pointers that a task reads words from at once.
-READ = 8_000_000
+#: Buckets of prefixes for each partition; a task reads the pointers of one at a time.
+BUCKETS = 64
 #: Parts of a language's candidates that are ranked apart first.
 PARTS = 64
 #: The score of a cut, exact beyond 64 bits.
@@ -207,8 +207,8 @@ def count_apart(docs: DataFrame, k: int, frequent, apart) -> DataFrame:
     return _texts(docs).mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def pointers(docs: DataFrame, frequent, apart) -> DataFrame:
-    """For each block and prefix: the words behind it, a line for each different continuation, and their weights."""
+def pointers(docs: DataFrame, frequent, apart, buckets: int) -> DataFrame:
+    """For each block and bucket of prefixes: each prefix and the words behind it, a line for each different continuation, and their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in block_windows(batches, frequent.value):
@@ -221,38 +221,52 @@ def pointers(docs: DataFrame, frequent, apart) -> DataFrame:
                 these = (depth == k) & (own.word(k + 1) > 0)
                 kept |= own.in_map(frequent.value, k, these) if k > 1 else these
             if kept.any():
-                yield _pointer_batch(own, own.windows[kept], own.counts[kept], depth[kept])
+                yield _pointer_batch(own, own.windows[kept], own.counts[kept], depth[kept], buckets)
 
-    return _texts(docs).mapInArrow(run, "lang string, prefix binary, suffixes binary, weights binary")
+    return _texts(docs).mapInArrow(run, "lang string, bucket int, lines binary, weights binary")
 
 
-def _pointer_batch(own: Windows, windows: np.ndarray, counts: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+def _pointer_batch(own: Windows, windows: np.ndarray, counts: np.ndarray, depth: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows for buckets. A prefix stands before a tab; every line is what one of its pointers has behind it."""
     shift = (BITS * (MOST - depth)).astype(np.uint64)
     prefix = (windows >> shift) << shift
     begins = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (depth[1:] != depth[:-1])])
+    sizes = np.diff(np.r_[begins, len(windows)])
+    seed = zlib.crc32(own.lang.encode() + b"\x00")
+    bucket = np.empty(len(begins), np.int64)
+    for k in range(1, MOST):
+        at = np.flatnonzero(depth[begins] == k)
+        bucket[at] = np.fromiter((zlib.crc32(p, seed) % buckets for p in own.phrases(windows[begins[at]], k)), np.int64, len(at))
+    order = np.argsort(bucket, kind="stable")  # prefixes by bucket, their windows after them
+    bucket, sizes = bucket[order], sizes[order]
+    windows, counts, depth = (_flat(x, begins[order], sizes) for x in (windows, counts, depth))
+    starts = _upto(sizes)[:-1]
     codes = np.stack([own.word(k, windows) for k in range(1, MOST + 1)], axis=1)
-    codes[np.arange(1, MOST + 1) <= depth[:, None]] = 0
-    last = np.max(np.where(codes > 0, np.arange(MOST), 0), axis=1)
-    row, column = np.nonzero(codes)
+    place = np.arange(1, MOST + 1)
+    first = np.zeros(len(windows), bool)
+    first[starts] = True
+    last = np.max(np.where(codes > 0, place, 0), axis=1)
+    row, column = np.nonzero((codes > 0) & (first[:, None] | (place > depth[:, None])))
     which = codes[row, column]
-    sizes = own.length[which] + 1  # a space, or a line's end
-    flat = np.empty(int(sizes.sum()), np.uint8)
-    ends = np.cumsum(sizes)
+    end = np.where(column + 1 == depth[row], 9, np.where(column + 1 == last[row], 10, 32))  # a tab, a line's end, a space
+    length = own.length[which] + 1
+    flat = np.empty(int(length.sum()), np.uint8)
+    ends = np.cumsum(length)
     inside = np.ones(len(flat), bool)
     inside[ends - 1] = False
     flat[inside] = _flat(own.raw, (_upto(own.length)[:-1])[which], own.length[which])
-    flat[ends - 1] = np.where(column == last[row], 10, 32)
-    by_window = np.bincount(row, sizes, len(windows)).astype(np.int64)
-    groups = np.diff(np.r_[begins, len(windows)])
-    prefixes = [own.phrases(windows[begins[i] : begins[i] + 1], int(depth[begins[i]]))[0] if depth[begins[i]] > 1 else own.words[int(windows[begins[i]] >> np.uint64(BITS * (MOST - 1)))] for i in range(len(begins))]
+    flat[ends - 1] = end
+    by_window = np.bincount(row, length, len(windows)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    n = len(cut)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([own.lang] * len(begins), pa.string()),
-            pa.array(prefixes, pa.binary()),
-            _binary(flat, np.add.reduceat(by_window, begins)),
-            _binary(counts.astype(np.uint32).view(np.uint8), 4 * groups),
+            pa.array([own.lang] * n, pa.string()),
+            pa.array(bucket[cut], pa.int32()),
+            _binary(flat, np.add.reduceat(by_window, starts[cut])),
+            _binary(counts.astype(np.uint32).view(np.uint8), 4 * np.add.reduceat(sizes, cut)),
         ],
-        names=["lang", "prefix", "suffixes", "weights"],
+        names=["lang", "bucket", "lines", "weights"],
     )
 
 
@@ -274,54 +288,59 @@ def grow(prefix: bytes, behind: np.ndarray, weights: np.ndarray, names: Sequence
         yield from grow(phrase, behind[own, 1:], weights[own], names, least)
 
 
-def _grow_groups(groups: list[tuple[str, bytes, bytes, bytes]], least: int) -> pa.RecordBatch:
-    """Grow some prefixes, given as (language, prefix, suffixes, weights) with all pointers of each."""
-    words = b"".join(g[2] for g in groups).replace(b"\n", b" \n ").split(b" ")[:-1]
-    names = [b"\n", *(set(words) - {b"\n"})]
+def _grow_bucket(lines: bytes, weights: np.ndarray, least: int) -> Iterator[tuple[bytes, int]]:
+    """Grow all prefixes of a bucket, of which every pointer is there."""
+    words = lines.replace(b"\t", b" \t ").replace(b"\n", b" \n ").split(b" ")
+    words = [w for w in words if w]
+    names = [b"", b"\n", b"\t", *(set(words) - {b"\n", b"\t"})]
     number = dict(zip(names, range(len(names)), strict=True))
     codes = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    ends = np.flatnonzero(codes == 0)
+    tabs, ends = np.flatnonzero(codes == 2), np.flatnonzero(codes == 1)
+    heads = np.r_[0, ends[np.searchsorted(ends, tabs[1:]) - 1] + 1]  # where a prefix begins: behind the line before it
+    prefixes = np.zeros((len(tabs), MOST - 1), np.int64)
+    for k in range(MOST - 1):
+        has = heads + k < tabs
+        prefixes[has, k] = codes[heads[has] + k]
+    own = np.searchsorted(tabs, ends) - 1  # the prefix that a line belongs to
     begins = np.r_[0, ends[:-1] + 1]
+    firsts = np.searchsorted(ends, tabs)
+    begins[firsts] = tabs + 1
     behind = np.zeros((len(ends), MOST - 1), np.int64)
     for k in range(MOST - 1):
         has = begins + k < ends
         behind[has, k] = codes[begins[has] + k]
-    weights = np.frombuffer(b"".join(g[3] for g in groups), np.uint32).astype(np.int64)
-    langs, phrases, counts, at = [], [], [], 0
-    for lang, prefix, _, own in groups:
-        upto = at + len(own) // 4
-        room = MOST - 1 - prefix.count(b" ")
-        if weights[at:upto].sum() >= least:
-            for phrase, n in grow(prefix, behind[at:upto, :room], weights[at:upto], names, least):
-                langs.append(lang)
-                phrases.append(phrase)
-                counts.append(n)
-        at = upto
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+    kinds, same = np.unique(prefixes, axis=0, return_inverse=True)
+    group = same.reshape(-1)[own]
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(len(kinds) + 1))
+    sums = np.add.reduceat(weights[order], edges[:-1])
+    for i in np.flatnonzero(sums >= least):
+        at = order[edges[i] : edges[i + 1]]
+        prefix = [names[c] for c in kinds[i] if c]
+        yield from grow(b" ".join(prefix), behind[at, : MOST - len(prefix)], weights[at], names, least)
 
 
 def grow_prefixes(found: DataFrame, parts: int, least: int) -> DataFrame:
     """One task for each prefix: its frequent phrases and how often they occur."""
 
+    def grown(lang: str, lines: list[bytes], weights: list[bytes]) -> pa.RecordBatch:
+        rows = list(_grow_bucket(b"".join(lines), np.frombuffer(b"".join(weights), np.uint32).astype(np.int64), least))
+        return _count_batch(lang, [r[0] for r in rows], [r[1] for r in rows])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, size = [], 0  # prefixes with all their pointers, and the last one, which may have more
-        last, suffixes, weights = None, [], []
+        last, lines, weights = None, [], []
         for batch in batches:
-            for lang, prefix, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, prefix) != last:
+            for bucket, lang, own_lines, own_weights in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "lines", "weights")), strict=True):
+                if (bucket, lang) != last:
                     if last:
-                        whole.append((*last, b"".join(suffixes), b"".join(weights)))
-                        size += len(whole[-1][2])
-                    if size >= READ:
-                        yield _grow_groups(whole, least)
-                        whole, size = [], 0
-                    last, suffixes, weights = (lang, prefix), [], []
-                suffixes.append(s)
-                weights.append(w)
+                        yield grown(last[1], lines, weights)
+                    last, lines, weights = (bucket, lang), [], []
+                lines.append(own_lines)
+                weights.append(own_weights)
         if last:
-            yield _grow_groups([*whole, (*last, b"".join(suffixes), b"".join(weights))], least)
+            yield grown(last[1], lines, weights)
 
-    return found.repartition(parts, "lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(run, COUNTS)
+    return found.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(run, COUNTS)
 
 
 def frequent_phrases(docs: DataFrame, work: Workspace, least: int = 30, most_pointers: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +359,7 @@ def frequent_phrases(docs: DataFrame, work: Workspace, least: int = 30, most_poi
         begun = work.save(count_apart(docs, k, frequent, hot).where(F.col("n") >= least), f"apart{k}")
         known, apart = known.unionByName(begun), apart.unionByName(begun.where(F.col("n") > bound))
     frequent, hot = (_send(spark, Bitmap.of(t)) for t in (known, apart))
-    grown = work.save(grow_prefixes(pointers(docs, frequent, hot), parts, least), "grown")
+    grown = work.save(grow_prefixes(pointers(docs, frequent, hot, parts * BUCKETS), parts, least), "grown")
     return known.unionByName(grown), totals
 
 
