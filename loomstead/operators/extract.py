@@ -1,31 +1,22 @@
 """A metadata record from a text by cues, with anchors where a cue alone says too little.
 
-What needs positions (anchored cues, the role of a data set by the words around
-each mention) is found in one Arrow pass over the texts; all else is
-expressions. Nothing is shuffled. "strict" looks 80 characters around a cue,
-"hybrid" 140, and hybrid takes weaker cues for modality and task.
+One pass over the texts gives the labels that need no place, another the places of
+cues and anchors as rows, which meet by cells of the texts (``operators.places``).
+Everything is expressions; texts are never moved. "strict" looks 80 characters
+around a cue, "hybrid" 140, and hybrid takes weaker cues for modality and task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.lexicon import any_match
+from ..functions.literals import Lexicons
+from .places import KEY, keys, nearby
 
 WIDTH = {"strict": 80, "hybrid": 140}
-FOUND = "File string, _text string, train array<string>, eval array<string>, paired boolean, vision array<string>, language array<string>, fusion array<string>, objectives array<string>"
-
-
-def _any(patterns: Sequence[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
-
-
-def _labels(text: Column, cues: Mapping[str, Sequence[str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(any_match(text, p), F.lit(label)) for label, p in cues.items()]))
+ANCHORED = {"vision": v.VISION, "language": v.LANGUAGE, "fusion": v.FUSION, "objectives": v.OBJECTIVES}
 
 
 def _sorted(labels: Column) -> Column:
@@ -33,65 +24,43 @@ def _sorted(labels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.transform(labels, lambda x: F.struct(F.lower(x).alias("l"), x.alias("x")))), lambda s: s["x"]), ", ")
 
 
-def scan(docs: DataFrame, doc_id: str, text: str, width: int, anchored: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
-    """What needs positions: roles of data sets, whether they are paired with reports, and anchored labels."""
-    import pyarrow as pa
+def placed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(key1, key2, train, eval, paired, vision, language, fusion, objectives): what places tell, for documents with some cue.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        one = lambda patterns: re.compile(_any(patterns), re.I)
-        sets = {d: [re.compile(p, re.I) for p in ps] for d, ps in v.DATASETS.items()}
-        trains, evals, phrases, reports = one(v.TRAIN_WORDS), one(v.EVAL_WORDS), one(v.PAIRED_PHRASES), one(v.REPORT_WORDS)
-        fields = {f: ({label: [re.compile(p, re.I) for p in ps] for label, ps in cues.items()}, one(v.ANCHORS[f])) for f, cues in anchored.items()}
-
-        def around(t: str, patterns) -> Iterator[str]:
-            for p in patterns:
-                for m in p.finditer(t):
-                    yield t[max(0, m.start() - width) : m.start() + width]
-
-        for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                t = t.as_py() or ""
-                roles: dict[str, set[str]] = {"train": set(), "eval": set()}
-                paired = False
-                for name, patterns in sets.items():
-                    for near in around(t, patterns):
-                        said = {r for r, p in (("train", trains), ("eval", evals)) if p.search(near)}
-                        for r in said or roles:
-                            roles[r].add(name)
-                        paired |= bool((name in v.PAIRED_DATASETS or phrases.search(near)) and reports.search(near))
-                labels = [[x for x, ps in cues.items() if any(near.search(w) for w in around(t, ps))] for cues, near in fields.values()]
-                rows.append((sorted(roles["train"]), sorted(roles["eval"]), paired, *labels))
-            lists = pa.list_(pa.string())
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            out = [pa.array(c, pa.bool_() if i == 2 else lists) for i, c in enumerate(columns)]
-            names = [c.split()[0] for c in FOUND.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names)
-
-    return docs.select(F.col(doc_id).cast("string").alias("File"), F.col(text).alias("_text")).mapInArrow(run, FOUND)
+    A mention of a data set is for training, for evaluation, for both, or, where neither is said nearby, for both too.
+    """
+    kinds = {"train": v.TRAIN_WORDS, "eval": v.EVAL_WORDS, "phrase": v.PAIRED_PHRASES, "report": v.REPORT_WORDS}
+    near = nearby(docs, doc_id, text, {"sets": v.DATASETS, **ANCHORED}, {"sets": kinds, **{f: {f: v.ANCHORS[f]} for f in ANCHORED}}, width)
+    has = lambda kind: F.array_contains("kinds", kind)
+    sets, label = F.col("field") == "sets", F.col("label")
+    neither = ~has("train") & ~has("eval")
+    paired = sets & has("report") & (has("phrase") | label.isin(*v.PAIRED_DATASETS))
+    roles = [F.collect_set(F.when(sets & (has(r) | neither), label)).alias(r) for r in ("train", "eval")]
+    fields = [F.collect_set(F.when((F.col("field") == f) & (F.size("kinds") > 0), label)).alias(f) for f in ANCHORED]
+    return near.groupBy(*KEY).agg(*roles, F.bool_or(paired).alias("paired"), *fields)
 
 
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode: str = "strict") -> DataFrame:
     """The sixteen columns of a record, empty where nothing is found."""
     hybrid = mode == "hybrid"
-    cues = {"vision": v.VISION, "language": v.LANGUAGE, "fusion": v.FUSION, "objectives": v.OBJECTIVES}
-    d = scan(docs, doc_id, text, WIDTH[mode], cues)
-    t = F.coalesce(F.col("_text"), F.lit(""))
-    locked = (F.size("train") + F.size("eval")) > 0
-    more = [F.when(any_match(t, [a]) & (F.lit(True) if hybrid else any_match(t, [b])), F.lit(m)) for m, (a, b) in v.OTHER_MODALITIES.items()]
-    modality = F.when(locked, F.array_compact(F.array(F.lit("X-Ray"), *more))).otherwise(_labels(t, v.MODALITIES | v.MODALITIES_HYBRID if hybrid else v.MODALITIES))
-    d = d.withColumns(
-        {
-            "family": _labels(t, v.FAMILIES),
-            "metrics": _labels(t, v.METRICS),
-            "task": F.array_join(_labels(t, v.TASKS | v.TASKS_HYBRID if hybrid else v.TASKS), ", "),
-            "rag": F.when(any_match(t, v.RAG), "Yes").otherwise(""),
-            "modality": F.array_join(modality, ", "),
-            "claims": any_match(t, v.VLM_PHRASES),
-        }
-    )
+    modalities, tasks = (v.MODALITIES | v.MODALITIES_HYBRID, v.TASKS | v.TASKS_HYBRID) if hybrid else (v.MODALITIES, v.TASKS)
+    listed = lambda cues: [(p, label) for label, ps in cues.items() for p in ps]
+    # another modality beside a chest data set takes two patterns in strict mode, one in hybrid
+    more = {f"more {k} {m}": [(ps[k], m)] for m, ps in v.OTHER_MODALITIES.items() for k in range(1 if hybrid else 2)}
+    plain = {"family": v.FAMILIES, "metrics": v.METRICS, "task": tasks, "cues": modalities, "rag": {"Yes": v.RAG}, "claims": {"Yes": v.VLM_PHRASES}}
+    lexicons = Lexicons({**{f: listed(cues) for f, cues in plain.items()}, **more})
+    own = docs.select(F.col(doc_id).cast("string").alias("File"), *keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = own.withColumn("_found", lexicons.terms_in(F.col("_text"))).select("File", *KEY, lexicons.hits(F.col("_found"), F.col("_text")).alias("_hits"))
+    hits, labels = F.col("_hits"), lambda f: lexicons.labels(F.col("_hits"), f)
+    also = [F.when(F.lit(True) if hybrid else lexicons.any(hits, f"more 1 {m}"), F.when(lexicons.any(hits, f"more 0 {m}"), F.lit(m))) for m in v.OTHER_MODALITIES]
+    own = own.select(
+        "File", *KEY, labels("family").alias("family"), labels("metrics").alias("metrics"), F.array_join(labels("task"), ", ").alias("task"), F.when(lexicons.any(hits, "rag"), "Yes").otherwise("").alias("rag"),
+        lexicons.any(hits, "claims").alias("claims"), labels("cues").alias("cues"), F.array_compact(F.array(F.lit("X-Ray"), *also)).alias("locked"),
+    )
+    d = own.join(placed(docs, doc_id, text, WIDTH[mode]), KEY, "left")
+    lists = ["train", "eval", *ANCHORED]
+    d = d.withColumns({**{x: F.coalesce(F.array_sort(x), F.array().cast("array<string>")) for x in lists}, "paired": F.coalesce("paired", F.lit(False))})
+    d = d.withColumn("modality", F.array_join(F.when((F.size("train") + F.size("eval")) > 0, F.col("locked")).otherwise(F.col("cues")), ", "))
     both = (F.size("vision") > 0) & (F.size("language") > 0)
     known = F.arrays_overlap("family", F.array(*map(F.lit, v.VLM_FAMILIES)))
     d = d.withColumn("vlm", F.when(known | (F.col("claims") & both), "Yes").otherwise(""))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.lexicon import Lexicon, all_labels, any_match, matches, terms_by_position
+from ..functions.lexicon import Lexicon, all_labels, any_match, matches
+from ..functions.literals import Lexicons, has, in_order, trie
 from ..functions.missing import NOT_REPORTED, is_missing, strip
 from ..functions.names import fresh
 from ..functions.tokens import distinct_ci
@@ -75,11 +76,9 @@ def _bad_line(s: Column, stop: Sequence[str]) -> Column:
     """Addresses, links, affiliations, venues, and lines mostly in capitals."""
     letters = F.char_length(F.regexp_replace(s, r"\P{L}", ""))
     lower = F.char_length(F.regexp_replace(s, r"\P{Ll}", ""))
-    low, out = F.lower(s), F.contains(s, F.lit("@"))
-    for x in stop:
-        out = out | F.contains(low, F.lit(x))
+    out = F.lower(s).rlike(f"@|https?://|www[.]|{trie(stop)}")
     commas = F.char_length(s) - F.char_length(F.replace(s, F.lit(","), F.lit("")))
-    return out | (commas > 3) | s.rlike(r"(?i)https?://|www\.") | ~s.rlike("[A-Za-z]") | (lower < 0.25 * letters)
+    return out | (commas > 3) | ~s.rlike("[A-Za-z]") | (lower < 0.25 * letters)
 
 
 def _end(s: Column) -> Column:
@@ -178,42 +177,66 @@ GUESS_LANGUAGE = ("LLaMA", "GPT-2", "GPT2", "GPT-4V", "BERT", "T5", "Flan-T5", "
 GUESS_METRICS = ("BLEU", "CIDEr", "METEOR", "ROUGE", "Accuracy", "F1", "BERTScore", "CheXbert", "RadGraph", "RadCliQ", "GLEU")
 
 
-def guess_record(text: Column) -> dict[str, Column]:
-    """A record by plain cues, each field on its own; what no cue tells is not reported, and a task is report generation by default."""
-    low = F.lower(text)
-    has = lambda *words: any_of(low, words)
-    cell = lambda terms: F.coalesce(F.nullif(F.array_join(terms_by_position(text, terms), ", "), F.lit("")), F.lit(NOT_REPORTED))
-    word = lambda names, default: F.coalesce(*[F.when(matches(text, rf"\b{k}\b"), F.lit(k)) for k in names], F.lit(default))
-    report = matches(text, r"\breport[- ]?generation\b")
-    fusion = (
-        F.when(has("cross-attention", "cross attention"), "cross-attention").when(has("q-former", "qformer"), "q-former").when(has("single-stream", "single stream"), "single-stream")
-        .when(has("late fusion"), "late fusion").when(has("early fusion"), "early fusion").otherwise(NOT_REPORTED)
-    )
-    objectives = F.array_join(F.array_compact(F.array(F.when(has("itm", "image-text matching", "itc", "contrastive"), "ITM/ITC"), F.when(has("coverage"), "coverage"))), ", ")
-    models = F.transform(terms_by_position(text, GUESS_MODELS), F.lower)
-    among = lambda *names: F.arrays_overlap(models, F.array(*[F.lit(x) for x in names]))
+#: Words, of which one is enough, for what a guesser says.
+GUESS_FUSION = (
+    ("cross-attention", ("cross-attention", "cross attention")), ("q-former", ("q-former", "qformer")), ("single-stream", ("single-stream", "single stream")),
+    ("late fusion", ("late fusion",)), ("early fusion", ("early fusion",)),
+)
+GUESS_OBJECTIVES = (("ITM/ITC", ("itm", "image-text matching", "itc", "contrastive")), ("coverage", ("coverage",)))
+GUESS_MODALITIES = ("x-ray", "xray", "x ray", "cxr", "mammography", "ct", "mri", "ultrasound")
+GUESS_VLM = ("vlm", "vision-language", "vision language", "multimodal", "vqg", "report generation")
+GUESS_RAG = ("retrieval-augmented", "retrieval augmented", "rag", "retrieve-then-generate")
+GUESS_CONTRASTIVE, GUESS_KNOWLEDGE = ("clip", "siglip", "contrast"), ("knowledge", "retrieval", "rag")
+GUESS_ENCODER_DECODER = ("blip", "blip2", "blip-2", "albef", "flan-t5", "t5")
+GUESS_ADAPTERED = ("llava", "llama", "q-former", "mplug", "minigpt", "vision-instruct")
+GUESS_CLASSES = ("classification", "detection", "segmentation", "retrieval", "captioning")
+GUESS_TASKS = ("captioning", "retrieval", "qa", "question answering", "triage", "classification")
+GUESS_REPORT = r"\breport[- ]?generation\b"
+
+
+GUESSED = ("modality", "train", "eval_", "vlm", "model", "klass", "task", "vision", "language", "fusion", "objectives", "rag", "metrics", "family")
+
+
+def _guess_lexicons() -> Lexicons:
+    words = lambda names: [(rf"\b{k}\b", k) for k in names]
+    terms = [*GUESS_DATASETS, *GUESS_MODELS, *GUESS_VISION, *GUESS_LANGUAGE, *GUESS_METRICS, *GUESS_MODALITIES, *GUESS_VLM, *GUESS_RAG, *GUESS_CONTRASTIVE, *GUESS_KNOWLEDGE]
+    terms += [w for group in (GUESS_FUSION, GUESS_OBJECTIVES) for _, ws in group for w in ws]
+    return Lexicons({"report": [(GUESS_REPORT, "report-generation")], "class": words(GUESS_CLASSES), "task": words(GUESS_TASKS)}, terms)
+
+
+def guess_records(df: DataFrame, text: str) -> DataFrame:
+    """A record by plain cues, each field on its own; what no cue tells is not reported, and a task is report generation by default.
+
+    All cues of all fields are found in one pass over the text. Adds modality, train, eval_, vlm, model, klass, task,
+    vision, language, fusion, objectives, rag, metrics, family; columns of these names are replaced.
+    """
+    lexicons, (found, hits) = _guess_lexicons(), fresh(df, "found", "hits")
+    d = df.withColumn(found, lexicons.terms_in(F.col(text))).withColumn(hits, lexicons.hits(F.col(found), F.col(text)))
+    there, hit = F.col(found), F.col(hits)
+    cell = lambda terms: F.coalesce(F.nullif(F.array_join(in_order(there, terms), ", "), F.lit("")), F.lit(NOT_REPORTED))
+    first = lambda groups: F.coalesce(*[F.when(has(there, *ws), F.lit(x)) for x, ws in groups], F.lit(NOT_REPORTED))
+    yes = lambda words: F.when(has(there, *words), "Yes").otherwise(NOT_REPORTED)
+    report = lexicons.any(hit, "report")
+    fusion = first(GUESS_FUSION)
+    objectives = F.array_join(F.array_compact(F.array(*[F.when(has(there, *ws), x) for x, ws in GUESS_OBJECTIVES])), ", ")
+    models = F.transform(in_order(there, GUESS_MODELS), F.lower)
+    among = lambda names: F.arrays_overlap(models, F.array(*[F.lit(x) for x in names]))
     family = (
-        F.when(has("clip", "siglip", "contrast"), "Contrastive").when(among("blip", "blip2", "blip-2", "albef", "flan-t5", "t5") | has("cross-attention"), "Encoder–Decoder")
-        .when(among("llava", "llama", "q-former", "mplug", "minigpt", "vision-instruct") | (fusion == "q-former"), "Adaptered LLM (V+L)").when(fusion == "single-stream", "Single-stream Transformer")
-        .when(has("knowledge", "retrieval", "rag"), "Knowledge-augmented").otherwise(NOT_REPORTED)
+        F.when(has(there, *GUESS_CONTRASTIVE), "Contrastive").when(among(GUESS_ENCODER_DECODER) | has(there, "cross-attention"), "Encoder–Decoder")
+        .when(among(GUESS_ADAPTERED) | (fusion == "q-former"), "Adaptered LLM (V+L)").when(fusion == "single-stream", "Single-stream Transformer")
+        .when(has(there, *GUESS_KNOWLEDGE), "Knowledge-augmented").otherwise(NOT_REPORTED)
     )
-    modality = F.coalesce(*[F.when(F.contains(low, F.lit(k)), "X-Ray" if "x" in k else k.upper()) for k in ("x-ray", "xray", "x ray", "cxr", "mammography", "ct", "mri", "ultrasound")], F.lit(NOT_REPORTED))
-    return {
-        "modality": modality, "train": cell(GUESS_DATASETS), "eval_": cell(GUESS_DATASETS),
-        "vlm": F.when(has("vlm", "vision-language", "vision language", "multimodal", "vqg", "report generation"), "Yes").otherwise(NOT_REPORTED), "model": cell(GUESS_MODELS),
-        "klass": F.when(report, NOT_REPORTED).otherwise(word(("classification", "detection", "segmentation", "retrieval", "captioning"), NOT_REPORTED)),
-        "task": F.when(report, "report-generation").otherwise(word(("captioning", "retrieval", "qa", "question answering", "triage", "classification"), "report-generation")),
+    return d.withColumns({
+        "modality": first([("X-Ray" if "x" in k else k.upper(), (k,)) for k in GUESS_MODALITIES]), "train": cell(GUESS_DATASETS), "eval_": cell(GUESS_DATASETS), "vlm": yes(GUESS_VLM), "model": cell(GUESS_MODELS),
+        "klass": F.when(report, NOT_REPORTED).otherwise(lexicons.first(hit, "class", NOT_REPORTED)), "task": F.when(report, "report-generation").otherwise(lexicons.first(hit, "task", "report-generation")),
         "vision": cell(GUESS_VISION), "language": cell(GUESS_LANGUAGE), "fusion": fusion, "objectives": F.when(objectives == "", NOT_REPORTED).otherwise(objectives),
-        "rag": F.when(has("retrieval-augmented", "retrieval augmented", "rag", "retrieve-then-generate"), "Yes").otherwise(NOT_REPORTED), "metrics": cell(GUESS_METRICS), "family": family,
-    }
+        "rag": yes(GUESS_RAG), "metrics": cell(GUESS_METRICS), "family": family,
+    }).drop(found, hits)
 
 
 def any_of(low: Column, words: Sequence[str]) -> Column:
-    """Whether one of the plain words occurs."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(low, F.lit(w))
-    return out
+    """Whether one of the plain words occurs, in one pass."""
+    return low.rlike(trie(words))
 
 
 def ensure_record(df: DataFrame, context: str, strict: bool = False, datasets: Mapping[str, Sequence[str]] = v.DATASETS, vision: Mapping = v.VISION, language: Mapping = v.LANGUAGE) -> DataFrame:

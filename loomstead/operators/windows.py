@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fresh
+from .places import KEY, keys, nearby
 
 
 def chunks(docs: DataFrame, doc_id: str, text: str, size: int = 1600, stride: int = 800) -> DataFrame:
@@ -49,24 +48,13 @@ def merge_spans(spans: DataFrame, key: str = "doc_id", gap: int = 50) -> DataFra
 def anchored(docs: DataFrame, doc_id: str, text: str, cues: dict[str, str], anchors: str, width: int = 80) -> DataFrame:
     """(doc_id, labels): labels of which some cue begins with an anchor wholly within ``width`` characters on either side.
 
-    Exact positions, and look-around of any kind, are beyond SQL's regular
-    expressions, so texts pass through Arrow batches; nothing is shuffled.
+    Labels come in the order of ``cues``. Places of cues and anchors are rows that meet by cells of the texts.
     """
-    import pyarrow as pa
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        compiled, near = {k: re.compile(p, re.I) for k, p in cues.items()}, re.compile(anchors, re.I)
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                t = t.as_py() or ""
-                out.append([k for k, p in compiled.items() if any(near.search(t[max(0, m.start() - width) : m.start() + width]) for m in p.finditer(t))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["doc_id", "labels"])
-
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(scan, "doc_id long, labels array<string>")
+    near = nearby(docs, doc_id, text, {"": {k: [p] for k, p in cues.items()}}, {"": {"": [anchors]}}, width)
+    found = near.where(F.size("kinds") > 0).groupBy(*KEY).agg(F.collect_set("label").alias("found"))
+    labels = F.filter(F.array(*map(F.lit, cues)), lambda x: F.array_contains("found", x))
+    own = docs.select(F.col(doc_id).alias("doc_id"), *keys(doc_id, text))
+    return own.join(found, KEY, "left").select("doc_id", F.coalesce(labels, F.array().cast("array<string>")).alias("labels"))
 
 
 def within(docs: DataFrame, doc_id: str, text: str, cue: str, anchor: str, width: int = 80) -> DataFrame:

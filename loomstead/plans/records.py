@@ -329,16 +329,41 @@ def s_cell(terms) -> str:
     return f"coalesce(nullif(array_to_string(list_transform(list_sort(list_filter([{found}], lambda x: x.at > 0)), lambda x: x.x), ', '), ''), 'Not reported')"
 
 
-@query(f"""with d as (select doc_id, lower({G}) t from documents), m as (select *, {s_cell(mine.GUESS_MODELS)} model, {s_cell(mine.GUESS_VISION)} vision, {s_cell(mine.GUESS_METRICS)} metrics from d)
-select doc_id, model, vision, metrics, case {' '.join(f"when contains(t, '{k}') then '{'X-Ray' if 'x' in k else k.upper()}'" for k in ("x-ray", "xray", "x ray", "cxr", "mammography", "ct", "mri", "ultrasound"))} else 'Not reported' end modality,
-    case when contains(t, 'vlm') or contains(t, 'vision-language') or contains(t, 'vision language') or contains(t, 'multimodal') or contains(t, 'vqg') or contains(t, 'report generation') then 'Yes' else 'Not reported' end vlm,
-    case when contains(t, 'retrieval-augmented') or contains(t, 'retrieval augmented') or contains(t, 'rag') or contains(t, 'retrieve-then-generate') then 'Yes' else 'Not reported' end rag,
-    case when regexp_matches(t, '\\breport[- ]?generation\\b') then 'report-generation' {' '.join(f"when regexp_matches(t, '{chr(92)}b{k}{chr(92)}b') then '{k}'" for k in ("captioning", "retrieval", "qa", "question answering", "triage", "classification"))} else 'report-generation' end task,
-    case when contains(t, 'itm') or contains(t, 'image-text matching') or contains(t, 'itc') or contains(t, 'contrastive') then case when contains(t, 'coverage') then 'ITM/ITC, coverage' else 'ITM/ITC' end when contains(t, 'coverage') then 'coverage' else 'Not reported' end objectives from m""".replace("\\\\", "\\"))
+def s_has(words) -> str:
+    return "(" + " or ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+def s_word(words, otherwise: str) -> str:
+    return "case " + " ".join(f"when regexp_matches(t, '\\b{w}\\b') then '{w}'" for w in words) + f" else '{otherwise}' end"
+
+
+S_REPORT = "regexp_matches(t, '\\breport[- ]?generation\\b')"
+GUESS = f"""with d as (select doc_id, lower({G}) t from documents),
+m as (select *, {s_cell(("MIMIC-CXR", "CheXpert", "IU X-ray", "Open-i", "NIH ChestX-ray14", "CXR-RePaiR", "RadGraph", "PadChest", "COCO", "ImageNet"))} train,
+    {s_cell(("BLIP-2", "BLIP2", "BLIP", "ALBEF", "LLaVA", "LLaMA", "GPT-4V", "GPT4V", "Flamingo", "CXR-IRGen", "TrMRG", "ViLT", "MiniGPT-4", "mPLUG", "Q-Former"))} model,
+    {s_cell(("ViT", "CLIP", "ResNet50", "CNN", "Swin", "ConvNeXt", "EfficientNet"))} vision,
+    {s_cell(("LLaMA", "GPT-2", "GPT2", "GPT-4V", "BERT", "T5", "Flan-T5", "Transformer", "LSTM", "GRU"))} "language",
+    {s_cell(("BLEU", "CIDEr", "METEOR", "ROUGE", "Accuracy", "F1", "BERTScore", "CheXbert", "RadGraph", "RadCliQ", "GLEU"))} metrics,
+    case when {s_has(("cross-attention", "cross attention"))} then 'cross-attention' when {s_has(("q-former", "qformer"))} then 'q-former' when {s_has(("single-stream", "single stream"))} then 'single-stream'
+        when contains(t, 'late fusion') then 'late fusion' when contains(t, 'early fusion') then 'early fusion' else 'Not reported' end fusion from d)
+select doc_id, train, train eval_, model, vision, "language", metrics, fusion,
+    case {' '.join(f"when contains(t, '{k}') then '{'X-Ray' if 'x' in k else k.upper()}'" for k in ("x-ray", "xray", "x ray", "cxr", "mammography", "ct", "mri", "ultrasound"))} else 'Not reported' end modality,
+    case when {s_has(("vlm", "vision-language", "vision language", "multimodal", "vqg", "report generation"))} then 'Yes' else 'Not reported' end vlm,
+    case when {s_has(("retrieval-augmented", "retrieval augmented", "rag", "retrieve-then-generate"))} then 'Yes' else 'Not reported' end rag,
+    case when {S_REPORT} then 'Not reported' else {s_word(("classification", "detection", "segmentation", "retrieval", "captioning"), "Not reported")} end klass,
+    case when {S_REPORT} then 'report-generation' else {s_word(("captioning", "retrieval", "qa", "question answering", "triage", "classification"), "report-generation")} end task,
+    case when {s_has(("itm", "image-text matching", "itc", "contrastive"))} then case when contains(t, 'coverage') then 'ITM/ITC, coverage' else 'ITM/ITC' end when contains(t, 'coverage') then 'coverage' else 'Not reported' end objectives,
+    case when {s_has(("clip", "siglip", "contrast"))} then 'Contrastive'
+        when list_has_any(string_split(model, ', '), ['BLIP', 'BLIP2', 'BLIP-2', 'ALBEF']) or contains(t, 'cross-attention') then 'Encoder–Decoder'
+        when list_has_any(string_split(model, ', '), ['LLaVA', 'LLaMA', 'Q-Former', 'mPLUG']) or fusion = 'q-former' then 'Adaptered LLM (V+L)' when fusion = 'single-stream' then 'Single-stream Transformer'
+        when {s_has(("knowledge", "retrieval", "rag"))} then 'Knowledge-augmented' else 'Not reported' end family from m"""
+
+
+@query(GUESS)
 def guess_records(spark, sf_dir):
-    """Fields of a record by plain cues."""
-    g = mine.guess_record(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", *[g[c].alias(c) for c in ("model", "vision", "metrics", "modality", "vlm", "rag", "task", "objectives")])
+    """All fields of a record by plain cues."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return mine.guess_records(d, "text").select("doc_id", *mine.GUESSED)
 
 
 BANK = (("licen[sc]e", "L"), (" que ", "Q"), (" der ", "D"))
