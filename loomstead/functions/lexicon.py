@@ -1,8 +1,7 @@
 """Matching texts against ordered lists of (pattern, label).
 
-Patterns are literals in the plan, so each is compiled once. ``join_lexicon``
-takes the lexicon as a table; then patterns are compiled by row, and it's meant
-for lexicons of bounded size.
+Patterns are literals in the plan, so each is compiled once. Many of them at once
+are ``functions.literals``, lexicons in tables ``operators.lexicons``.
 """
 
 from __future__ import annotations
@@ -53,13 +52,6 @@ def find_all(text: Column, pattern: str, names: Mapping[str, str] | None = None)
     return F.array_sort(F.array_distinct(found))
 
 
-def join_lexicon(docs: DataFrame, lexicon: DataFrame, text: str, max_patterns: int = 10_000) -> DataFrame:
-    """Each document with each pattern that occurs in it. The lexicon's size is checked before it is sent everywhere."""
-    if lexicon.limit(max_patterns + 1).count() > max_patterns:
-        raise ValueError(f"the lexicon has more than {max_patterns} patterns")
-    return docs.join(F.broadcast(lexicon), F.expr(f"`{text}` rlike pattern"))
-
-
 def in_context(answer: Column, context: Column) -> Column:
     """Whether an answer occurs in its context, as written or with hyphens and spaces folded."""
     fold = lambda c: F.regexp_replace(F.lower(c), r"[\s_-]+", "")

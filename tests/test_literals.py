@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from loomstead.functions import literals, vocabulary
-from loomstead.operators import places, windows
+from loomstead.operators import lexicons, places, windows
 from loomstead.operators.extract import extract
 
 PATTERNS = [p for bank in (vocabulary.CLEAN_MODELS, vocabulary.CLEAN_VISION, vocabulary.CLEAN_FUSION, vocabulary.BACKFILL_OBJECTIVES) for p, _ in bank]
@@ -109,3 +109,21 @@ def test_records_against_slices(spark):
         for column, cues, field in (("Vision Enc", v.VISION, "vision"), ("Lang Dec", v.LANGUAGE, "language"), ("Objectives", v.OBJECTIVES, "objectives"), ("Fusion", v.FUSION, "fusion")):
             labels = [x for x, ps in cues.items() if any(any_of(v.ANCHORS[field], around(t, m.start(), 80)) for p in ps for m in re.finditer(p, t, re.I))]
             assert got[i][column] == ", ".join(sorted(labels, key=str.lower)), t
+
+
+def test_a_hundred_thousand_patterns(spark):
+    """Against nested loops over those that any text could meet; the others share no word with a text."""
+    rng = random.Random(6)
+    words = [f"w{i}q" for i in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(60)] + ["W7Q  w8q", None, "", "w7q w8q", "tab\tab 12"]
+    texts += texts[:2]
+    patterns = [rf"(?i)\b{words[rng.randrange(3000)]}\s+{words[rng.randrange(3000)]}\b" for _ in range(2000)] + [r"(?i)w7q\s+w8q", r"w7q\s", "[0-9]{2}", "^tab", "a|b", r"(?i)\p{Lu}w", "w1q|w2q|zzzz", "no part", None]
+    patterns += [rf"\b{a}.{{0,3}}{b}" for t in texts[:20] for a, b in [(t.split()[3], t.split()[4])]]
+    none = [rf"\bx{i}y[- ]?z{i}\b" for i in range(100_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = spark.createDataFrame([(p, "some") for p in patterns], "pattern string, label string").union(spark.createDataFrame([(p, "none") for p in none], "pattern string, label string"))
+    got = lexicons.join_lexicon(docs, lexicon, "text", block=3)
+    assert got.columns == ["doc_id", "text", "pattern", "label"]
+    loops = docs.join(lexicon.where("label = 'some'"), F.expr("text rlike pattern"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, loops.collect()))
+    assert lexicons.join_lexicon(docs, lexicon.limit(0), "text").count() == lexicons.join_lexicon(docs.limit(0), lexicon, "text").count() == 0
