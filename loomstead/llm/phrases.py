@@ -46,8 +46,8 @@ BLOCK = 1_000_000
 POINTERS = 1 << 20
 #: log2 of the bits in a bitmap.
 MAP_BITS = 26
-#: Buckets of prefixes for each partition; a task reads the pointers of one at a time.
-BUCKETS = 64
+#: Buckets of prefixes at least, and pointers that one holds on average at most; a task reads one at a time.
+BUCKETS, HELD = 4096, 1 << 19
 #: Parts of a language's candidates that are ranked apart first.
 PARTS = 64
 #: The score of a cut, exact beyond 64 bits.
@@ -359,7 +359,7 @@ def frequent_phrases(docs: DataFrame, work: Workspace, least: int = 30, most_poi
         begun = work.save(count_apart(docs, k, frequent, hot).where(F.col("n") >= least), f"apart{k}")
         known, apart = known.unionByName(begun), apart.unionByName(begun.where(F.col("n") > bound))
     frequent, hot = (_send(spark, Bitmap.of(t)) for t in (known, apart))
-    grown = work.save(grow_prefixes(pointers(docs, frequent, hot, parts * BUCKETS), parts, least), "grown")
+    grown = work.save(grow_prefixes(pointers(docs, frequent, hot, max(BUCKETS, n // HELD)), parts, least), "grown")
     return known.unionByName(grown), totals
 
 
