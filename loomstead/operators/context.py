@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import fresh
 from .retrieve import word_counts
+from .search import words
 
 
 def split_recursively(docs: DataFrame, doc_id: str, text: str, size: int = 1600, overlap: int = 800, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> DataFrame:
@@ -109,8 +110,9 @@ def blend(key: str, item: str, k: int, *ranked: DataFrame) -> DataFrame:
 
 def bm25_within(parts: DataFrame, key: str, order: str, text: str, terms: Sequence[str], k: int = 12, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(key, order, score, rank): the parts of each document that match best, min(6, max(3, k / 4)) at most; statistics are each document's own."""
-    n, counts = word_counts(F.regexp_replace(F.col(text), "\u0001", " "), list(terms))
-    d = parts.select(key, order, n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    (own,) = fresh(parts, "words")
+    n, counts = word_counts(F.col(own), list(terms))
+    d = parts.select(key, order, words(F.col(text)).alias(own)).select(key, order, n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     own = Window.partitionBy(key)
     d = d.withColumns({"parts": F.count(F.lit(1)).over(own), "mean": F.avg("n").over(own), **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0).over(own) for i in range(len(terms))}})
     score = F.lit(0.0)

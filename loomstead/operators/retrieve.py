@@ -13,6 +13,8 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import words
+
 
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, block: int = 65_536, exclude_self: bool = True) -> DataFrame:
     """(query, key, score, rank): the k rows with the highest dot product, by key on ties; scores are rounded to 9 digits first.
@@ -92,17 +94,19 @@ def mmr(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5,
 
 
 def word_counts(text: Column, terms: list[str]) -> tuple[Column, list[Column]]:
-    """How many words a text has, runs of a-z and 0-9 in lower case, and how often each term is one; no list of words is made."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    marked = F.regexp_replace(low, "[a-z0-9]+", "\u0001")
-    n = F.char_length(marked) - F.char_length(F.replace(marked, F.lit("\u0001"), F.lit("")))
-    return n, [F.size(F.split(low, f"(?<![a-z0-9])\\Q{t}\\E(?![a-z0-9])")) - 1 for t in terms]
+    """How many words a text has, runs of a-z and 0-9 in lower case, and how often each term is one; put the words into a column first."""
+    return F.size(text), [F.size(text) - F.size(F.array_remove(text, t)) for t in terms]
+
 
+def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], work: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(doc_id, score): BM25 of the documents that hold one of the terms; scores rounded to 6 digits.
 
-def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(doc_id, score): BM25 of the documents that hold one of the terms; scores rounded to 6 digits."""
-    n, counts = word_counts(F.regexp_replace(F.col(text), "\u0001", " "), terms)
-    d = docs.select(F.col(doc_id).alias("doc_id"), n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    Texts are read once: what is counted in them is written to ``work``, a new shared folder.
+    """
+    n, counts = word_counts(F.col("words"), terms)
+    d = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
+    d.select("doc_id", n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)]).write.parquet(work)
+    d = docs.sparkSession.read.parquet(work)
     total = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.join(F.broadcast(total))  # one row
     score = F.lit(0.0)
