@@ -1,74 +1,27 @@
 """Retrieval: exact similarity, maximal marginal relevance, BM25.
 
-Searches hold a stated query set against all rows: the queries, a block of bounded
-size at a time, are sent to the data, so the data never move; each partition
-keeps its best k for each query before anything is shuffled.
+Searches hold a stated query set against all rows, in blocks; each pair of blocks
+keeps its best k for each query before anything else is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import words
+from .vectors import QUERIES, ROWS, best_pairs, in_blocks, ranked
 
 
-def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, block: int = 65_536, exclude_self: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 10, block: int = QUERIES, exclude_self: bool = True) -> DataFrame:
     """(query, key, score, rank): the k rows with the highest dot product, by key on ties; scores are rounded to 9 digits first.
 
-    Queries are taken in blocks of ``block``, each of which is one pass over the
-    rows; within it scores are made for a thousand queries at a time.
+    Blocks of ``block`` queries meet blocks of rows as matrices, and each pair keeps the best k for each query;
+    neither side is gathered on the driver. Null vectors are left out. A store with cells is ``operators.vectors``.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def searching(ids: np.ndarray, matrix: np.ndarray):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys_of, score_of = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                keys = batch.column(0).to_numpy()
-                own = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
-                best_keys, best_scores = [], []
-                for at in range(0, len(ids), 1024):
-                    part = slice(at, at + 1024)
-                    s = np.round(matrix[part] @ own.T, 9)
-                    if exclude_self:
-                        s[keys == ids[part, None]] = -np.inf
-                    both = np.concatenate([score_of[part], s], axis=1)
-                    names = np.concatenate([keys_of[part], np.broadcast_to(keys, s.shape)], axis=1)
-                    if both.shape[1] > k:  # only what is no worse than the k-th is put in order
-                        row, column = np.nonzero(both >= -np.partition(-both, k - 1, axis=1)[:, k - 1 : k])
-                        order = np.lexsort((names[row, column], -both[row, column], row))
-                        row, column = row[order], column[order]
-                        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-                        column = column[kept].reshape(len(both), k)
-                        both, names = np.take_along_axis(both, column, 1), np.take_along_axis(names, column, 1)
-                    best_keys.append(names)
-                    best_scores.append(both)
-                keys_of, score_of = np.concatenate(best_keys), np.concatenate(best_scores)
-            ok = score_of > -np.inf
-            columns = [np.repeat(ids, ok.sum(axis=1)) if ok.size else ids[:0], keys_of[ok], score_of[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "key", "score"])
-
-        return search
-
-    found = None
-    rows_of = queries.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).toLocalIterator()
-    while found is None or part:
-        part = list(islice(rows_of, block))
-        if found is not None and not part:
-            break
-        ids, matrix = np.array([q[0] for q in part], np.int64), np.array([q[1] for q in part], float)
-        own = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
-        out = own.mapInArrow(searching(ids, matrix), "query long, key long, score double")
-        found = out if found is None else found.unionByName(out)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    of = lambda d: d.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.lit(0).alias("cell"))
+    asked, held = in_blocks(of(queries), block, "query").drop("cell"), in_blocks(of(rows), ROWS, "row").drop("cell")
+    return ranked(best_pairs(held.crossJoin(asked), k, exclude_self), k)
 
 
 def mmr(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, fetch_k: int = 24, weight: float = 0.5) -> DataFrame:
@@ -77,7 +30,7 @@ def mmr(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5,
     import pandas as pd
 
     near = top_k(queries, rows, key, vector, fetch_k)
-    near = near.join(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")), "key")
+    near = near.join(rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")), "key")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
@@ -90,7 +43,8 @@ def mmr(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5,
             picked.append(int(np.argmax(np.round(value, 9))))
         return pd.DataFrame({"query": group["query"].iloc[0], "key": group["key"].to_numpy()[picked], "rank": range(1, len(picked) + 1)})
 
-    return near.groupBy("query").applyInPandas(choose, "query long, key long, rank int")
+    kind = rows.schema[key].dataType.simpleString()
+    return near.groupBy("query").applyInPandas(choose, f"query {kind}, key {kind}, rank int")
 
 
 def word_counts(text: Column, terms: list[str]) -> tuple[Column, list[Column]]:

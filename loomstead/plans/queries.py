@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, missing, stats, tokens
-from ..operators import derive, evaluate, fuse, lexicons, profile, retrieve, search, windows
+from ..operators import derive, evaluate, fuse, lexicons, profile, retrieve, search, vectors, windows
 from .scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,15 +443,27 @@ def chunk_dedupe(spark, sf_dir):
 # --- retrieval ---------------------------------------------------------------------------------------
 
 
-@query("""with q as (select vec_id, embedding::double[] e from embeddings where vec_id % 100 = 0), s as (
+TOPK = """with q as (select vec_id, embedding::double[] e from embeddings where vec_id % 100 = 0), s as (
     select q.vec_id "query", r.vec_id key, round(list_dot_product(q.e, r.embedding::double[]), 9) score from q join embeddings r on r.vec_id <> q.vec_id)
-select "query", key, round(score, 6) score, row_number() over (partition by "query" order by score desc, key)::int rank from s qualify row_number() over (partition by "query" order by score desc, key) <= 10""")
+select "query", key, round(score, 6) score, row_number() over (partition by "query" order by score desc, key)::int rank from s qualify row_number() over (partition by "query" order by score desc, key) <= 10"""
+
+
+@query(TOPK)
 def topk_similarity(spark, sf_dir):
     """The ten nearest vectors of every hundredth."""
     v = table(spark, sf_dir, "embeddings")
     return retrieve.top_k(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
 
 
+@query(TOPK)
+def topk_indexed(spark, sf_dir):
+    """The same from a store in cells, written in two goes and searched the exact way."""
+    v, at = table(spark, sf_dir, "embeddings"), scratch(spark)
+    vectors.write_store(v.where("vec_id % 2 = 0"), "vec_id", "embedding", at)
+    vectors.append(v.where("vec_id % 2 = 1"), "vec_id", "embedding", at)
+    return vectors.search(v.where("vec_id % 100 = 0"), "vec_id", "embedding", at, scratch(spark)).withColumn("score", F.round("score", 6))
+
+
 @query("""with recursive v as (select vec_id id, embedding::double[] e from embeddings), s as (select q.id "query", r.id key, round(list_dot_product(q.e, r.e), 9) score from v q join v r on r.id <> q.id where q.id % 100 = 0),
 n as (select *, row_number() over (partition by "query" order by score desc, key) rank from s qualify row_number() over (partition by "query" order by score desc, key) <= 24),
 d as (select a."query", a.key a, b.key b, list_dot_product(x.e, y.e) dot from n a join n b on a."query" = b."query" join v x on x.id = a.key join v y on y.id = b.key),
