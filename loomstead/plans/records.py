@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, vocabulary as v
 from ..functions.tokens import move_tokens, split_multi
-from ..operators import context, derive, fuse, mine, normalize, profile, report, windows
+from ..operators import context, derive, fuse, mine, normalize, numbering, profile, report, windows
 from .queries import query, table
+from .scratch import scratch
 
 CELLS = {
     "model": ("", "blip-2 + ViT", "LLaVA; vicuna", "Transformer", "my gpt-4 net", "Not reported", "albef and ALBEF"),
@@ -587,5 +588,4 @@ def union_of_columns(spark, sf_dir):
 def estimates_in_order(spark, sf_dir):
     """Estimates from the lowest on."""
     c = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    rows = report.estimates_in_order(c, "mean", "field").collect()  # a row for each field
-    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "field string, n long, mean double, rank int")
+    return numbering.numbered(c, scratch(spark), "mean", "field", name="rank").withColumn("rank", F.col("rank").cast("int"))

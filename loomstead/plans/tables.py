@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, tokens
 from ..functions import vocabulary as v
-from ..operators import evaluate, extract, fuse, report, windows
+from ..operators import evaluate, extract, fuse, numbering, report, windows
 from ..sources import readers, writers
 from ..streaming import windowed_counts
 from .queries import query, table
@@ -128,8 +128,26 @@ def last_row_wins(spark, sf_dir):
 select place::int place, n_name, r_name from a full join b using (place)""")
 def rows_by_position(spark, sf_dir):
     """Rows of two tables side by side by their place."""
-    out = report.by_position(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "n_nationkey", "r_regionkey")
-    return out.select("place", F.col("a.n_name").alias("n_name"), F.col("b.r_name").alias("r_name"))
+    n, r = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    out = numbering.by_position(n, r, "n_nationkey", "r_regionkey", scratch(spark))
+    return out.select(F.col("place").cast("int").alias("place"), F.col("a.n_name").alias("n_name"), F.col("b.r_name").alias("r_name"))
+
+
+@query("""with a as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) place from orders), b as (select l_orderkey, l_linenumber, row_number() over (order by l_shipdate, l_orderkey, l_linenumber) place from lineitem)
+select place, o_orderkey, l_orderkey, l_linenumber from a full join b using (place)""")
+def tables_by_position(spark, sf_dir):
+    """Orders by date beside lines by date, as far as either goes."""
+    o = table(spark, sf_dir, "orders").select(F.struct("o_orderdate", "o_orderkey").alias("at"))
+    n = table(spark, sf_dir, "lineitem").select(F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"))
+    out = numbering.by_position(o, n, "at", "at", scratch(spark))
+    return out.select("place", "a.at.o_orderkey", "b.at.l_orderkey", "b.at.l_linenumber")
+
+
+@query("select l_orderkey, l_linenumber, row_number() over (order by l_extendedprice desc, l_quantity desc, l_orderkey, l_linenumber) place from lineitem")
+def ranked_by_two_columns(spark, sf_dir):
+    """Lines by price and quantity, the highest first, with their places."""
+    n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return numbering.numbered(n, scratch(spark), F.desc("l_extendedprice"), F.desc("l_quantity"), "l_orderkey", "l_linenumber").drop("l_extendedprice", "l_quantity")
 
 
 @query("""with a as (select unnest(['p_brand', 'p_size']) field, unnest([count_if(p_brand is null), 0]) missing_a, unnest([count(distinct p_brand), count(distinct p_size)]) unique_a from part),
