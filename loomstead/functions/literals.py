@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon
+from .names import let
 
 #: Capitals and letters beyond ASCII that a pattern without regard to case takes for a plain letter.
 _FOLDED = ("İıſK", "iisk")
@@ -146,7 +147,7 @@ class Lexicons:
     def entries(self, found: Column) -> Column:
         """The patterns that may occur: one of their plain parts does, or they have none."""
         rows = F.from_json(F.lit(json.dumps(self.rows)), f"array<{ENTRY}>")
-        return F.filter(rows, lambda r: (F.size(r["parts"]) == 0) | F.arrays_overlap(found, r["parts"]))
+        return let(found, lambda own: F.filter(rows, lambda r: (F.size(r["parts"]) == 0) | F.arrays_overlap(own, r["parts"])))
 
     def hits(self, found: Column, text: Column) -> Column:
         """(field, label) of the patterns that occur, in their lists' order."""

@@ -1,8 +1,11 @@
-"""Names for helper columns."""
+"""Names for helper columns, and for parts of expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -14,3 +17,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """An expression that reads another more than once, or from within a loop, and makes it once.
+
+    A column of an earlier projection doesn't do: the optimizer may put its expression into the loop.
+    """
+    return F.element_at(F.transform(F.array(x), f), 1)

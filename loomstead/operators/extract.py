@@ -1,7 +1,7 @@
 """A metadata record from a text by cues, with anchors where a cue alone says too little.
 
 One pass over the texts gives the labels that need no place, another the places of
-cues and anchors as rows, which meet by cells of the texts (``operators.places``).
+cues and anchors as rows, which meet in a sweep over them (``operators.places``).
 Everything is expressions; texts are never moved. "strict" looks 80 characters
 around a cue, "hybrid" 140, and hybrid takes weaker cues for modality and task.
 """

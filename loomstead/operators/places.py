@@ -1,10 +1,10 @@
 """Where patterns stand in texts, as rows, and which of them stand near each other.
 
 One pass gives (document, kind, label, place) by expressions; only texts with a
-plain part of a pattern are searched for it. What is near what is an equi join
-over cells of the texts: a place goes to the cells that its surroundings touch, an
-anchor to the one where it begins, and a cell of a document meets in one group,
-whose size the width bounds. So a long text is many groups, and nothing is read twice.
+plain part of a pattern are searched for it. What is near what comes from one sweep
+over each document's places from its end: of all anchors that begin no earlier than
+a cue's surroundings, the one that ends first tells whether any lies within them. So
+cues and anchors meet by sorting, whatever their number, and no text is moved.
 
 Surroundings are text cut out on both sides of a place; an anchor counts if a
 search in that cut would find it. Anchors that only the cut makes whole words are
@@ -18,24 +18,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import Lexicons
-from ..functions.names import fresh
+from ..functions.names import fresh, let
 
 #: Numbers of an array that are summed at once, and characters of a text's parts.
 RUN, PART = 256, 1024
 KEY = ["key1", "key2"]
 
 
-def let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """An expression that reads another more than once, which is made once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def sums_before(numbers: Column) -> Column:
     """For each number of an array the sum of those before it; the work is linear but for a small factor."""
 
@@ -91,7 +86,6 @@ def nearby(docs: DataFrame, doc_id: str, text: str, cues: Mapping[str, Mapping[s
     found, looked = fresh(docs, "found", "looked")
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(*keys(doc_id, text), t.alias("text"), own.terms_in(t).alias(found)).withColumn(looked, own.entries(F.col(found)))
-    d = d.where(F.size(looked) > 0)
     kinds = [
         {"field": f, "kind": k, "pattern": f"(?iu){_either(ps)}", "each": [f"(?iu){p}" for p in ps], "n": _longest(ps, width)} for f, of in anchors.items() for k, ps in of.items()
     ]
@@ -99,12 +93,17 @@ def nearby(docs: DataFrame, doc_id: str, text: str, cues: Mapping[str, Mapping[s
     fields = F.array_distinct(F.transform(looked, lambda r: r["field"]))
     anchored = F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(fields, r["field"])), lambda r: F.transform(r["each"], lambda p: F.struct(r["field"].alias("field"), r["kind"].alias("kind"), F.lit(None).cast("string").alias("label"), p.alias("pattern")))))
     asked = F.concat(F.transform(looked, lambda r: F.struct(r["field"].alias("field"), F.lit(None).cast("string").alias("kind"), r["label"].alias("label"), r["pattern"].alias("pattern"))), anchored)
-    each = d.select(*KEY, "text", in_parts(F.col("text")).alias("parts"), F.explode(asked).alias("a")).select(*KEY, "text", "parts", "a.*")
-    each = each.withColumn("p", F.explode(places(F.col("text"), F.col("pattern")))).select(*KEY, "field", "kind", "label", "p.st", "p.en", "parts", F.char_length("text").alias("size"))
-    # a cue is asked for each kind of its field, and whether one stands at an end of its surroundings
-    cue = F.transform(F.filter(table, lambda r: r["field"] == F.col("field")), lambda r: F.struct(r["kind"].alias("kind"), _at_the_ends(F.col("parts"), F.col("st"), F.col("size"), r, width).alias("edge")))
-    asking = F.when(F.col("label").isNotNull(), cue).otherwise(F.array(F.struct(F.col("kind").alias("kind"), F.lit(False).alias("edge"))))
-    return meet(each.select(*KEY, "field", "label", "st", "en", F.explode(asking).alias("k")).select(*KEY, "field", "label", "st", "en", "k.kind", "k.edge"), width)
+    each = d.select(*KEY, "text", in_parts(F.col("text")).alias("parts"), asked.alias("asked")).select(*KEY, "text", "parts", F.explode("asked").alias("a")).select(*KEY, "text", "parts", "a.*")
+
+    def put(p: Column) -> Column:
+        # a cue is asked for each kind of its field, and whether one stands at an end of its surroundings
+        own = F.filter(table, lambda r: r["field"] == F.col("field"))
+        cue = F.transform(own, lambda r: F.struct(r["kind"].alias("kind"), _at_the_ends(F.col("parts"), p["st"], F.char_length("text"), r, width).alias("edge")))
+        asking = F.when(F.col("label").isNotNull(), cue).otherwise(F.array(F.struct(F.col("kind").alias("kind"), F.lit(False).alias("edge"))))
+        return F.transform(asking, lambda k: F.struct(p["st"].alias("st"), p["en"].alias("en"), k["kind"].alias("kind"), k["edge"].alias("edge")))
+
+    rows = F.flatten(F.transform(places(F.col("text"), F.col("pattern")), put))
+    return meet(each.select(*KEY, "field", "label", F.explode(rows).alias("p")).select(*KEY, "field", "label", "p.*"), width)
 
 
 def _at_the_ends(parts: Column, st: Column, size: Column, kind: Column, width: int) -> Column:
@@ -123,13 +122,9 @@ def keys(doc_id: str, text: str) -> list[Column]:
 
 def meet(each: DataFrame, width: int) -> DataFrame:
     """Cues (with a label) and anchors (without) of documents, as (field, kind, label, st, en, edge): the kinds near each cue."""
-    cell = F.floor(F.col("st") / width)
-    cells = F.when(F.col("label").isNull(), F.array(cell)).otherwise(F.array(cell - 1, cell, cell + 1))
-    spread = each.withColumn("cell", F.explode(cells))
-    place = F.struct("label", "st", "edge")
-    groups = spread.groupBy(*KEY, "field", "kind", "cell").agg(
-        F.collect_set(F.when(F.col("label").isNotNull(), place)).alias("cues"), F.collect_set(F.when(F.col("label").isNull(), F.struct("st", "en"))).alias("anchors")
-    )
-    near = lambda c: F.exists("anchors", lambda a: (a["st"] >= c["st"] - width) & (a["en"] <= c["st"] + width))
-    met = groups.select(*KEY, "field", "kind", F.explode(F.transform("cues", lambda c: F.struct(c["label"].alias("label"), c["st"].alias("st"), (c["edge"] | near(c)).alias("near")))).alias("c"))
-    return met.groupBy(*KEY, "field", "c.label", "c.st").agg(F.collect_set(F.when(F.col("c.near"), F.col("kind"))).alias("kinds"))
+    cue = F.col("label").isNotNull()
+    at = each.withColumn("at", F.when(cue, F.col("st") - width).otherwise(F.col("st")))
+    sweep = Window.partitionBy(*KEY, "field", "kind").orderBy(F.desc("at"), cue).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = at.withColumn("ends", F.min(F.when(~cue, F.col("en"))).over(sweep)).where(cue)
+    near = F.col("edge") | F.coalesce(F.col("ends") <= F.col("st") + width, F.lit(False))
+    return ends.groupBy(*KEY, "field", "label", "st").agg(F.collect_set(F.when(near, F.col("kind"))).alias("kinds"))

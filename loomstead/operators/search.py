@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .places import let
+from ..functions.names import let
 
 #: Documents in a block, parts of the index, and tasks that write one part.
 BLOCK, PARTS, SPREAD = 128, 64, 4

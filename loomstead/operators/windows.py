@@ -48,7 +48,7 @@ def merge_spans(spans: DataFrame, key: str = "doc_id", gap: int = 50) -> DataFra
 def anchored(docs: DataFrame, doc_id: str, text: str, cues: dict[str, str], anchors: str, width: int = 80) -> DataFrame:
     """(doc_id, labels): labels of which some cue begins with an anchor wholly within ``width`` characters on either side.
 
-    Labels come in the order of ``cues``. Places of cues and anchors are rows that meet by cells of the texts.
+    Labels come in the order of ``cues``. Places of cues and anchors are rows that meet in a sweep over them.
     """
     near = nearby(docs, doc_id, text, {"": {k: [p] for k, p in cues.items()}}, {"": {"": [anchors]}}, width)
     found = near.where(F.size("kinds") > 0).groupBy(*KEY).agg(F.collect_set("label").alias("found"))
