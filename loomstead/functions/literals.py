@@ -33,8 +33,19 @@ def required(pattern: str) -> frozenset[str]:
     return frozenset(_parts(re._parser.parse(pattern, re.I)) or ())
 
 
+def required_each(pattern: str, least: int = 2) -> list[frozenset[str]]:
+    """Several sets of plain parts of at least some length; every match of a pattern holds one part of each set."""
+    return [frozenset(c) for c in {frozenset(c) for c in _choices(re._parser.parse(pattern, re.I))} if min(map(len, c)) >= least]
+
+
 def _parts(items) -> set[str] | None:
     """The best parts of a sequence: those whose shortest is the longest."""
+    best = max(_choices(items), key=lambda c: (min(map(len, c)), -len(c)))
+    return best if min(map(len, best)) else None
+
+
+def _choices(items) -> list[set[str]]:
+    """Sets of parts of a sequence, of each of which a match has one; an empty part stands for anything."""
     choices: list[set[str]] = []
     run: list = []  # the plain letters up to here
     for op, arg in items:
@@ -58,8 +69,7 @@ def _parts(items) -> set[str] | None:
         choices += [{_spelled(run)}, inner or {""}]
         run = []
     choices.append({_spelled(run)})
-    best = max(choices, key=lambda c: (min(map(len, c)), -len(c)))
-    return best if min(map(len, best)) else None
+    return choices
 
 
 def _letter(kind: str, arg) -> tuple | None:

@@ -308,16 +308,15 @@ def lexicon_join(spark, sf_dir):
     return lexicons.join_lexicon(table(spark, sf_dir, "documents"), lex, "text").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with w as (select item_id, regexp_split_to_array(lower("text"), '[^a-z]+') ws from benchmark), g as (select item_id, unnest(range(1, len(ws) - 1)) i, ws from w),
-p as (select distinct item_id, concat('(?:^|[^a-z])', ws[i], '[^a-z]+', ws[i + 1], '[^a-z]+', ws[i + 2], '(?:[^a-z]|$)') pattern from g where ws[i] <> '' and ws[i + 1] <> '' and ws[i + 2] <> ''),
+@query("""with w as (select item_id, list_filter(regexp_split_to_array(lower("text"), '[^a-z]+'), lambda x: x <> '')[1:4] ws from benchmark),
+p as (select distinct item_id, concat('(?:^|[^a-z])', array_to_string(ws, '[^a-z]+'), '(?:[^a-z]|$)') pattern from w where len(ws) = 4),
 u as (select distinct pattern from p), h as (select doc_id, pattern from documents, u where regexp_matches(lower("text"), pattern))
 select item_id, count(distinct doc_id) documents, count(*) hits from p join h using (pattern) group by item_id""")
 def lexicon_index(spark, sf_dir):
-    """A lexicon table with a pattern for any three words in a row of a benchmark item, against all documents: how many each item meets."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), "[^a-z]+").alias("ws"))
-    three = F.transform(F.sequence(F.lit(0), F.size("ws") - 3), lambda i: F.slice("ws", i + 1, F.lit(3)))
-    each = words.where("size(ws) > 2").select("item_id", F.explode(F.filter(three, lambda w: ~F.array_contains(w, ""))).alias("w"))
-    patterns = each.select("item_id", F.concat(F.lit("(?i)(?:^|[^a-z])"), F.array_join("w", "[^a-z]+"), F.lit("(?:[^a-z]|$)")).alias("pattern")).distinct()
+    """A lexicon table with a pattern for the first four words of each benchmark item, against all documents: how many each item meets."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""), 1, 4).alias("ws"))
+    pattern = F.concat(F.lit("(?i)(?:^|[^a-z])"), F.array_join("ws", "[^a-z]+"), F.lit("(?:[^a-z]|$)"))
+    patterns = words.where("size(ws) = 4").select("item_id", pattern.alias("pattern")).distinct()
     found = lexicons.join_lexicon(table(spark, sf_dir, "documents").select("doc_id", "text"), patterns, "text")
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("hits"))
 

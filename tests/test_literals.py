@@ -122,8 +122,11 @@ def test_a_hundred_thousand_patterns(spark):
     none = [rf"\bx{i}y[- ]?z{i}\b" for i in range(100_000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lexicon = spark.createDataFrame([(p, "some") for p in patterns], "pattern string, label string").union(spark.createDataFrame([(p, "none") for p in none], "pattern string, label string"))
+    lexicon = lexicon.union(lexicon.limit(3))  # repeated rows
+    loops = sorted(map(tuple, docs.join(lexicon.where("label = 'some'"), F.expr("text rlike pattern")).collect()))
     got = lexicons.join_lexicon(docs, lexicon, "text", block=3)
     assert got.columns == ["doc_id", "text", "pattern", "label"]
-    loops = docs.join(lexicon.where("label = 'some'"), F.expr("text rlike pattern"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, loops.collect()))
+    assert sorted(map(tuple, got.collect())) == loops and len(loops) > 50
+    # a table that fits into one expression gives the same rows
+    assert sorted(map(tuple, lexicons.join_lexicon(docs, lexicon.where("label = 'some'"), "text").collect())) == loops
     assert lexicons.join_lexicon(docs, lexicon.limit(0), "text").count() == lexicons.join_lexicon(docs.limit(0), lexicon, "text").count() == 0
