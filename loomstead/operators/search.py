@@ -1,11 +1,11 @@
 """A stored index of words, and the best documents for each query of a table.
 
-The index has a row for each word of each document, in parts by the word's hash and
-sorted, and for each word and block of documents the most that the word can add to
-a score there. A search first scores each query's most promising blocks, which
-gives a score that its k-th best document has at least; blocks whose words
-together can't reach it are never read. All queries go through at once, by equi
-joins on word and block.
+The documents are cut into blocks as they are read. The index has a row for each
+word of each block: which of the block's documents hold it how often, and the most
+that it can add to a score there; rows lie in parts by the word's hash, sorted. A
+search first scores each query's most promising blocks, which gives a score that its
+k-th best document has at least; blocks whose words together can't reach it are
+never read. All queries go through at once, by equi joins on word and block.
 
 Rows: each row is a document of its own, also where ids repeat; null texts have no
 words but count as documents; ids keep their type; an empty table or query gives
@@ -14,13 +14,19 @@ nothing; equal scores (rounded to 6 digits) go by id.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from ..functions.names import let
+from pyspark.sql import types as T
 
 #: Documents in a block, parts of the index, and tasks that write one part.
-BLOCK, PARTS, SPREAD = 128, 64, 4
+BLOCK, PARTS, SPREAD = 256, 64, 4
+_WORD = re.compile("[a-z0-9]+")
 
 
 def words(text: Column) -> Column:
@@ -28,40 +34,62 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def counted(w: Column) -> Column:
-    """Array of (term, tf): each different word of a list, and the empty word once, so that each document has a row."""
-    none = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
+def part_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
-    def runs(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(begins, lambda b: F.transform(b, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).alias("tf"))))
 
-    return let(F.sort_array(w), lambda s: F.when(F.size(s) > 0, F.concat(none, runs(s))).otherwise(none))
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
 
 
-def part_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def _block(ids: pa.Array, rows: pa.Array, texts: list[str | None], schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of one block; the empty word's row has its documents and how many words each has."""
+    counts = [Counter(_WORD.findall((t or "").lower())) for t in texts]
+    n = np.array([c.total() for c in counts], np.int64)
+    number: dict[str, int] = {}
+    code = np.array([number.setdefault(w, len(number)) for c in counts for w in c], np.int64)
+    at, tf = np.repeat(np.arange(len(counts)), [len(c) for c in counts]), np.array([x for c in counts for x in c.values()], np.int64)
+    order = np.argsort(code, kind="stable")
+    at, tf = at[order], tf[order]
+    starts = np.r_[0, np.cumsum(np.bincount(code, minlength=len(number)))].astype(np.int64) if len(number) else np.zeros(1, np.int64)
+    pieces = len(number) + 1
+    reduced = lambda f, x: f.reduceat(x, starts[:-1]) if len(number) else np.zeros(0, np.int64)
+    kinds = [
+        pa.array(["", *number], pa.string()), pa.array([rows[0].as_py()] * pieces, pa.int64()), pa.array(np.r_[len(n), np.diff(starts)], pa.int64()), pa.array(np.r_[0, reduced(np.maximum, tf)], pa.int32()),
+        pa.array(np.r_[n.min(), reduced(np.minimum, n[at])], pa.int32()), pa.array(np.r_[n.sum(), np.zeros(len(number), np.int64)], pa.int64()),
+        _lists(np.r_[np.arange(len(n)), at], np.r_[0, len(n) + starts]), _lists(np.r_[n, tf], np.r_[0, len(n) + starts]),
+        pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * pieces], pa.int32()), ids),
+    ]
+    return pa.RecordBatch.from_arrays(kinds, schema=schema)
 
 
 def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
     """Write the index of all documents to a folder; what is there is replaced."""
-    own = docs.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("w"), F.monotonically_increasing_id().alias("row"))
-    each = own.select("doc", "row", F.size("w").alias("n"), F.explode(counted(F.col("w"))).alias("t"))
-    rows = each.select(part_of(F.col("t.term")).alias("part"), "t.term", F.floor(F.col("row") / BLOCK).alias("block"), "row", "doc", "t.tf", "n")
-    rows = rows.repartition(PARTS * SPREAD, "part", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("part", "term", "row")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = docs.schema[doc_id].dataType
+    fields = [("term", T.StringType()), ("block", T.LongType()), ("documents", T.LongType()), ("tf", T.IntegerType()), ("n", T.IntegerType()), ("words", T.LongType()), ("at", T.ArrayType(T.IntegerType())), ("often", T.ArrayType(T.IntegerType())), ("ids", T.ArrayType(kind))]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    arrow = to_arrow_schema(schema)
+    size = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, size):
+                ids, rows, texts = (batch.column(i).slice(begin, size) for i in range(3))
+                yield _block(ids, rows, texts.to_pylist(), arrow)
+
+    own = docs.select(F.col(doc_id).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    rows = own.mapInArrow(run, schema).withColumn("part", part_of(F.col("term")))
+    rows = rows.repartition(PARTS * SPREAD, "part", F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("part", "term", "block")
     rows.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{path}/postings")
-    rows.limit(0).write.mode("overwrite").parquet(f"{path}/columns")  # an empty index has no other file that tells them
-    kept = _postings(docs.sparkSession, path)
-    most = kept.groupBy("part", "term", "block").agg(F.count(F.lit(1)).alias("documents"), F.max("tf").alias("tf"), F.min("n").alias("n"), F.sum("n").alias("words"))
-    most.repartition(PARTS, "part").sortWithinPartitions("part", "term", "block").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{path}/maxima")
-
+    rows.limit(0).drop("part").write.mode("overwrite").parquet(f"{path}/columns")  # an empty index has no other file that tells them
 
-def _postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/postings")
 
-
-def _maxima(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, block long, documents long, tf int, n int, words long, part int").parquet(f"{path}/maxima")
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index's rows."""
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(T.StructType([*columns, T.StructField("part", T.IntegerType())])).parquet(f"{path}/postings")
 
 
 def gain(idf: Column, tf: Column, n: Column, mean: float, k1: float, b: float) -> Column:
@@ -74,11 +102,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, work: str, k: int
 
     ``work`` is a new shared folder; what the search finds about blocks is written there.
     """
-    postings, maxima = _postings(spark, path), _maxima(spark, path)
+    index = open_index(spark, path)
     asked = queries.select("query", "term").where("term <> ''").distinct().withColumn("part", part_of(F.col("term")))
     empty = spark.range(1).select(part_of(F.lit("")).alias("p")).first()["p"]
-    every = maxima.where((F.col("part") == empty) & (F.col("term") == "")).agg(F.sum("documents").alias("n"), F.sum("words").alias("words")).first()
+    held = index.where((F.col("part") == empty) & (F.col("term") == ""))
+    every = held.agg(F.sum("documents").alias("n"), F.sum("words").alias("words")).first()
     n, mean = every["n"] or 0, max((every["words"] or 0) / max(every["n"] or 0, 1), 1e-9)
+    maxima = index.select("part", "term", "block", "documents", "tf", "n")
     often = maxima.join(asked.select("part", "term").distinct(), ["part", "term"]).groupBy("part", "term").agg(F.sum("documents").alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked.join(often, ["part", "term"]).select("query", "part", "term", idf.alias("idf")).write.parquet(f"{work}/asked")
@@ -87,14 +117,18 @@ def search(spark: SparkSession, path: str, queries: DataFrame, work: str, k: int
     maxima.join(asked, ["part", "term"]).groupBy("query", "block").agg(bound).write.parquet(f"{work}/bounds")
     bounds = spark.read.parquet(f"{work}/bounds")
 
+    lengths = held.select("block", F.explode(F.arrays_zip("at", F.col("often").alias("n"), F.col("ids").alias("doc"))).alias("d")).select("block", "d.*")
+
     def scored(blocks: DataFrame) -> DataFrame:
-        met = blocks.select("query", "block").join(asked, "query").join(postings, ["part", "term", "block"])
-        score = F.round(F.sum(gain(F.col("idf"), F.col("tf"), F.col("n"), mean, k1, b)), 6)
-        return met.groupBy("query", "row", "doc").agg(score.alias("score"))
+        met = blocks.select("query", "block").join(asked, "query").join(index.select("part", "term", "block", "at", "often"), ["part", "term", "block"])
+        each = met.select("query", "block", "idf", F.explode(F.arrays_zip("at", "often")).alias("p")).select("query", "block", "idf", "p.*")
+        found = each.join(lengths, ["block", "at"])
+        score = F.round(F.sum(gain(F.col("idf"), F.col("often"), F.col("n"), mean, k1, b)), 6)
+        return found.groupBy("query", "block", "at", "doc").agg(score.alias("score"))
 
     best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
     first = bounds.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= probe)
-    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "doc", "row")
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "doc", "block", "at")
     least = scored(first).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("query", F.col("score").alias("least"))
     open_ = bounds.join(least, "query", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least")))
     return scored(open_).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query", "rank", "doc", "score")

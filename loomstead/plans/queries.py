@@ -488,16 +488,16 @@ def bm25(spark, sf_dir):
 
 @query("""with w as (select doc_id, unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) term from documents), d as (select doc_id, len(regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9]+')) n from documents),
 a as (select count(*)::double docs, avg(n) mean from d), t as (select doc_id, term, count(*)::double tf from w group by all), f as (select term, count(*)::double df from t group by term),
-q as (select distinct item_id "query", unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) term from benchmark),
+q as (select distinct item_id "query", unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) term from benchmark), l as (select * from q where length(term) > 5),
 s as (select "query", doc_id doc, round(sum(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * n / mean))), 6) score
-    from q join f using (term) join t using (term) join d using (doc_id), a group by all)
+    from l join f using (term) join t using (term) join d using (doc_id), a group by all)
 select "query", row_number() over (partition by "query" order by score desc, doc)::int as "rank", doc, score from s qualify row_number() over (partition by "query" order by score desc, doc) <= 10""")
 def bm25_index(spark, sf_dir):
-    """The ten documents that match each benchmark item best, from a stored index of words."""
+    """The ten documents that match the longer words of each benchmark item best, from a stored index of words."""
     at = scratch(spark)
     search.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", at)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(search.words(F.col("text"))).alias("term"))
-    return search.search(spark, at, items, scratch(spark), 10)
+    return search.search(spark, at, items.where("char_length(term) > 5"), scratch(spark), 10)
 
 
 # --- keys and profiles ---------------------------------------------------------------------------------
