@@ -48,7 +48,7 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_clean(spark: SparkSession, a: argparse.Namespace) -> None:
     df = readers.read_csv(spark, a.table, fill=True)
     d = df.select(F.col(f"`{a.key}`").alias("key"), F.monotonically_increasing_id().alias("ordinal"), *[(F.col(f"`{c}`") if c in df.columns else F.lit("")).alias(n) for c, n in NAMES.items()])
-    out = normalize.clean(d, "key", coarse=a.coarse)
+    out = normalize.clean(d, "key", coarse=a.coarse, primary_only=a.primary_model_only)
     if a.mask:
         mask = readers.read_keyed(spark, a.mask).select("key", F.col("RAG").alias("mask"))
         out = fuse.backfill(out, mask, "key", "rag", F.when(F.col("mask").isin("1", "1.0", "true", "True", "yes", "Yes", "Y", "y"), "Yes"))
@@ -125,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
 
     add("extract", run_extract, "texts").add_argument("--mode", default="strict", choices=["strict", "hybrid"])
     p = add("clean", run_clean, "table")
+    p.add_argument("--primary-model-only", action="store_true", help="the named family alone, or else the first token, as the model")
     p.add_argument("--mask")
     p.add_argument("--coarse", action="store_true")
     p.add_argument("--best", action="store_true")

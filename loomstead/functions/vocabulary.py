@@ -213,6 +213,43 @@ CLEAN_RAG = (
     r"\bdoc(ument)?[-\s]?retrieval\b", r"\bdense[-\s]?retrieval\b", r"\bretriever\b",
 )
 
+#: Cues of retrieval in a record's other cells.
+RAG_STRONG_CUES = (
+    r"\bretrieval[- ]?augmented(?: generation)?\b",
+    r"\bretrieve[- ]?augmented(?: generation)?\b",
+    r"\brag\b",
+    r"\bretriever(s)?\b",
+    r"\bevidence[- ]?retrieval\b",
+    r"\bknowledge[- ]?(base|bank|retrieval)\b",
+    r"\bmemory\b.*\b(index|retrieve|retrieval)\b",
+    r"\bnearest[- ]?neighbor(s)?\b",
+    r"\bk[- ]?nn\b",
+    r"\btemplate[- ]?retrieval\b",
+    r"\breport[- ]?retrieval\b",
+    r"\bcase[- ]?retrieval\b",
+    r"\brerank(er)?\b|\bre[- ]?rank(er)?\b",
+    r"\bbm25\b",
+    r"\bfaiss\b",
+    r"\bvector[- ]?(db|store|index)\b",
+    r"\bdense[- ]?retrieval\b",
+    r"\bdoc(ument)?[- ]?retrieval\b",
+    r"\bretrieve[- ]?then[- ]?read\b",
+)
+#: Denials of retrieval, in any cell.
+RAG_NEG_CUES = (r"\bno\b.*\bretriev", r"\bwithout\b.*\bretriev", r"\bnon[- ]?retrieval\b")
+#: Columns that may tell of retrieval, of those a record has.
+RAG_TELLING = ("file", "title", "abstract", "model", "family", "objectives", "fusion", "task", "notes", "method", "approach", "system", "language", "vision")
+#: Parts of a model's or family's name that make a record a VLM's.
+VLM_FAMILY_KEYS = ("albef", "blip-2", "blip", "flamingo", "llava-med", "llava", "minigpt-4", "instructblip", "otter", "xraygpt", "pali-x", "pali", "kosmos-1", "simvlm", "ofa")
+#: What a model's name alone doesn't tell, which family goes first, and the objectives of families, the first that occurs.
+GENERIC_MODELS = ("transformer", "cnn", "rnn", "cnn-rnn", "bert", "roberta", "t5", "lstm", "gru")
+PRIMARY_FAMILIES = ("LLaVA", "BLIP-2", "BLIP", "ALBEF", "Flamingo", "MiniGPT-4", "InstructBLIP", "Otter", "XrayGPT", "PaLI-X", "PaLI", "Kosmos-1", "SimVLM", "OFA", "CLIP")
+FAMILY_OBJECTIVES = (
+    ("albef", "contrastive, ITM"), ("blip-2", "contrastive, ITM"), ("blip", "contrastive, ITM"), ("flamingo", "ITM"), ("llava", "contrastive"), ("llava-med", "contrastive"), ("minigpt-4", "contrastive"),
+    ("otter", "contrastive"), ("xraygpt", "contrastive"), ("cxr-irgen", "contrastive, ITM"), ("token-mixer", "contrastive, ITM"), ("pairaug", "contrastive, ITM"), ("instructblip", "contrastive, ITM"),
+    ("pali-x", "contrastive, ITM"), ("pali", "contrastive, ITM"), ("simvlm", "ITM"), ("ofa", "ITM"),
+)
+
 # --- Exact spellings (lower case) and their labels --------------------------------------------------------
 
 DATASET_NAMES = {

@@ -11,30 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import Lexicon, first_label
-from ..functions.missing import is_missing
+from ..functions import vocabulary as v
+from ..functions.lexicon import Lexicon, any_match, first_label
+from ..functions.literals import trie
+from ..functions.missing import is_missing, norm
 from ..functions.names import fresh
 from ..functions.tokens import split_multi
 
 NOT_APPLICABLE = "Not applicable"
-#: Fixed values of the rules: what a model's name alone doesn't tell, which family goes first, and the objectives of families (the first that occurs).
-GENERIC = ("Transformer", "transformer", "cnn", "rnn", "cnn-rnn", "bert", "roberta", "t5", "lstm", "gru")
-PRIMARY = ("LLaVA", "BLIP-2", "BLIP", "ALBEF", "Flamingo", "MiniGPT-4", "InstructBLIP", "Otter", "XrayGPT", "PaLI-X", "PaLI", "Kosmos-1", "SimVLM", "OFA", "CLIP")
-OBJECTIVES = (
-    ("albef", "contrastive, ITM"), ("blip-2", "contrastive, ITM"), ("blip", "contrastive, ITM"), ("flamingo", "ITM"), ("llava", "contrastive"), ("minigpt-4", "contrastive"),
-    ("otter", "contrastive"), ("xraygpt", "contrastive"), ("cxr-irgen", "contrastive, ITM"), ("token-mixer", "contrastive, ITM"), ("pairaug", "contrastive, ITM"),
-    ("pali-x", "contrastive, ITM"), ("pali", "contrastive, ITM"), ("simvlm", "ITM"), ("ofa", "ITM"),
-)
-#: An encoder counts as CLIP if none of those before it occurs in its name.
-ENCODERS = ((r"\bvision transformer\b|\bvit\b|\bvitb/?16\b|\bvanilla image transformer\b", "ViT"), (r"\bswin\b", "Swin"), (r"\bclip\b", "CLIP"))
-#: Columns that may tell of retrieval, of those a record has.
-TELLING = "file title abstract model family objectives fusion task notes method approach system language vision".split()
-RETRIEVAL = (
-    r"\brag\b|\bretrieval[- \s]?augmented\b|\bretrieve[- \s]?augmented\b|\bretrievers?\b|\bevidence[- ]?retrieval\b|\bknowledge[- ]?(base|bank|retrieval)\b"
-    r"|\bmemory\b.*\b(index|retrieve|retrieval)\b|\bnearest[- ]?neighbors?\b|\bk[- ]?nn\b|\b(template|report|case)[- ]?retrieval\b|\bre[- ]?rank(er)?\b|\bbm25\b|\bfaiss\b"
-    r"|\bvector[- ]?(db|store|index)\b|\bdense[- \s]?retrieval\b|\bdoc(ument)?[- \s]?retrieval\b|\bretrieve[- ]?then[- ]?read\b"
-)
-NO_RETRIEVAL = r"\bno\b.*\bretriev|\bwithout\b.*\bretriev|\bnon[- ]?retrieval\b|\b(no|without)\s+rag\b"
+PRIMARY, OBJECTIVES = v.PRIMARY_FAMILIES, v.FAMILY_OBJECTIVES
+#: Tokens as they may stand in a list of models.
+GENERIC = (*v.GENERIC_MODELS, "Transformer")
 
 
 def blank(c: Column) -> Column:
@@ -42,12 +29,10 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c) == "", F.lit(True))
 
 
-def looks_like_vlm(flag: Column, vision: Column, language: Column, family: Column, families: Sequence[str]) -> Column:
-    """The flag says so, or both encoders are given, or the family is one of those."""
-    named = F.lit(False)
-    for f in families:
-        named = named | F.coalesce(F.instr(F.lower(family), f.lower()) > 0, F.lit(False))
-    return F.coalesce(F.lower(F.trim(flag)) == "yes", F.lit(False)) | (~blank(vision) & ~blank(language)) | named
+def looks_like_vlm(flag: Column, vision: Column, language: Column, model: Column, family: Column, keys: Sequence[str] = v.VLM_FAMILY_KEYS) -> Column:
+    """The flag says so, or both encoders are given, or the model or family has a VLM's name in it."""
+    named = F.lower(F.concat_ws(" ", F.coalesce(model, F.lit("")), F.coalesce(family, F.lit("")))).rlike(trie(keys))
+    return F.coalesce(F.lower(flag).isin("yes", "true", "1", "y"), F.lit(False)) | (~blank(vision) & ~blank(language)) | named
 
 
 def derive_class(vlm: Column, vision: Column, language: Column) -> Column:
@@ -66,15 +51,20 @@ def mirror(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(blank(a), b).otherwise(a), F.when(blank(b), a).otherwise(b)
 
 
-def refine_model(model: Column, family: Column, vision: Column, families: Lexicon) -> Column:
-    """A named family in front of a model without one: of the model's own tokens, the family and CLIP as encoder, by ``PRIMARY`` or the first."""
+def refine_model(model: Column, family: Column, vision: Column, families: Lexicon, primary_only: bool = False) -> Column:
+    """A named family in front of a model without one: of the model's own tokens, the family and CLIP as encoder, by ``PRIMARY`` or the first.
+
+    With ``primary_only`` that family alone, or else the model's first token.
+    """
     named = lambda t: F.coalesce(first_label(t, families), t)
     own = F.array_distinct(split_multi(model))
     from_model = F.filter(F.transform(own, named), lambda t: ~t.isin(*GENERIC))
     from_family = F.filter(F.transform(split_multi(family), named), lambda t: ~t.isin("Transformer") & (F.lower(t) != "not reported"))
-    clip = F.filter(F.array_distinct(F.transform(split_multi(vision), lambda t: first_label(t, ENCODERS, ""))), lambda t: t == "CLIP")
+    clip = F.filter(F.array_distinct(F.transform(split_multi(vision), lambda t: first_label(t, v.CLEAN_VISION, ""))), lambda t: t == "CLIP")
     candidates = F.array_distinct(F.concat(from_model, from_family, clip))
     first = F.coalesce(*[F.when(F.array_contains(candidates, f), f) for f in PRIMARY], F.get(candidates, F.lit(0)))
+    if primary_only:
+        return F.coalesce(first, F.get(own, F.lit(0)), F.lit(""))
     out = F.when((F.size(candidates) == 0) | F.arrays_overlap(own, candidates), own).otherwise(F.concat(F.array(first), own))
     return F.array_join(F.array_distinct(out), ", ")
 
@@ -85,36 +75,41 @@ def objectives_of(model: Column, family: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(blob, F.lit(k)), v) for k, v in OBJECTIVES])
 
 
-def rag_from_row(cell: Column, others: Sequence[Column], positive: str, negative: str, vetoing: Sequence[Column] | None = None) -> Column:
-    """The cell if it says yes or no; else No by a negative cue in a vetoing column, Yes by a positive one in the others, or nothing."""
-    blob, veto = F.concat_ws(" | ", *others), F.concat_ws(" | ", *(others if vetoing is None else vetoing))
-    said = F.lower(F.trim(cell))
-    return F.when(said.isin("yes", "y", "true", "1", "present", "rag"), "Yes").when(said == "no", "No").when(veto.rlike(f"(?i){negative}"), "No").when(blob.rlike(f"(?i){positive}"), "Yes").otherwise(F.lit(""))
+def rag_from_row(cell: Column, others: Sequence[Column], vetoing: Sequence[Column], positive: Sequence[str] = (*v.CLEAN_RAG, *v.RAG_STRONG_CUES), negative: Sequence[str] = v.RAG_NEG_CUES) -> Column:
+    """Yes or nothing: what the cell says (``rag_cell``), or else a cue in the others, unless a vetoing cell denies it."""
+    blob, veto = F.concat_ws(" | ", *[F.nullif(c, F.lit("")) for c in others]), F.concat_ws(" | ", *vetoing)
+    return F.when(rag_cell(cell) == "Yes", "Yes").when(any_match(veto, negative), "").when(any_match(blob, positive), "Yes").otherwise(F.lit(""))
+
+
+def rag_cell(c: Column, patterns: Sequence[str] = v.CLEAN_RAG) -> Column:
+    """Yes or nothing: a plain yes or a cue of retrieval, but not a denial of it."""
+    low = norm(c)
+    denied = low.rlike(r"\bno\b") & low.rlike("rag|retriev")
+    return F.when(is_missing(c, "eval"), "").when(low.isin("yes", "y", "true", "1", "present", "rag"), "Yes").when(denied, "").when(any_match(c, patterns), "Yes").otherwise("")
 
 
 def clean_record(
     df: DataFrame,
     families: Lexicon,
-    vlm_families: Sequence[str],
+    vlm_families: Sequence[str] = v.VLM_FAMILY_KEYS,
     default_objectives: str = "contrastive, ITM",
     default_fusion: str = "cross-attention",
-    positive: str = RETRIEVAL,
-    negative: str = NO_RETRIEVAL,
+    primary_only: bool = False,
 ) -> DataFrame:
     """The chain over model, family, klass, vision, language, fusion, objectives, vlm, rag, train, eval_.
 
     Order: retrieval, model, its named family in front, family, class, objectives
-    and fusion, data sets, what doesn't apply. Negative cues of retrieval count in
-    all columns, positive ones in the ``TELLING`` columns that ``df`` has.
+    and fusion, data sets, what doesn't apply. Denials of retrieval count in all
+    columns, cues of it in the ``RAG_TELLING`` columns that ``df`` has.
     Cells are not normalised or tidied here: ``functions.tokens`` does that.
     """
     c = F.col
-    d = df.withColumn("rag", rag_from_row(c("rag"), [c(f"`{x}`") for x in df.columns if x.lower() in TELLING] + [c("rag")], positive, negative, [c(f"`{x}`").cast("string") for x in df.columns]))
+    d = df.withColumn("rag", rag_from_row(c("rag"), [c(f"`{x}`") for x in df.columns if x.lower() in v.RAG_TELLING], [c(f"`{x}`").cast("string") for x in df.columns]))
     d = d.withColumn("model", model_if_empty(c("model"), c("family"), c("language"), c("vision")))
-    d = d.withColumn("model", refine_model(c("model"), c("family"), c("vision"), families))
+    d = d.withColumn("model", refine_model(c("model"), c("family"), c("vision"), families, primary_only))
     d = d.withColumn("family", F.when(blank(c("family")), first_label(c("model"), families, "")).otherwise(c("family")))
     (vlm,) = fresh(df, "is_vlm")
-    d = d.withColumn(vlm, looks_like_vlm(c("vlm"), c("vision"), c("language"), c("family"), vlm_families))
+    d = d.withColumn(vlm, looks_like_vlm(c("vlm"), c("vision"), c("language"), c("model"), c("family"), vlm_families))
     d = d.withColumn("klass", derive_class(c(vlm), c("vision"), c("language")))
     d = d.withColumn("objectives", F.when(is_missing(c("objectives")), F.coalesce(objectives_of(c("model"), c("family")), c("objectives"))).otherwise(c("objectives")))
     d = d.withColumns({x: F.when(c(vlm) & is_missing(c(x)), v).otherwise(c(x)) for x, v in (("objectives", default_objectives), ("fusion", default_fusion))})

@@ -16,6 +16,7 @@ from ..functions.lexicon import Lexicon, any_match, first_label
 from ..functions.missing import NOT_REPORTED, collapse, is_missing, norm, strip, tri_state
 from ..functions.tokens import canonical, split_multi
 from . import derive
+from .derive import rag_cell as rag_cell
 
 
 def text(c: Column) -> Column:
@@ -67,13 +68,6 @@ def metrics_cell(c: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(split_multi(c), respaced)), ", ")
 
 
-def rag_cell(c: Column, patterns: Sequence[str] = v.CLEAN_RAG) -> Column:
-    """Yes or nothing: a plain yes or a cue of retrieval, but not a denial of it."""
-    low = norm(c)
-    denied = low.rlike(r"\bno\b") & low.rlike("rag|retriev")
-    return F.when(is_missing(c, "eval"), "").when(low.isin("yes", "y", "true", "1", "present", "rag"), "Yes").when(denied, "").when(any_match(c, patterns), "Yes").otherwise("")
-
-
 #: The usual columns of a record and what makes their cells alike.
 FIELDS = {
     "modality": text, "train": text, "eval_": text, "paired": lambda c: tri_state(c, keep_unknown=True), "vlm": vlm_cell, "model": model_cell, "klass": text, "task": text,
@@ -86,9 +80,9 @@ def normalize_fields(df: DataFrame, fields: Mapping = FIELDS) -> DataFrame:
     return df.withColumns({c: f(F.col(c)) for c, f in fields.items() if c in df.columns})
 
 
-def clean(df: DataFrame, key: str, families: Lexicon = v.CLEAN_FAMILIES, vlm_families: Sequence[str] = v.VLM_FAMILIES, coarse: bool = False) -> DataFrame:
+def clean(df: DataFrame, key: str, families: Lexicon = v.CLEAN_FAMILIES, vlm_families: Sequence[str] = v.VLM_FAMILY_KEYS, coarse: bool = False, primary_only: bool = False) -> DataFrame:
     """The whole chain: every cell alike, the derivations in their order, and every text cell respaced."""
-    d = derive.clean_record(normalize_fields(df), families, vlm_families)
+    d = derive.clean_record(normalize_fields(df), families, vlm_families, primary_only=primary_only)
     if coarse:  # a record that looks like a VLM has a family of one kind
         d = d.withColumn("family", F.when((F.col("klass") == "VLM") | ~derive.blank(F.col("family")), "Transformer").otherwise(F.col("family")))
     return d.select(*[respaced(F.col(c)).alias(c) if t == "string" and c != key else F.col(c) for c, t in d.dtypes])

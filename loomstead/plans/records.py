@@ -88,7 +88,7 @@ def normalize_fields(spark, sf_dir):
 
 
 GENERIC = ", ".join(f"'{g}'" for g in derive.GENERIC)
-CLIP = s_first("t", derive.ENCODERS, "''")
+CLIP = s_first("t", v.CLEAN_VISION, "''")
 
 
 def s_refine(model: str, family: str, vision: str) -> str:
@@ -110,23 +110,27 @@ def refine_model(spark, sf_dir):
     return records(spark, sf_dir).select("key", derive.refine_model(F.col("model"), F.col("family"), F.col("vision"), v.CLEAN_FAMILIES).alias("model"))
 
 
-NEG = derive.NO_RETRIEVAL
 S_ROW = "concat_ws(' | ', {0})".format(", ".join(f"{c}" for c in ("key", *CELLS))).replace("language", '"language"')
-S_TELL = 'concat_ws(\' | \', model, family, vision, "language", fusion, objectives, rag)'
-S_RAG = f"case when lower(trim(rag)) in ('yes', 'y', 'true', '1', 'present', 'rag') then 'Yes' when lower(trim(rag)) = 'no' then 'No' when regexp_matches({S_ROW}, '(?i){NEG}') then 'No' when regexp_matches({S_TELL}, '(?i){derive.RETRIEVAL}') then 'Yes' else '' end"
+S_TELL = 'concat_ws(\' | \', model, family, vision, "language", fusion, objectives)'
+S_SAYS_RAG = "\\brag\\b|\\bretrieval[-\\s]?augmented( generation)?\\b|\\bretrieve[-\\s]?augmented( generation)?\\b|\\bdoc(ument)?[-\\s]?retrieval\\b|\\bdense[-\\s]?retrieval\\b|\\bretriever\\b"
+S_RAG_CELL = f"""case when lower(trim(rag)) in ('yes', 'y', 'true', '1', 'present', 'rag') then 'Yes' when regexp_matches(lower(rag), '\\bno\\b') and regexp_matches(lower(rag), 'rag|retriev') then ''
+    when regexp_matches(rag, '(?i){S_SAYS_RAG}') then 'Yes' else '' end"""
+S_RAG = f"""case when {S_RAG_CELL} = 'Yes' then 'Yes' when regexp_matches({S_ROW}, '(?i)\\bno\\b.*\\bretriev|\\bwithout\\b.*\\bretriev|\\bnon[- ]?retrieval\\b') then ''
+    when regexp_matches({S_TELL}, '(?i){S_SAYS_RAG}|\\bretrievers\\b|\\bknowledge[- ]?(base|bank|retrieval)\\b|\\bfaiss\\b|\\bbm25\\b') then 'Yes' else '' end"""
 
 
 @query(f"with {REC} select key, {S_RAG} rag from rec")
 def rag_rowaware(spark, sf_dir):
     """Retrieval by a record's own cell and the cues of its other cells."""
     d = records(spark, sf_dir)
-    others = [F.col(c) for c in ("model", "family", "vision", "language", "fusion", "objectives", "rag")]
-    return d.select("key", derive.rag_from_row(F.col("rag"), others, derive.RETRIEVAL, NEG, [F.col(c).cast("string") for c in d.columns]).alias("rag"))
+    others = [F.col(c) for c in ("model", "family", "vision", "language", "fusion", "objectives")]
+    return d.select("key", derive.rag_from_row(F.col("rag"), others, [F.col(c).cast("string") for c in d.columns]).alias("rag"))
 
 
 FAMILY_SQL = s_first("model", v.CLEAN_FAMILIES, "''")
 MISSING = "('', 'n/a', 'na', 'none', 'null', 'unk', 'unknown', 'not available', 'not applicable', 'not reported', 'nr', 'n/r')"
-S_VLM = "(lower(trim(vlm)) = 'yes' or (vision <> '' and \"language\" <> '') or " + " or ".join(f"contains(lower(family), '{f.lower()}')" for f in v.VLM_FAMILIES) + ")"
+S_VLM = """(lower(vlm) in ('yes', 'true', '1', 'y') or (vision <> '' and "language" <> '')
+    or regexp_matches(lower(concat(model, ' ', family)), 'albef|blip|flamingo|llava|minigpt-4|otter|xraygpt|pali|kosmos-1|simvlm|ofa'))"""
 S_OBJECTIVES = "case " + " ".join(f"when contains(replace(lower(concat_ws(' ', model, family)), ' ', ''), '{k}') then '{x}'" for k, x in derive.OBJECTIVES) + " end"
 CHAIN = f"""with {REC}, n as ({NORMAL}), r as (select * replace ({S_RAG} as rag) from (select key, model, family, vision, "language", fusion, objectives, vlm, rag, metrics, train, eval_, klass from n)),
 m as (select * replace (case when model <> '' then model when family <> '' then family else array_to_string({s_distinct('list_filter(["language", vision], lambda x: x <> ' + "''" + ')')}, ', ') end as model) from r),

@@ -84,7 +84,7 @@ def test_record_rules_by_family(spark):
     a, b, c, d, e = derive.clean_record(df, lexicon, ["llava", "flamingo", "minigpt-4"]).collect()
     assert (a.model, a.objectives, a.rag, a.klass) == ("LLaVA, Transformer", "contrastive", "Yes", "VLM")
     assert (b.model, b.objectives, b.rag) == ("Flamingo", "ITM", "")
-    assert (c.model, c.objectives, c.rag) == ("CLIP, lstm, Transformer", "", "No")
+    assert (c.model, c.objectives, c.rag) == ("CLIP, lstm, Transformer", "", "")  # a denial leaves the cell empty
     assert (d.model, d.objectives, d.family) == ("MiniGPT-4, GPT-2", "contrastive", "MiniGPT-4")
     assert (e.klass, e.objectives) == ("", "contrastive, ITM")  # not a VLM by its cells
 
