@@ -64,6 +64,15 @@ def clean_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", readers.clean_text(F.col("text")).alias("text"))
 
 
+@query("""with k as (select distinct upper(split_part(p_name, ' ', 1)) key from part)
+select key, (select string_agg(p_type, chr(10) order by p_name, p_type) from part where contains(lower(p_name), lower(key))) "text" from k""")
+def documents_by_name(spark, sf_dir):
+    """For each word all parts whose name holds it, their types joined in order of the names."""
+    p = table(spark, sf_dir, "part")
+    words = p.select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("key")).distinct()
+    return readers.match_documents(words, p, "key", "p_name", "p_type")
+
+
 @query("""select p_partkey, p_name model, 'true' vlm, '{"model": "' || p_name || '", "note": "a } brace", "vlm": True}' block from part""")
 def answers_parsed(spark, sf_dir):
     """Fields of an answer that holds JSON among other text, and its balanced block."""

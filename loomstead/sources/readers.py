@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.missing import collapse
+from ..functions.names import let
 from ..operators.fuse import prefer
 
 #: The columns of an extraction table, in order.
@@ -56,28 +57,30 @@ def first_scalar(c: Column) -> Column:
 
 
 def balanced_block(answer: Column) -> Column:
-    """The first block of balanced braces in an answer, strings taken into account; Arrow batches, since patterns don't count."""
-    def first(s: pd.Series) -> pd.Series:
-        def block(t):
-            depth, start, quoted, skip = 0, -1, False, False
-            for i, c in enumerate(t or ""):
-                if skip:
-                    skip = False
-                elif quoted:
-                    skip, quoted = c == "\\", c != '"'
-                elif c == '"':
-                    quoted = depth > 0
-                elif c == "{":
-                    start, depth = (i if depth == 0 else start), depth + 1
-                elif c == "}" and depth:
-                    depth -= 1
-                    if depth == 0:
-                        return t[start : i + 1]
-            return None
-
-        return s.map(block)
-
-    return F.pandas_udf(first, "string")(answer)
+    """The first block of balanced braces in an answer, strings taken into account; null without one.
+
+    The answer is cut behind every brace, quote and backslash, and one fold over these pieces keeps depth and
+    whether a string is open; other characters are never looked at one by one.
+    """
+    state = lambda at, depth, quoted, skip, end: F.struct(at.alias("at"), depth.alias("depth"), quoted.alias("quoted"), skip.alias("skip"), end.alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        n, c = F.char_length(piece), F.right(piece, F.lit(1))
+        escaped = s["skip"] & (n == 1)  # what stands behind a backslash is this very character
+        plain = ~s["quoted"] & ~escaped
+        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        quoted = F.when(~escaped & (c == '"'), ~s["quoted"]).otherwise(s["quoted"])
+        after = state(s["at"] + n, depth, quoted, s["quoted"] & ~escaped & (c == "\\"), F.when(plain & (c == "}") & (depth == 0), s["at"] + n))
+        return F.when(s["end"].isNotNull(), s).otherwise(after)
+
+    begun = state(F.lit(0), F.lit(0), F.lit(False), F.lit(False), F.lit(None).cast("int"))
+    inside = F.when(F.contains(answer, F.lit("{")), F.substring(answer, F.instr(answer, "{"), F.char_length(answer)))
+
+    def block(t: Column) -> Column:
+        end = F.aggregate(F.regexp_extract_all(t, F.lit(r'(?s)[^"\\{}]*["\\{}]'), 0), begun, step, lambda s: s["end"])
+        return let(end, lambda e: F.when(e.isNotNull(), F.substring(t, F.lit(1), e)))
+
+    return let(inside, block)
 
 
 def extraction_schema() -> StructType:
@@ -179,17 +182,26 @@ def document_ids(store: DataFrame, column: str = "doc_id") -> DataFrame:
     return store.select(column).distinct().orderBy(column)
 
 
-def match_documents(ids: DataFrame, docs: DataFrame, key: str = "key", doc_id: str = "doc_id", text: str = "text", max_ids: int = 10_000) -> DataFrame:
-    """(key, text): all documents whose name holds the key, joined in order of their names; none is null.
+def match_documents(ids: DataFrame, docs: DataFrame, key: str = "key", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text): all documents whose name holds the key, whatever its case, joined in order of their names; none is null.
 
-    The keys are the side of checked size. A key without documents gets nothing: other documents' texts are not its.
+    Names are cut into all their parts of one to three characters. A key meets the names that have the part of it that
+    the fewest names have, and is then looked for itself, so there may be any number of keys. A key without documents,
+    an empty or a null one gets nothing; repeated keys each get a row.
     """
-    if ids.limit(max_ids + 1).count() > max_ids:
-        raise ValueError(f"more than {max_ids} keys")
-    named = docs.select(F.col(doc_id).alias("name"), F.col(text).alias("own"))
-    found = named.join(F.broadcast(ids.select(key)), F.contains(F.lower("name"), F.lower(key)))
-    joined = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "own"))).alias("parts"))
-    return ids.join(joined.select(key, F.array_join(F.transform("parts", lambda x: x["own"]), "\n").alias("text")), key, "left")
+    parts = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    low = F.lower(F.col(doc_id).cast("string"))
+    named = docs.select(low.alias("low"), F.explode(F.array_distinct(F.concat(*[parts(low, n) for n in (1, 2, 3)]))).alias("part"))
+    asked = ids.select(F.col(key).alias("key")).where("key <> ''").distinct().withColumn("low", F.lower("key"))
+    cut = F.when(F.char_length("low") >= 3, parts(F.col("low"), 3)).otherwise(F.array("low"))
+    asked = asked.select("key", F.col("low").alias("wanted"), F.explode(cut).alias("part"))
+    often = named.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(often, "part", "left").groupBy("key", "wanted").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.bool_and(F.col("n").isNotNull()).alias("there"))
+    met = named.join(rarest.where("there"), "part").where(F.contains("low", F.col("wanted"))).select("key", "low").distinct()
+    own = docs.select(low.alias("low"), F.col(doc_id).alias("name"), F.col(text).alias("own"))
+    joined = met.join(own, "low").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "own"))).alias("parts"))
+    found = joined.select(F.col("key").alias(key), F.array_join(F.transform("parts", lambda x: x["own"]), "\n").alias("text"))
+    return ids.join(found, key, "left")
 
 
 def optional_csv(spark: SparkSession, path: str | None, columns: Sequence[str], key: str = "File") -> DataFrame:
