@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, tokens
 from ..functions import vocabulary as v
 from ..operators import evaluate, extract, fuse, numbering, report, windows
-from ..sources import readers, writers
+from ..sources import ledger, readers, writers
 from ..streaming import windowed_counts
 from .queries import query, table
 from .scratch import scratch
@@ -38,7 +38,7 @@ def new_texts(spark, sf_dir):
     at, b = scratch(spark), table(spark, sf_dir, "benchmark")
     for _ in range(2):
         writers.write_new_texts(b, at, "item_id", "text", 100)
-    return spark.read.parquet(at).select("item_id", F.char_length("text").alias("n"))
+    return ledger.read(spark, at).select("item_id", F.char_length("text").alias("n"))
 
 
 @query("select vec_id doc_id, list_sum(embedding::double[]) total from embeddings where vec_id = 7")

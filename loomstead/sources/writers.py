@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ledger
+
 
 def clean_cell(c: Column, longest: int | None = 140, empty: str = "Not reported", fences: bool = False) -> Column:
     """A cell for a Markdown table: no bars or backticks, white space squeezed, cut with an ellipsis; ``fences`` drops fenced code and a full stop at the end."""
@@ -42,19 +45,12 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], defaults: Sequen
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_new_texts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", least: int = 500) -> int:
-    """Append documents of at least ``least`` characters that aren't there yet, as Parquet. Returns how many."""
-    spark = df.sparkSession
-    new = df.where(F.char_length(text) >= least)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        new = new.join(spark.read.parquet(path).select(doc_id), doc_id, "left_anti")
-    new = new.select(doc_id, text)
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+def write_new_texts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", least: int = 500, batch: str | None = None) -> int:
+    """Append documents of at least ``least`` characters that aren't there yet. Returns how many.
+
+    A batch that has a name counts once; two writers at once add nothing twice (``sources.ledger``, which also reads the table).
+    """
+    return ledger.append(df.where(F.char_length(text) >= least).select(doc_id, text), path, batch or uuid.uuid4().hex, doc_id)
 
 
 def write_json(df: DataFrame, path: str, key: str | None = None) -> None:
