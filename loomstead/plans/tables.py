@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, tokens
 from ..functions import vocabulary as v
-from ..operators import evaluate, extract, fuse, numbering, report, windows
+from ..operators import evaluate, extract, fuse, numbering, report, rounds, windows
 from ..sources import ledger, readers, writers
 from ..streaming import windowed_counts
 from .queries import query, table
@@ -64,6 +64,16 @@ def clean_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", readers.clean_text(F.col("text")).alias("text"))
 
 
+@query("""with d as (select doc_id, coalesce("text", '') t from documents), a as (select doc_id, regexp_extract(left(t, 200), '([0-9]{3,})', 1) a, regexp_extract(left(t, 2000), '([0-9]{3,})', 1) b, regexp_extract(t, '([0-9]{3,})', 1) c from d)
+select doc_id, case when a <> '' then a when b <> '' then b when c <> '' then c else 'Not reported' end answer, case when a <> '' then 1 when b <> '' then 2 when c <> '' then 3 end::int "round" from a""")
+def answers_in_rounds(spark, sf_dir):
+    """A long number of each document, asked of its beginning, of more of it, and of all of it, by a rule in a model's place."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prompts = [F.left("text", F.lit(200)), F.left("text", F.lit(2000)), F.col("text")]
+    rule = lambda asked: asked.withColumn("answer", F.regexp_extract("prompt", "([0-9]{3,})", 1))
+    return rounds.in_rounds(d, prompts, rule, lambda a: a != "", scratch(spark), F.lit("Not reported")).drop("text")
+
+
 @query("""with k as (select distinct upper(split_part(p_name, ' ', 1)) key from part)
 select key, (select string_agg(p_type, chr(10) order by p_name, p_type) from part where contains(lower(p_name), lower(key))) "text" from k""")
 def documents_by_name(spark, sf_dir):
