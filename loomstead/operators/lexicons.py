@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import fold, found_terms, required, required_each
-from ..functions.names import fresh
+from ..functions.names import fresh, let
 
 GRAM = 3
-#: Patterns that go into one expression.
-AT_ONCE = 10_000
+#: Patterns that go into one expression, and those that each row goes through one by one.
+AT_ONCE, IN_A_ROW = 10_000, 1000
 #: Characters of a further part that are worth looking for.
 TELLING = 5
 
@@ -93,17 +93,34 @@ def join_lexicon(docs: DataFrame, lexicon: DataFrame, text: str, block: int = 50
     return found.unionByName(_in_blocks(docs, lexicon, parts.where("part is null").select("pattern"), text, block))
 
 
+def _sets(pattern: str) -> list[list[str]]:
+    """The sets of plain parts that a pattern needs, those that tell most first."""
+    try:
+        return sorted((sorted(s) for s in required_each(pattern)), key=lambda s: -min(map(len, s)))
+    except (re.error, OverflowError):
+        return []
+
+
+def _in_rows(docs: DataFrame, lexicon: DataFrame, text: str, patterns: list[str]) -> DataFrame:
+    """A few patterns: each row goes through those whose parts it has."""
+    needs = [{"pattern": p, "needs": [s for i, s in enumerate(_sets(p)[:3]) if i == 0 or min(map(len, s)) >= TELLING]} for p in patterns]
+    rows = F.from_json(F.lit(json.dumps(needs)), "array<struct<pattern:string,needs:array<array<string>>>>")
+    found = found_terms(F.col(text), sorted({t for r in needs for s in r["needs"] for t in s}))
+    ready = let(found, lambda own: F.filter(rows, lambda r: F.forall(r["needs"], lambda s: F.arrays_overlap(s, own)) & F.rlike(F.col(text), r["pattern"])))
+    own = docs.where(F.col(text).isNotNull()).select(*docs.columns, F.explode(F.transform(ready, lambda r: r["pattern"])).alias("pattern"))
+    return own.join(lexicon, "pattern").select(*docs.columns, *lexicon.columns)
+
+
 def _in_one_pass(docs: DataFrame, lexicon: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     """A lexicon of bounded size: the texts' plain parts by one expression, then the patterns that have all they need.
 
     A pattern waits at its rarest-looking part, the longest; only texts with that part ask for its others.
     """
+    if len(patterns) <= IN_A_ROW:
+        return _in_rows(docs, lexicon, text, patterns)
     waiting: dict[str, list] = {}
     for p in patterns:
-        try:
-            sets = sorted((sorted(s) for s in required_each(p)), key=lambda s: -min(map(len, s)))
-        except (re.error, OverflowError):
-            sets = []
+        sets = _sets(p)
         either = sets[0] if sets else [""]
         for part in either:
             waiting.setdefault(part, []).append({"pattern": p, "either": either, "needs": [s for s in sets[1:3] if min(map(len, s)) >= TELLING]})

@@ -127,6 +127,10 @@ def test_a_hundred_thousand_patterns(spark):
     got = lexicons.join_lexicon(docs, lexicon, "text", block=3)
     assert got.columns == ["doc_id", "text", "pattern", "label"]
     assert sorted(map(tuple, got.collect())) == loops and len(loops) > 50
-    # a table that fits into one expression gives the same rows
+    # a table that fits into one expression gives the same rows, and so does one that each row goes through
     assert sorted(map(tuple, lexicons.join_lexicon(docs, lexicon.where("label = 'some'"), "text").collect())) == loops
+    few = lexicon.where("label = 'some' and (length(pattern) < 16 or pattern like '%.{0,3}%')")
+    assert few.count() < lexicons.IN_A_ROW
+    loops = sorted(map(tuple, docs.join(few, F.expr("text rlike pattern")).collect()))
+    assert sorted(map(tuple, lexicons.join_lexicon(docs, few, "text").collect())) == loops and len(loops) > 50
     assert lexicons.join_lexicon(docs, lexicon.limit(0), "text").count() == lexicons.join_lexicon(docs.limit(0), lexicon, "text").count() == 0
