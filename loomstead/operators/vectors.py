@@ -129,7 +129,9 @@ def in_blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 
 def best_pairs(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """(query, key, score): for each pair of blocks each query's best k rows, all that tie with the last among them."""
+    """(query, key, score): for each pair of blocks each query's best k rows, by key on ties."""
+    import pyarrow.compute as pc
+
     kinds = [pairs.schema[f"{n}_keys"].dataType.elementType for n in ("query", "row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +150,12 @@ def best_pairs(pairs: DataFrame, k: int, exclude_self: bool) -> DataFrame:
                 n = min(k, score.shape[1])
                 least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
                 row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                place = np.empty(len(keys), np.int64)
+                place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
+                order = np.lexsort((place[column], -score[row, column], row))
+                row, column = row[order], column[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, column = row[kept], column[kept]
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(row)), keys.take(pa.array(column)), pa.array(score[row, column])], ["query", "key", "score"])
 
     schema = T.StructType([T.StructField("query", kinds[0]), T.StructField("key", kinds[1]), T.StructField("score", T.DoubleType())])
