@@ -114,7 +114,8 @@ def bm25_within(parts: DataFrame, key: str, order: str, text: str, terms: Sequen
     n, counts = word_counts(F.col(own), list(terms))
     d = parts.select(key, order, words(F.col(text)).alias(own)).select(key, order, n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     own = Window.partitionBy(key)
-    d = d.withColumns({"parts": F.count(F.lit(1)).over(own), "mean": F.avg("n").over(own), **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0).over(own) for i in range(len(terms))}})
+    mean = F.coalesce(F.nullif(F.avg("n").over(own), F.lit(0.0)), F.lit(1.0))  # a document without words has no score, whatever it is divided by
+    d = d.withColumns({"parts": F.count(F.lit(1)).over(own), "mean": mean, **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0).over(own) for i in range(len(terms))}})
     score = F.lit(0.0)
     for i in range(len(terms)):
         t, df = F.col(f"tf{i}"), F.col(f"df{i}")

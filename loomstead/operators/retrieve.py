@@ -61,7 +61,7 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], work: str, k
     d = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("words"))
     d.select("doc_id", n.alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)]).write.parquet(work)
     d = docs.sparkSession.read.parquet(work)
-    total = d.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    total = d.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.nullif(F.avg("n"), F.lit(0.0)), F.lit(1.0)).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.join(F.broadcast(total))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
