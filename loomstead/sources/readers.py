@@ -187,21 +187,23 @@ def match_documents(ids: DataFrame, docs: DataFrame, key: str = "key", doc_id: s
 
     Names are cut into all their parts of one to three characters. A key meets the names that have the part of it that
     the fewest names have, and is then looked for itself, so there may be any number of keys. A key without documents,
-    an empty or a null one gets nothing; repeated keys each get a row.
+    an empty or a null one gets nothing; repeated keys each get a row. Tables that compress well look small enough for
+    a broadcast, which goes through the driver: what has a row for each name or a text joins by sorting.
     """
     parts = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
     low = F.lower(F.col(doc_id).cast("string"))
-    named = docs.select(low.alias("low"), F.explode(F.array_distinct(F.concat(*[parts(low, n) for n in (1, 2, 3)]))).alias("part"))
+    each = F.array_distinct(F.concat(*[parts(F.col("low"), n) for n in (1, 2, 3)]))
+    named = docs.select(low.alias("low")).distinct().select("low", F.explode(each).alias("part"))
     asked = ids.select(F.col(key).alias("key")).where("key <> ''").distinct().withColumn("low", F.lower("key"))
     cut = F.when(F.char_length("low") >= 3, parts(F.col("low"), 3)).otherwise(F.array("low"))
     asked = asked.select("key", F.col("low").alias("wanted"), F.explode(cut).alias("part"))
     often = named.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(often, "part", "left").groupBy("key", "wanted").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.bool_and(F.col("n").isNotNull()).alias("there"))
-    met = named.join(rarest.where("there"), "part").where(F.contains("low", F.col("wanted"))).select("key", "low").distinct()
+    rarest = asked.hint("merge").join(often, "part", "left").groupBy("key", "wanted").agg(F.min_by("part", F.struct("n", "part")).alias("part"), F.bool_and(F.col("n").isNotNull()).alias("there"))
+    met = named.hint("merge").join(rarest.where("there"), "part").where(F.contains("low", F.col("wanted"))).select("key", "low")
     own = docs.select(low.alias("low"), F.col(doc_id).alias("name"), F.col(text).alias("own"))
-    joined = met.join(own, "low").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "own"))).alias("parts"))
+    joined = met.hint("merge").join(own, "low").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "own"))).alias("parts"))
     found = joined.select(F.col("key").alias(key), F.array_join(F.transform("parts", lambda x: x["own"]), "\n").alias("text"))
-    return ids.join(found, key, "left")
+    return ids.hint("merge").join(found, key, "left")
 
 
 def optional_csv(spark: SparkSession, path: str | None, columns: Sequence[str], key: str = "File") -> DataFrame:

@@ -45,3 +45,14 @@ def test_documents_by_name(spark):
     for r in got:
         held = sorted((n, f"t{i}") for i, n in enumerate(names) if r.key and n and r.key.lower() in n.lower())
         assert r.text == ("\n".join(t for _, t in held) if held else None), r.key
+
+
+def test_documents_by_name_stay_off_the_driver(spark, tmp_path):
+    """A table that compresses well counts as small, yet neither its texts nor the joined ones may be broadcast."""
+    spark.range(20_000).selectExpr("concat('red ', id % 3) doc_id", "repeat('t', 200) text").write.parquet(f"{tmp_path}/docs")
+    docs, keys = spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame([("RED",), ("d 1",), ("blue",)], "key string")
+    got = readers.match_documents(keys, docs)
+    rows = {r.key: r.n for r in got.select("key", F.char_length("text").alias("n")).collect()}
+    assert rows == {"RED": 20_000 * 201 - 1, "d 1": 6667 * 201 - 1, "blue": None}
+    got.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
