@@ -2,8 +2,10 @@
 
 The documents are cut into blocks as they are read. The index has a row for each
 word of each block: which of the block's documents hold it how often, and the most
-that it can add to a score there; rows lie in parts by the word's hash, sorted. A
-search first scores each query's most promising blocks, which gives a score that its
+that it can add to a score there. Each task writes its own blocks' rows, in parts of
+some blocks that are sorted by word, so the index is neither shuffled nor sorted as a
+whole. A search takes the rows of the words asked for out of the index once, and
+first scores each query's most promising blocks, which gives a score that its
 k-th best document has at least; blocks whose words together can't reach it are
 never read. All queries go through at once, by equi joins on word and block.
 
@@ -20,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents in a block, parts of the index, and tasks that write one part.
-BLOCK, PARTS, SPREAD = 256, 64, 4
+#: Documents in a block, and blocks in a sorted part of the index.
+BLOCK, PARTS = 256, 32
 _WORD = re.compile("[a-z0-9]+")
 
 
@@ -34,8 +37,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
 
 
-def part_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def _sorted(blocks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = pa.Table.from_batches(blocks)
+    yield from part.take(pc.sort_indices(part, [("term", "ascending"), ("block", "ascending")])).combine_chunks().to_batches(10_000)
 
 
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -71,25 +75,28 @@ def write_index(docs: DataFrame, doc_id: str, text: str, path: str) -> None:
     fields = [("term", T.StringType()), ("block", T.LongType()), ("documents", T.LongType()), ("tf", T.IntegerType()), ("n", T.IntegerType()), ("words", T.LongType()), ("at", T.ArrayType(T.IntegerType())), ("often", T.ArrayType(T.IntegerType())), ("ids", T.ArrayType(kind))]
     schema = T.StructType([T.StructField(*f) for f in fields])
     arrow = to_arrow_schema(schema)
-    size = BLOCK
+    size, together = BLOCK, PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[pa.RecordBatch] = []
         for batch in batches:
             for begin in range(0, batch.num_rows, size):
                 ids, rows, texts = (batch.column(i).slice(begin, size) for i in range(3))
-                yield _block(ids, rows, texts.to_pylist(), arrow)
+                part.append(_block(ids, rows, texts.to_pylist(), arrow))
+                if len(part) == together:
+                    yield from _sorted(part)
+                    part = []
+        if part:
+            yield from _sorted(part)
 
     own = docs.select(F.col(doc_id).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    rows = own.mapInArrow(run, schema).withColumn("part", part_of(F.col("term")))
-    rows = rows.repartition(PARTS * SPREAD, "part", F.pmod(F.xxhash64("block"), F.lit(SPREAD))).sortWithinPartitions("part", "term", "block")
-    rows.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{path}/postings")
-    rows.limit(0).drop("part").write.mode("overwrite").parquet(f"{path}/columns")  # an empty index has no other file that tells them
+    own.mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    docs.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/columns")  # an empty index has no other file that tells them
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
     """An index's rows."""
-    columns = spark.read.parquet(f"{path}/columns").schema
-    return spark.read.schema(T.StructType([*columns, T.StructField("part", T.IntegerType())])).parquet(f"{path}/postings")
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/postings")
 
 
 def gain(idf: Column, tf: Column, n: Column, mean: float, k1: float, b: float) -> Column:
@@ -103,24 +110,26 @@ def search(spark: SparkSession, path: str, queries: DataFrame, work: str, k: int
     ``work`` is a new shared folder; what the search finds about blocks is written there.
     """
     index = open_index(spark, path)
-    asked = queries.select("query", "term").where("term <> ''").distinct().withColumn("part", part_of(F.col("term")))
-    empty = spark.range(1).select(part_of(F.lit("")).alias("p")).first()["p"]
-    held = index.where((F.col("part") == empty) & (F.col("term") == ""))
+    queries.select("query", "term").where("term <> ''").distinct().write.parquet(f"{work}/queries")
+    asked = spark.read.parquet(f"{work}/queries")  # now Spark knows its size and, if it is small, leaves the index where it is
+    held = index.where("term = ''")
     every = held.agg(F.sum("documents").alias("n"), F.sum("words").alias("words")).first()
     n, mean = every["n"] or 0, max((every["words"] or 0) / max(every["n"] or 0, 1), 1e-9)
-    maxima = index.select("part", "term", "block", "documents", "tf", "n")
-    often = maxima.join(asked.select("part", "term").distinct(), ["part", "term"]).groupBy("part", "term").agg(F.sum("documents").alias("df"))
+    index.join(asked.select("term").distinct(), "term", "left_semi").select("term", "block", "documents", "tf", "n", "at", "often").write.parquet(f"{work}/wanted")
+    wanted = spark.read.parquet(f"{work}/wanted")
+    maxima = wanted.select("term", "block", "documents", "tf", "n")
+    often = maxima.groupBy("term").agg(F.sum("documents").alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked.join(often, ["part", "term"]).select("query", "part", "term", idf.alias("idf")).write.parquet(f"{work}/asked")
+    asked.join(often, "term").select("query", "term", idf.alias("idf")).write.parquet(f"{work}/asked")
     asked = spark.read.parquet(f"{work}/asked")
     bound = F.sum(gain(F.col("idf"), F.col("tf"), F.col("n"), mean, k1, b)).alias("bound")
-    maxima.join(asked, ["part", "term"]).groupBy("query", "block").agg(bound).write.parquet(f"{work}/bounds")
+    maxima.join(asked, "term").groupBy("query", "block").agg(bound).write.parquet(f"{work}/bounds")
     bounds = spark.read.parquet(f"{work}/bounds")
 
     lengths = held.select("block", F.explode(F.arrays_zip("at", F.col("often").alias("n"), F.col("ids").alias("doc"))).alias("d")).select("block", "d.*")
 
     def scored(blocks: DataFrame) -> DataFrame:
-        met = blocks.select("query", "block").join(asked, "query").join(index.select("part", "term", "block", "at", "often"), ["part", "term", "block"])
+        met = blocks.select("query", "block").join(asked, "query").join(wanted.select("term", "block", "at", "often"), ["term", "block"])
         each = met.select("query", "block", "idf", F.explode(F.arrays_zip("at", "often")).alias("p")).select("query", "block", "idf", "p.*")
         found = each.join(lengths, ["block", "at"])
         score = F.round(F.sum(gain(F.col("idf"), F.col("often"), F.col("n"), mean, k1, b)), 6)

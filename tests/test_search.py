@@ -58,3 +58,18 @@ def test_nothing(spark, tmp_path):
     at = f"file://{tmp_path}/index"
     search.write_index(spark.createDataFrame([], "doc_id string, text string"), "doc_id", "text", at)
     assert search.search(spark, at, spark.createDataFrame([(1, "a")], "query int, term string"), f"file://{tmp_path}/work").collect() == []
+
+
+def test_the_index_is_not_shuffled(spark, tmp_path):
+    """Tasks write their own blocks; a search moves the rows of the words asked for alone."""
+    rows = [(i, " ".join(f"w{i * 7 + j}" for j in range(200)) + (" asked" if i % 9 == 0 else "")) for i in range(600)]
+    sc, at = spark.sparkContext, f"file://{tmp_path}/index"
+    sc.setJobGroup(at, "index")
+    search.write_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), "doc_id", "text", at)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(at)]
+    sc.setJobGroup("", "")
+    assert jobs and all(len(j.stageIds) == 1 for j in jobs)
+    got = search.search(spark, at, spark.createDataFrame([(1, "asked")], "query int, term string"), f"file://{tmp_path}/work", 3).collect()
+    assert [r.doc for r in got] == [0, 9, 18]
+    wanted = spark.read.parquet(f"{tmp_path}/work/wanted")
+    assert {r.term for r in wanted.collect()} == {"asked"} and wanted.count() < 10 < search.open_index(spark, at).count()
