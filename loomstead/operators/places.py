@@ -7,8 +7,9 @@ a cue's surroundings, the one that ends first tells whether any lies within them
 cues and anchors meet by sorting, whatever their number, and no text is moved.
 
 Surroundings are text cut out on both sides of a place; an anchor counts if a
-search in that cut would find it. Anchors that only the cut makes whole words are
-found at the surroundings' two ends.
+search in that cut would find it, so one counts at every place where one begins, also
+inside another. Anchors that only the cut makes whole words are found at the
+surroundings' two ends.
 
 Rows: null texts have no places; repeated rows give the same rows again; a pattern
 must not match the empty text; ids may be null and keep their type.
@@ -29,6 +30,7 @@ from ..functions.names import fresh, let
 #: Numbers of an array that are summed at once, and characters of a text's parts.
 RUN, PART = 256, 1024
 KEY = ["key1", "key2"]
+EVERYWHERE = "(?=("
 
 
 def sums_before(numbers: Column) -> Column:
@@ -49,13 +51,22 @@ def sums_before(numbers: Column) -> Column:
 
 
 def places(text: Column, pattern: Column) -> Column:
-    """Array of (st, en), in characters from 0: all matches of a pattern."""
-    gaps, own = F.transform(F.split(text, pattern), F.char_length), F.transform(F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1)), F.char_length)
+    """Array of (st, en), in characters from 0: all matches of a pattern, one after the other.
+
+    If the pattern is ``everywhere(p)``, those of p at every place where one begins, also where they overlap.
+    """
+    gaps, own = F.transform(F.split(text, pattern), F.char_length), F.transform(F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.when(F.startswith(pattern, F.lit(EVERYWHERE)), 2).otherwise(1)), F.char_length)
     steps = F.filter(F.zip_with(gaps, own, lambda g, o: F.struct(g.alias("gap"), o.alias("own"))), lambda x: x["own"].isNotNull())
-    put = lambda s: F.zip_with(s, sums_before(F.transform(s, lambda x: x["gap"] + x["own"])), lambda x, at: F.struct((at + x["gap"]).alias("st"), (at + x["gap"] + x["own"]).alias("en")))
+    taken = lambda x: F.when(F.startswith(pattern, F.lit(EVERYWHERE)), 1).otherwise(x["own"])
+    put = lambda s: F.zip_with(s, sums_before(F.transform(s, lambda x: x["gap"] + taken(x))), lambda x, at: F.struct((at + x["gap"]).alias("st"), (at + x["gap"] + x["own"]).alias("en")))
     return let(steps, lambda s: F.when(F.size(s) > 0, put(s)))
 
 
+def everywhere(pattern: str) -> str:
+    """A pattern for one character, that looks ahead for another pattern; its first group is what that one matches."""
+    return f"{EVERYWHERE}{pattern}))(?s:.)"
+
+
 def around(parts: Column, start: Column, n: Column, most: int) -> Column:
     """n characters, ``most`` at most, from ``start`` on of a text given in parts; it isn't read from its beginning."""
     first = F.floor(start / PART).cast("int")
@@ -87,7 +98,7 @@ def nearby(docs: DataFrame, doc_id: str, text: str, cues: Mapping[str, Mapping[s
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(*keys(doc_id, text), t.alias("text"), own.terms_in(t).alias(found)).withColumn(looked, own.entries(F.col(found)))
     kinds = [
-        {"field": f, "kind": k, "pattern": f"(?iu){_either(ps)}", "each": [f"(?iu){p}" for p in ps], "n": _longest(ps, width)} for f, of in anchors.items() for k, ps in of.items()
+        {"field": f, "kind": k, "pattern": f"(?iu){_either(ps)}", "each": [everywhere(f"(?iu){p}") for p in ps], "n": _longest(ps, width)} for f, of in anchors.items() for k, ps in of.items()
     ]
     table = F.from_json(F.lit(json.dumps(kinds)), "array<struct<field:string,kind:string,pattern:string,each:array<string>,n:int>>")
     fields = F.array_distinct(F.transform(looked, lambda r: r["field"]))

@@ -1,5 +1,6 @@
 """Records from hand-written texts."""
 
+from loomstead.operators import windows
 from loomstead.operators.extract import extract
 
 
@@ -32,3 +33,12 @@ def test_windows_and_modes(spark):
     hybrid = records(spark, [text], "hybrid")[0]
     assert (hybrid["Modality"], hybrid["Task"], hybrid["Datasets (train)"], hybrid["Datasets (eval)"]) == ("X-Ray, MRI", "report-generation", "CheXpert", "CheXpert")
     assert records(spark, ["a cnn backbone and a transformer decoder"])[0]["Class"] == "CNN+Transformer"
+
+
+def test_anchors_that_overlap(spark):
+    """The surroundings begin within one anchor and hold another that overlaps it."""
+    text = lambda n: " the the " + "a" * n + " with x"
+    df = spark.createDataFrame([(n, text(n)) for n in range(60, 80)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in windows.anchored(df, "doc_id", "text", {"which": " with "}, " the |version").collect()}
+    assert got == {n: ["which"] if " the " in text(n)[max(0, n + 9 - 80) : n + 9 + 80] else [] for n in range(60, 80)}
+    assert got[73] == ["which"] and got[79] == []
