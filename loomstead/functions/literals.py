@@ -28,6 +28,25 @@ def fold(text: Column) -> Column:
     return F.lower(F.translate(text, *_FOLDED))
 
 
+def plain_words(pattern: str) -> str:
+    """A pattern whose word boundaries take ASCII letters, digits and the underscore for parts of words, nothing else.
+
+    Before Java 19 a boundary takes all letters; here "\\btest\\b" is in "testü", as it is for engines with plain boundaries.
+    """
+
+    def bound(m: re.Match) -> str:
+        if m[0] != r"\b":
+            return m[0]
+        before, after = pattern[: m.start()], pattern[m.end() :]
+        if re.match("[A-Za-z0-9_](?![*?{])", after):
+            return r"(?<!\w)"
+        if re.search(r"(?<!\\)[A-Za-z0-9_]$", before) and not re.search(r"\[[^\]]*$", before):
+            return r"(?!\w)"
+        return r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+    return re.sub(r"\\.", bound, pattern, flags=re.S)
+
+
 def required(pattern: str) -> frozenset[str]:
     """Plain parts, in lower case, of which every match of a pattern holds one at least; nothing if there are none to tell."""
     return frozenset(_parts(re._parser.parse(pattern, re.I)) or ())

@@ -8,17 +8,23 @@ around a cue, "hybrid" 140, and hybrid takes weaker cues for modality and task.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.literals import Lexicons
+from ..functions.literals import Lexicons, plain_words
 from .places import KEY, keys, nearby
 
 WIDTH = {"strict": 80, "hybrid": 140}
 ANCHORED = {"vision": v.VISION, "language": v.LANGUAGE, "fusion": v.FUSION, "objectives": v.OBJECTIVES}
 
 
+def _plain(cues: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    return {k: [plain_words(p) for p in ps] for k, ps in cues.items()}
+
+
 def _sorted(labels: Column) -> Column:
     """Joined in order of the lower-cased labels."""
     return F.array_join(F.transform(F.array_sort(F.transform(labels, lambda x: F.struct(F.lower(x).alias("l"), x.alias("x")))), lambda s: s["x"]), ", ")
@@ -30,7 +36,8 @@ def placed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     A mention of a data set is for training, for evaluation, for both, or, where neither is said nearby, for both too.
     """
     kinds = {"train": v.TRAIN_WORDS, "eval": v.EVAL_WORDS, "phrase": v.PAIRED_PHRASES, "report": v.REPORT_WORDS}
-    near = nearby(docs, doc_id, text, {"sets": v.DATASETS, **ANCHORED}, {"sets": kinds, **{f: {f: v.ANCHORS[f]} for f in ANCHORED}}, width)
+    cues, anchors = {"sets": v.DATASETS, **ANCHORED}, {"sets": kinds, **{f: {f: v.ANCHORS[f]} for f in ANCHORED}}
+    near = nearby(docs, doc_id, text, {f: _plain(x) for f, x in cues.items()}, {f: _plain(x) for f, x in anchors.items()}, width)
     has = lambda kind: F.array_contains("kinds", kind)
     sets, label = F.col("field") == "sets", F.col("label")
     neither = ~has("train") & ~has("eval")
@@ -44,9 +51,9 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mode: s
     """The sixteen columns of a record, empty where nothing is found."""
     hybrid = mode == "hybrid"
     modalities, tasks = (v.MODALITIES | v.MODALITIES_HYBRID, v.TASKS | v.TASKS_HYBRID) if hybrid else (v.MODALITIES, v.TASKS)
-    listed = lambda cues: [(p, label) for label, ps in cues.items() for p in ps]
+    listed = lambda cues: [(p, label) for label, ps in _plain(cues).items() for p in ps]
     # another modality beside a chest data set takes two patterns in strict mode, one in hybrid
-    more = {f"more {k} {m}": [(ps[k], m)] for m, ps in v.OTHER_MODALITIES.items() for k in range(1 if hybrid else 2)}
+    more = {f"more {k} {m}": [(plain_words(ps[k]), m)] for m, ps in v.OTHER_MODALITIES.items() for k in range(1 if hybrid else 2)}
     plain = {"family": v.FAMILIES, "metrics": v.METRICS, "task": tasks, "cues": modalities, "rag": {"Yes": v.RAG}, "claims": {"Yes": v.VLM_PHRASES}}
     lexicons = Lexicons({**{f: listed(cues) for f, cues in plain.items()}, **more})
     own = docs.select(F.col(doc_id).cast("string").alias("File"), *keys(doc_id, text), F.coalesce(F.col(text), F.lit("")).alias("_text"))

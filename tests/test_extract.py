@@ -35,6 +35,13 @@ def test_windows_and_modes(spark):
     assert records(spark, ["a cnn backbone and a transformer decoder"])[0]["Class"] == "CNN+Transformer"
 
 
+def test_words_end_at_letters_beyond_ascii(spark):
+    """As in the query's SQL: "test" is a word in "testü", "vit" in "évit"."""
+    a, b = records(spark, ["testü We train on MIMIC-CXR with reports", "Évit image, blipß tests"])
+    assert (a["Datasets (train)"], a["Datasets (eval)"], a["Paired"]) == ("MIMIC-CXR", "MIMIC-CXR", "Yes")
+    assert (b["Vision Enc"], b["Family"], b["Datasets (eval)"]) == ("ViT", "BLIP", "")
+
+
 def test_anchors_that_overlap(spark):
     """The surroundings begin within one anchor and hold another that overlaps it."""
     text = lambda n: " the the " + "a" * n + " with x"
