@@ -270,15 +270,19 @@ def find_contamination(
 ) -> DataFrame:
     """Per row: doc_id, n_words, ranges (of words), spans (of code points; what to remove), items.
 
-    With ``carry`` the whole input row comes along as the struct ``row``.
-    ``work`` takes what is written between blocks.
+    With ``carry`` the whole input row comes along as the struct ``row``; its text
+    is read there, so that no text is passed or written twice. ``work`` takes what is written between blocks.
     """
     work = work or Workspace(docs.sparkSession, "decontaminate")
+    place = docs.columns.index(text) if carry and dict(docs.dtypes).get(text) == "string" else None  # of the text in the row
+    own_text = [text_of(text).alias("text")] if place is None else []
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    out = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"), *rest)
+    out = docs.select(F.col(doc_id).alias("doc_id"), *own_text, *rest)
     kinds = [out.schema["doc_id"].dataType, benchmark.schema[item_id].dataType]
     own, of = (k.simpleString() for k in kinds)
-    out = out.selectExpr("doc_id", "text", f"cast(array() as {RANGES}) as ranges", f"cast(array() as array<{of}>) as items", *(["row"] if carry else []))
+    names = ["doc_id", *(["text"] if own_text else [])]
+    out = out.selectExpr(*names, f"cast(array() as {RANGES}) as ranges", f"cast(array() as array<{of}>) as items", *(["row"] if carry else []))
+    texts_too = ", text string" if own_text else ""
     extra = f", row {out.schema['row'].dataType.simpleString()}" if carry else ""
     id_type, item_type = (to_arrow_type(k) for k in kinds)
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -301,15 +305,18 @@ def find_contamination(
                     columns |= {"n_words": pa.array([len(w) for w in words], pa.int64()), "ranges": pa.array(structs(ranges), pair)}
                     columns |= {"spans": pa.array([_spans(t, r) if r else [] for t, r in zip(texts, ranges, strict=True)], pair)}
                 else:
-                    columns |= {"text": pa.array(texts, pa.string()), "ranges": pa.array(structs(ranges), pair)}
+                    columns |= {"text": pa.array(texts, pa.string())} if place is None else {}
+                    columns["ranges"] = pa.array(structs(ranges), pair)
                 columns["items"] = pa.array(items, pa.list_(item_type))
                 return pa.RecordBatch.from_pydict(columns | ({"row": pa.concat_arrays(rows)} if carry else {}))
 
             for batch in batches:
-                columns = [batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()]
+                row = batch.column("row") if carry else None
+                given = batch.column("text") if place is None else row.field(place)
+                columns = [batch.column("doc_id").to_pylist(), given, batch.column("ranges").to_pylist(), batch.column("items").to_pylist()]
                 first = 0  # the batch's rows from here on aren't in ``rows`` yet
                 for at, (i, t, r, it) in enumerate(zip(*columns, strict=True)):
-                    t = t.as_py()
+                    t = t.as_py() or ""
                     ids.append(i)
                     texts.append(t)
                     words.append(words_of(t))
@@ -317,11 +324,11 @@ def find_contamination(
                     n += len(words[-1])
                     if n >= shard_words:
                         if carry:
-                            rows.append(batch.column(4).slice(first, at + 1 - first))
+                            rows.append(row.slice(first, at + 1 - first))
                         yield shard()
                         ids, texts, words, before, rows, n, first = [], [], [], [], [], 0, at + 1
                 if carry and first < batch.num_rows:
-                    rows.append(batch.column(4).slice(first))
+                    rows.append(row.slice(first))
             if ids:
                 yield shard()
 
@@ -330,7 +337,7 @@ def find_contamination(
     parts = blocks(benchmark, window, block_words, item_id, item_text)
     block, k = next(parts), 0
     for after in parts:
-        done = out.mapInArrow(searching(block, False), f"doc_id {own}, text string, ranges {RANGES}, items array<{of}>{extra}")
+        done = out.mapInArrow(searching(block, False), f"doc_id {own}{texts_too}, ranges {RANGES}, items array<{of}>{extra}")
         out = work.save(done, f"block{k}")
         if k:
             work.drop(f"block{k - 1}")

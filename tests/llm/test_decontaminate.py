@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomstead.llm import decontaminate as de
+from loomstead.llm.common import Workspace
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -65,3 +66,30 @@ def test_contamination(spark):
         assert "".join(words(r.left)) == "".join(kept)
     assert de.find_contamination(d.limit(0), b).count() == 0
     assert de.hits(de.find_contamination(d, b.limit(0))).where("n_hit > 0").count() == 0
+
+
+def test_carried_rows_move_their_text_once(spark):
+    """What goes into the search and between blocks has the text in the row alone; null texts come through as they are."""
+    seen = []
+
+    class Work(Workspace):
+        def save(self, df, name, **how):
+            seen.append((df.columns, df.schema["row"].dataType.names))
+            return super().save(df, name, **how)
+
+    rows = [(1, None, 5), (2, "a b c d", 6), (3, "e f x", 7), (None, "no hit", 8), (4, "", 9)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").select("row", "text", "doc_id")
+    bench = spark.createDataFrame([(1, "b c"), (2, "e f"), (3, "q")], "item_id long, text string")
+    alone = {(r.doc_id, r.n_words, r.n_hit, *r["items"]) for r in de.hits(de.find_contamination(docs, bench)).collect()}
+    for shard, block in ((10**6, 10**6), (3, 1)):  # one block; three, with shards that end within a batch
+        found = de.hits(de.find_contamination(docs, bench, Work(spark, "t"), carry=True, shard_words=shard, block_words=block))
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert "AS text#" not in plan and "coalesce(text#" not in plan
+        found = found.collect()
+        assert {(r.doc_id, r.n_words, r.n_hit, *r["items"]) for r in found} == alone
+        assert sorted(map(repr, (tuple(r["row"]) for r in found))) == sorted(map(repr, ((n, t, i) for i, t, n in rows)))
+        assert all(r["row"]["text"][s.start : s.end] in ("b c", "e f") for r in found for s in r.spans)
+    assert len(seen) > 1 and all(s == (["doc_id", "ranges", "items", "row"], ["row", "text", "doc_id"]) for s in seen)
+    # a text that isn't a plain column of the row by this name comes beside it
+    other = de.hits(de.find_contamination(docs, bench, text="TEXT", carry=True)).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, *r["items"]) for r in other} == alone
