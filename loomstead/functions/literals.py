@@ -104,6 +104,83 @@ def _spelled(run: Sequence[tuple]) -> str:
     return "".join(chr(c).lower() for _, c in run)
 
 
+#: A boundary of plain words.
+BOUND = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: Letters beyond ASCII that engines with plain words take for a letter where case doesn't matter.
+_ALSO = {"s": r"\x{17f}", "k": r"\x{212a}"}
+
+
+def _pieces(pattern: str) -> list[str]:
+    """A pattern's escapes, classes and characters."""
+    return re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", pattern, re.S)
+
+
+def plain_case(pattern: str) -> str:
+    """A pattern for use without regard to ASCII case whose words and letters are those of engines with plain words: "ſ" and the Kelvin sign are letters of a match, but of no word."""
+    own = _pieces(pattern)
+
+    def bound(i: int) -> str:
+        if i + 1 < len(own) and re.fullmatch("[A-Za-z0-9_]", own[i + 1]) and own[i + 1] not in "sSkK" and own[i + 2 : i + 3] not in (["*"], ["?"], ["{"]):
+            return r"(?<!\w)"
+        if i and re.fullmatch("[A-Za-z0-9_]", own[i - 1]) and own[i - 1] not in "sSkK":
+            return r"(?!\w)"
+        return BOUND
+
+    def letter(x: str) -> str:
+        also = "".join(a for c, a in _ALSO.items() if re.fullmatch(x, c, re.I)) if x[0] == "[" and x[1] != "^" else _ALSO.get(x.lower(), "")
+        return x if not also else f"{x[:-1]}{also}]" if x[0] == "[" else f"[{x}{also}]"
+
+    return "".join(bound(i) if x == r"\b" else x if x[0] == "\\" else letter(x) for i, x in enumerate(own))
+
+
+def reach(pattern: str) -> int:
+    """The most characters that a match depends on from where it begins, what it looks ahead at and the one behind it included."""
+    return re._parser.parse(re.sub(r"\(\?[=!]", "(?:", pattern)).getwidth()[1] + 1
+
+
+def alternatives(pattern: str) -> list[str]:
+    """A pattern's parts between its outermost bars."""
+    out, depth = [""], 0
+    for x in _pieces(pattern):
+        depth += (x == "(") - (x == ")")
+        out = [*out, ""] if x == "|" and not depth else [*out[:-1], out[-1] + x]
+    return out
+
+
+def lead(pattern: str) -> tuple[str, str]:
+    """The plain letters and digits, in lower case, with which a pattern for a word begins, and the rest of it."""
+    if not pattern.startswith(r"\b"):
+        raise ValueError(f"not the beginning of a word: {pattern}")
+    plain = re.match(r"(?:[A-Za-z0-9](?![*?{]))*", pattern[2:])[0]
+    return plain.lower(), pattern[2 + len(plain) :]
+
+
+def inside(pattern: str) -> list[tuple[str, str]]:
+    """(before, part): where a pattern is a choice and one part is the end of another, that part right behind what the other has before it lies inside the other's match and is none of its own."""
+    choice = re.fullmatch(r"\\b\((.*)\)\\b", pattern)
+    parts = alternatives(choice[1]) if choice else []
+    return [(a[: -len(b)], b) for a in parts for b in parts if a != b and a.endswith(b)]
+
+
+def trie_of(patterns: Iterable[str]) -> str:
+    """An expression, without regard to case, for any of some patterns behind the beginning of a word; what they begin with is looked at once."""
+
+    def together(leads: list[tuple[str, str, str]]) -> str:
+        below: dict[str, list] = {}
+        for letters, before, rest in leads:
+            below.setdefault(letters[:1], []).append((letters[1:], before + letters[:1], rest))
+        out = []
+        for c, own in below.items():
+            if c:
+                out.append(plain_case(c) + together(own))
+            else:  # a bound right behind the letters depends on the last of them
+                out += [plain_case(before[-1:] + rest)[len(plain_case(before[-1:])) :] for _, before, rest in own]
+        return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+    each = {lead(a) for p in patterns for a in alternatives(p)}
+    return f"(?i:{together([(letters, '', rest) for letters, rest in sorted(each)])})"
+
+
 def trie(terms: Iterable[str]) -> str:
     """An expression for the longest of some terms at a place."""
     root: dict = {}

@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.literals import Lexicons
+from ..functions.literals import BOUND, Lexicons, trie_of
 from ..functions.names import fresh, let
 
 #: Numbers of an array that are summed at once, and characters of a text's parts.
@@ -67,6 +67,21 @@ def everywhere(pattern: str) -> str:
     return f"{EVERYWHERE}{pattern}))(?s:.)"
 
 
+#: Letters of no word with which a match may begin, and the plain ones that they stand for.
+NO_WORDS = "\u017f\u212a", "sk"
+
+
+def up_to_words(text: Column, patterns: Sequence[str]) -> Column:
+    """A blank and the text, in pieces: each but the first begins where one of some patterns for words does.
+
+    A word that none of them begins with is passed in one step.
+    """
+    spaced, each = F.concat(F.lit(" "), text), trie_of(patterns)
+    words = F.regexp_extract_all(spaced, F.lit(rf"\G\w*+(?:\W++(?!{each})\w++)*+\W*+"), 0)
+    letters = F.regexp_extract_all(spaced, F.lit(rf"(?s)\G.(?:(?!{BOUND}{each}).)*+"), 0)
+    return F.filter(F.when(F.rlike(text, F.lit(f"[{NO_WORDS[0]}]")), letters).otherwise(words), lambda p: p != "")
+
+
 def around(parts: Column, start: Column, n: Column, most: int) -> Column:
     """n characters, ``most`` at most, from ``start`` on of a text given in parts; it isn't read from its beginning."""
     first = F.floor(start / PART).cast("int")
